@@ -11,8 +11,8 @@ from listwright.operators.enrich import vc_display
 
 # Wordings of the exported columns and the digest.
 REPOST_MARK = "🔄 Repost"
-SUBJECT_ALERT = "⚠️ Job Finder Alert — Errors Detected"
-SUBJECT_CLEAR = "✅ Job Finder — No New Matches Today"
+SUBJECT_ALERT = "⚠️ Alert — Errors Detected"
+SUBJECT_CLEAR = "✅ No New Matches Today"
 DIGEST_SIZE = 5
 
 

@@ -4,33 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 256  # a key is hot when it holds at least 1/256 of the rows, so at most 256 are
+HOT_SHARE = 256  # a key is hot when it holds at least 1/256 of the sampled rows: at most 256 are
 SALTS = 64
+SAMPLE = 0.01
+MIN_SEEN = 50
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding at least 1/share of the rows: never more than `share` rows come back."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n"))
-    return counts.where(F.col("_n") * share >= total.scalar()).select(key)
+def hot_keys(df: DataFrame, key: str, fraction: float = SAMPLE, min_seen: int = MIN_SEEN) -> list:
+    """Values that hold a large share of the rows, from a sample; at most HOT_SHARE come back.
+
+    The sample only decides how rows are spread, never which rows take part.
+    """
+    rows = df.select(key) if fraction >= 1 else df.select(key).sample(fraction, seed=7)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), key).limit(HOT_SHARE).where(F.col("n") >= min_seen)
+    return [r[0] for r in top.select(key).collect()]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: str,
-                salts: int = SALTS) -> DataFrame:
+                hot: list | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join on `key` where `left` may be badly skewed.
 
     Rows of hot left keys are spread over `salts` partitions by the hash of the `spread` column
-    and the matching right rows are repeated once per salt. The hot list is bounded by
-    HOT_SHARE rows, which is why it alone is broadcast.
+    and the right rows of those keys are repeated once per salt.
     """
-    hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
-    salted_left = left.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0))
-    ).drop("_hot")
-    salted_right = right.join(hot, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), salts - 1).otherwise(0)))
-    ).drop("_hot").withColumn("_salt", F.col("_salt").cast("bigint"))
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))
+    return left.withColumn("_salt", F.when(is_hot, salt).otherwise(0)).join(
+        right.withColumn("_salt", F.explode(copies)), [key, "_salt"], how).drop("_salt")
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
