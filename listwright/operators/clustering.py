@@ -20,6 +20,8 @@ from listwright.operators.similarity import (
 )
 
 PIVOTS = 64
+MAX_PIVOTS = 4096
+SMALL_WORK = 20_000_000  # comparisons any input may use in its first round
 PIVOT_GROWTH = 4
 MAX_ROUNDS = 200
 STEPS_PER_TABLE = 4
@@ -33,7 +35,7 @@ def distinct_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("fuzzy_key").alias("key")).agg(F.min("ord").alias("id"))
 
 
-def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int = PIVOTS) -> DataFrame:
+def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int | None = None) -> DataFrame:
     """(l_id, r_id) for every key (key, id) and each earlier leader it is alike to.
 
     Keys without an edge are the leaders.
@@ -42,6 +44,9 @@ def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int = PIVOTS) -> Data
     root = scratch_root(keys.sparkSession)
     keys = stage(keys, f"{root}/keys")
     nodes = stage(with_tokens(spread_out(keys), rule, gram_ranks(keys, rule)), f"{root}/nodes")
+    if pivots is None:
+        posted = nodes.agg(F.sum(F.size("tokens"))).first()[0] or 1
+        pivots = min(MAX_PIVOTS, max(PIVOTS, SMALL_WORK // posted))
     states = nodes.select("id", F.lit(_OPEN).alias("state"))
     edge_parts = []
     for number in range(MAX_ROUNDS):

@@ -176,17 +176,19 @@ def first_alike(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
     slices of its id range and matched rows leave after each slice, so a row with very many
     matches meets only the few of an early slice while the result stays exact.
     """
-    ranks = gram_ranks(right, rule)
-    low, high, rows = right.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    left_t, right_t = with_tokens(left, rule, ranks), with_tokens(right, rule, ranks)
-    if rows <= SLICE_MIN_ROWS:
-        return _first(left_t, right_t, rule)
     root = scratch_root(left.sparkSession)
-    rest, right_t = stage(left_t, f"{root}/left"), stage(right_t, f"{root}/right")
+    plain = stage(right, f"{root}/right-texts")
+    ranks = gram_ranks(plain, rule)
+    low, high, rows = plain.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    # Tokens are costly to derive and read several times, so both sides are written out.
+    rest = stage(with_tokens(spread_out(left), rule, ranks), f"{root}/left")
+    others = stage(with_tokens(spread_out(plain), rule, ranks), f"{root}/right")
+    if rows <= SLICE_MIN_ROWS:
+        return _first(rest, others, rule)
     found, start = None, low
     for part in SLICES:
         end = high if part == 1 else low + (high - low) // part
-        hits = stage(_first(rest, right_t.where(F.col("id").between(start, end)), rule),
+        hits = stage(_first(rest, others.where(F.col("id").between(start, end)), rule),
                      f"{root}/hits-{part}")
         found = hits if found is None else found.unionByName(hits)
         rest = rest.join(hits.select(F.col("l_id").alias("id")), "id", "left_anti")

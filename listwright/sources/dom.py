@@ -111,7 +111,11 @@ class Dom:
     """Column accessors over a flattened page; nodes are array positions in document order."""
 
     def __init__(self, name: str = "dom"):
-        self._c = F.col(name)
+        self._name = name
+
+    @property
+    def _c(self) -> Column:
+        return F.col(self._name)
 
     def get(self, field: str, i: Column) -> Column:
         return F.get(self._c[field], i)

@@ -184,8 +184,9 @@ def _structured(base_url: str) -> list[tuple[str, Column]]:
     usable = F.filter(texts, lambda x: (
         has_any(F.lower(x["text"]), INTENT_WORDS)
         & F.coalesce(F.length(x["link"]["text"]) > 3, F.lit(False))))
-    tries = [F.filter("elements", lambda x, w=w: x["cls"].contains(w)) for w in CARD_CLASSES]
-    tries += [F.filter("elements", lambda x, t=t: x["tag"] == t) for t in CARD_TAGS]
+    tests = [lambda x, _w=w: x["cls"].contains(_w) for w in CARD_CLASSES]
+    tests += [lambda x, _t=t: x["tag"] == _t for t in CARD_TAGS]
+    tries = [F.filter("elements", lambda x: test(x)) for test in tests]
     chosen = first_of(F.filter(F.array(*tries), lambda t: F.size(t) > 0))
     return [("elements", F.when(F.size("listings") < FEW_LISTINGS, usable)),
             ("extra", F.transform(chosen, lambda x: _near_listing(x["link"], base_url, x["text"])))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from listwright.functions.text import normalize_company, normalize_title
 from listwright.operators.skew import salted_join
@@ -41,8 +41,9 @@ def drain(stream: DataFrame, run, checkpoint: str) -> None:
 
 
 def stored_schema(batch_schema: StructType) -> StructType:
-    return StructType(batch_schema.fields).add("id", "bigint").add("is_repost", "boolean").add(
-        "original_listing_id", "bigint")
+    added = [StructField("id", LongType()), StructField("is_repost", BooleanType()),
+             StructField("original_listing_id", LongType())]
+    return StructType([*batch_schema.fields, *added])
 
 
 def ingest_run(batch: DataFrame, store: DataFrame, as_of: Column,
@@ -104,12 +105,12 @@ def stream_daily_counts(stream: DataFrame, time: str, group: str, out: str,
     flat = counts.select(F.col("window.start").alias("day"), group, "n")
 
     def run(batch, number):
-        batch.withColumn("run", F.lit(number)).write.mode("overwrite").parquet(
+        batch.withColumn("number", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(
             f"{out}/run={number}")
 
     query = flat.writeStream.outputMode("update").foreachBatch(run).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    updates = stream.sparkSession.read.schema(flat.schema.add("run", "bigint")).parquet(
-        f"{out}/run=*")
-    return updates.groupBy("day", group).agg(F.max_by("n", "run").alias("n"))
+    schema = StructType([*flat.schema.fields, StructField("number", LongType())])
+    updates = stream.sparkSession.read.schema(schema).parquet(f"{out}/run=*")
+    return updates.groupBy("day", group).agg(F.max_by("n", "number").alias("n"))
