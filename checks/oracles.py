@@ -538,7 +538,7 @@ def survivors(source: str) -> str:
   walked AS (SELECT *, max(CASE WHEN own THEN points END) OVER (PARTITION BY leader_ord ORDER BY ord
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM members),
   survivors AS MATERIALIZED (SELECT leader_ord, coalesce(min(ord) FILTER (NOT own AND points > top),
-    arg_min(ord, ord - points * 1000000000) FILTER (own)) AS ord FROM walked GROUP BY leader_ord)"""
+    arg_max(ord, points::BIGINT * 1000000000000 - ord) FILTER (own)) AS ord FROM walked GROUP BY leader_ord)"""
 
 
 oracle("fuzzy_clusters", f"WITH RECURSIVE {KEYED}, {clusters('keyed')} SELECT key, ord, leader_ord FROM clusters", "listings")
