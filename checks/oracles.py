@@ -97,6 +97,19 @@ oracle("job_link_filter", f"""WITH l AS (SELECT ord, CASE ord % 3 WHEN 0 THEN '/
     contains(href, '/jobs/') OR contains(href, '/company/') AS company_card,
     {any_of('lower(text)', links.ROLE_WORDS)} AS keyword_links, {TIERED} AS concat_text FROM l""", "listings")
 
+# In the given pages a link sits in li, ul and nav (all short) below body, as nodes 11, 13, ...
+_PLAIN = "x"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_char}')"
+oracle("card_context", rf"""WITH {LINKS},
+  body AS (SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(
+      regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->', '<!>', 'g'), '<[^>]*>'),
+      lambda x: {strip(_PLAIN)}), lambda x: x <> ''), ' ') AS all_text FROM pages),
+  nav AS (SELECT page_id, string_agg({DECODED}, ' ' ORDER BY pos) AS nav_text FROM found GROUP BY page_id)
+  SELECT page_id, 11 + 2 * pos AS pos, href, {DECODED} AS text,
+    CASE WHEN length(nav_text) > 100 THEN nav_text ELSE all_text END AS card_text
+  FROM found JOIN body USING (page_id) JOIN nav USING (page_id)""")
+
 PAGE = "CAST(floor(ord / 10) AS BIGINT) AS page_id"
 oracle("listings_cards_path", f"""SELECT {PAGE}, title, company,
     CASE ord % 3 WHEN 0 THEN 'Santa Monica, CA, USA' WHEN 1 THEN 'Remote' ELSE '' END AS location,
