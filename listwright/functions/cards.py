@@ -36,7 +36,7 @@ def location_from_card(text: Column) -> Column:
     for cities, states in CARD_PLACES:
         pattern = rf"(?i)((?:{cities})[,\s]*(?:{states})?[,\s]*(?:USA)?)"
         hit = F.regexp_replace(strip(F.regexp_extract(text, pattern, 1)), ",+$", "")
-        found.append(F.when(text.rlike(pattern), hit))
+        found.append(F.nullif(hit, F.lit("")))
     mode = F.when(text.contains("Remote"), "Remote").when(text.contains("Hybrid"), "Hybrid")
     return F.coalesce(*found, mode, F.lit(""))
 
@@ -47,8 +47,8 @@ def experience_level(text: Column) -> Column:
 
 def industry_tags(text: Column) -> Column:
     """First run of bullet-separated words, or NULL."""
-    run = F.regexp_extract(text, _INDUSTRY_RUN, 1)
-    return F.when(text.contains("•") & (run != ""), strip(run))
+    run = strip(F.regexp_extract(text, _INDUSTRY_RUN, 1))
+    return F.when(text.contains("•"), F.nullif(run, F.lit("")))
 
 
 def description_excerpt(blocks: Column, card_text: Column) -> Column:

@@ -60,7 +60,7 @@ def _bucket(gram: Column) -> Column:
 def gram_ranks(texts: DataFrame, rule: Rule) -> Column:
     """Rarity rank per gram bucket as a constant array; at most GRAM_BUCKETS rows are collected."""
     counts = (
-        texts.select(F.explode(_grams(rule.text)).alias("g"))
+        texts.select(F.explode_outer(_grams(rule.text)).alias("g"))
         .groupBy(_bucket(F.col("g")).alias("b")).agg(F.count("*").alias("n"))
         .orderBy("n", "b").collect()
     )

@@ -49,7 +49,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
     def text(tag):
         return strip(unescape(F.regexp_replace(tag, rf"[{WS}]*<[^>]*>[{WS}]*", "")))
 
-    return pages.select("page_id", F.posexplode(tags).alias("pos", "tag")).where(
+    return pages.select("page_id", F.posexplode_outer(tags).alias("pos", "tag")).where(
         F.col("tag").rlike(_HREF)
     ).select("page_id", F.col("pos").cast("bigint").alias("pos"),
              href(F.col("tag")).alias("href"), text(F.col("tag")).alias("text"))

@@ -49,6 +49,13 @@ def _first_by(items: Column, value) -> Column:
         xs, lambda x, i: F.array_position(values, value(x)) == i + 1)))
 
 
+def _unfold(rows: DataFrame, items: str) -> DataFrame:
+    """One row per array item as `x`. The outer form keeps the optimizer from testing the array
+    first, which would derive it twice more."""
+    return rows.select("page_id", F.posexplode_outer(items).alias("pos", "x")).where(
+        F.col("x").isNotNull())
+
+
 def card_context(pages: DataFrame, min_chars: int, max_levels: int,
                  past_root: str = "highest") -> DataFrame:
     """(page_id, pos, href, text, card_text): every link with the text of its card."""
@@ -58,7 +65,7 @@ def card_context(pages: DataFrame, min_chars: int, max_levels: int,
         "found", F.transform("found", lambda f: F.struct(
             f["link"]["at"].cast("bigint").alias("pos"), f["link"]["href"].alias("href"),
             f["link"]["text"].alias("text"), _D.text(f["card"], " ").alias("card_text"))))
-    return rows.select("page_id", F.explode("found").alias("f")).select("page_id", "f.*")
+    return _unfold(rows, "found").select("page_id", "x.*")
 
 
 def _profile_cards(pages: DataFrame, profile: str, company_href: str) -> DataFrame:
@@ -85,7 +92,7 @@ def _profile_cards(pages: DataFrame, profile: str, company_href: str) -> DataFra
             f["link"]["text"].alias("title"), _D.text(f["card"], " ").alias("card_text"),
             company_links(f["card"]).alias("company_links"),
             blocks(f["card"]).alias("blocks"))))
-    return rows.select("page_id", F.explode("found").alias("f")).select("page_id", "f.*")
+    return _unfold(rows, "found").select("page_id", "x.*")
 
 
 def listings_cards_path(pages: DataFrame, base_url: str) -> DataFrame:
@@ -207,7 +214,7 @@ def _by_title(base_url: str) -> list[tuple[str, Column]]:
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.select("page_id", F.posexplode("listings").alias("pos", "x")).select(
+    return _unfold(rows, "listings").select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "x.url", "x.title", "x.company",
         "x.location", "x.description")
 
@@ -283,7 +290,7 @@ def listings_company_card(pages: DataFrame, prefix: str) -> DataFrame:
     rows = _with_dom(pages)
     for name, c in _company_cards(prefix):
         rows = rows.withColumn(name, c)
-    return rows.select("page_id", F.posexplode("listings").alias("pos", "x")).select(
+    return _unfold(rows, "listings").select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "x.title", "x.company", "x.location",
         "x.description", "x.salary.salary_min", "x.salary.salary_max", "x.url")
 
@@ -308,6 +315,6 @@ def listings_keyword_links(pages: DataFrame, prefix: str) -> DataFrame:
         F.coalesce(company(x["at"]), F.lit("")).alias("company")))
     rows = rows.where(F.size("listings") == 0).withColumn("found", found).withColumn(
         "found", _first_by(F.col("found"), lambda x: x["href"]))
-    return rows.select("page_id", F.posexplode("found").alias("pos", "x")).select(
+    return _unfold(rows, "found").select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "x.title", "x.company",
         prefix_url(F.col("x.href"), prefix).alias("url"))

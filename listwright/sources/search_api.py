@@ -35,7 +35,7 @@ def parse_search_api(documents: DataFrame, flavour: str, preferred_domain: str)
     ext = F.col("job.detected_extensions")
     parsed = documents.select(
         "ord", "search_location",
-        F.posexplode(F.from_json("response_json", SEARCH_API)["jobs_results"]).alias("pos", "job"))
+        F.posexplode_outer(F.from_json("response_json", SEARCH_API)["jobs_results"]).alias("pos", "job"))
     kept = parsed.where(present(job["title"]) & present(job["company_name"]))
     qualifications = ext["qualifications"]
     return kept.select(
