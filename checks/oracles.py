@@ -504,8 +504,7 @@ oracle("enrichment_stats", f"""WITH {ENRICHED} SELECT count(*) AS listings, coun
   0::BIGINT AS looked_up, count(*) FILTER (vc_source = 'unknown') AS "unknown" FROM enriched""", "listings", "vc_cache")
 oracle("scoring_stats", f"""WITH {BODY} SELECT count(*) AS listings, count(a.score) AS scored, count(*) - count(a.score) AS errors
   FROM listings l LEFT JOIN answer a ON a.listing_id = l.ord""", "listings", "responses")
-oracle("rank_by_score", f"""WITH {SCORED_CTE} SELECT ord, title, score, rank() OVER (ORDER BY score DESC) - 1 AS better
-  FROM results ORDER BY score DESC, ord""", *RESULT_VIEWS)
+oracle("rank_by_score", f"""WITH {SCORED_CTE} SELECT ord, title, score FROM results ORDER BY score DESC, ord""", *RESULT_VIEWS)
 oracle("digest_top", f"""WITH {SCORED_CTE} SELECT ord, score, title, concat(company, ' · ', CASE WHEN location = '' THEN 'Location N/A' ELSE location END, ' ',
     {icon('freshness')}, CASE WHEN is_repost THEN ' {export.REPOST_MARK}' ELSE '' END) AS line,
     CASE WHEN len(investors) > 0 THEN concat('Backed by: ', {SHOWN}) ELSE '' END AS backed,

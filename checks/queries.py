@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks import boards
 from checks.views import AS_OF, table, view
@@ -559,13 +559,7 @@ def scoring_stats(spark, sf_dir):
 
 @query
 def rank_by_score(spark, sf_dir):
-    """The rank as a value: position from the count of better rows, not from a global window."""
-    scored = _scored(spark, sf_dir).select("ord", "score", "title")
-    per_score = scored.groupBy("score").agg(F.count("*").alias("n"))
-    ahead = per_score.select("score", F.coalesce(F.sum("n").over(
-        Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("better"))
-    return export.rank_by_score(scored.join(ahead, "score")).select("ord", "title", "score", "better")
+    return export.rank_by_score(_scored(spark, sf_dir)).select("ord", "title", "score")
 
 
 @query

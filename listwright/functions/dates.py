@@ -7,17 +7,20 @@ from pyspark.sql import Column, functions as F
 from listwright.functions.text import strip
 from listwright.prefs import Prefs
 
-# Accepted date layouts in order, month-first before day-first.
+# Accepted date layouts in order, month-first before day-first. Each comes with the
+# shape a text must have to be tried, because a failed parse costs far more than the look.
+_CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
+_ISO = r"\d{4}-\d{1,2}-\d{1,2}"
 DATE_PATTERNS = (
-    "yyyy-M-d",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d'T'H:m:s'Z'",
-    "yyyy-M-d'T'H:m:s.SSSSSS",
-    "M/d/yyyy",
-    "d/M/yyyy",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "yyyy-M-d H:m:s",
+    ("yyyy-M-d", rf"^{_ISO}$"),
+    ("yyyy-M-d'T'H:m:s", rf"^{_ISO}[Tt]{_CLOCK}$"),
+    ("yyyy-M-d'T'H:m:s'Z'", rf"^{_ISO}[Tt]{_CLOCK}[Zz]$"),
+    ("yyyy-M-d'T'H:m:s.SSSSSS", rf"^{_ISO}[Tt]{_CLOCK}\.\d{{1,6}}$"),
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("yyyy-M-d H:m:s", rf"^{_ISO} {_CLOCK}$"),
 )
 FRESHNESS_ICONS = {"green": "🟢", "yellow": "🟡", "red": "🔴", "black": "⚫", "unknown": "❓"}
 
@@ -52,7 +55,8 @@ def parse_relative_date(text: Column, as_of: Column) -> Column:
 def parse_posted_date(text: Column, as_of: Column) -> Column:
     """Absolute layouts first, relative wording second. A trailing 'Z' is not a zone."""
     t = strip(text)
-    absolute = [F.try_to_timestamp(t, F.lit(p)) for p in DATE_PATTERNS]
+    absolute = [F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(layout)))
+                for layout, shape in DATE_PATTERNS]
     return F.coalesce(*absolute, parse_relative_date(text, as_of))
 
 

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from listwright.functions.text import completeness
 from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.similarity import (
-    Rule, alike, gram_ranks, postings, spread_out, with_tokens,
+    Rule, alike, block_heads, gram_ranks, postings, spread_out, with_tokens,
 )
 
 PIVOTS = 64
@@ -62,14 +62,9 @@ def _round(nodes, states, rule, pivots, path):
     tagged = nodes.join(states, "id")
     followers = postings(tagged.where(F.col("state") != _LEADER), "id", rule, "l")
     open_keys = tagged.where(F.col("state") == _OPEN)
-    by_arrival = Window.partitionBy("token").orderBy("r_id")
-    heads = (
-        postings(open_keys, "id", rule, "r")
-        .withColumn("_rank", F.row_number().over(by_arrival))
-        .where(F.col("_rank") <= pivots).drop("_rank")
-    )
-    heads = stage(heads, f"{path}/heads")
-    pairs = stage(alike(followers, heads, rule, earlier_only=True), f"{path}/pairs")
+    heads = stage(block_heads(postings(open_keys, "id", rule, "r"), pivots), f"{path}/heads")
+    met = alike(followers, heads, rule, F.col("r_id") < F.col("l_id"))
+    pairs = stage(met.distinct(), f"{path}/pairs")
     judged = (
         heads.groupBy(F.col("r_id").alias("id"))
         .agg(F.count("*").alias("met"), F.max("r_needed").alias("needed"))

@@ -8,6 +8,7 @@ from listwright.functions.dates import freshness_icon
 from listwright.functions.salary import format_salary
 from listwright.functions.text import blank, join_first, present
 from listwright.operators.enrich import vc_display
+from listwright.operators.skew import salted_join
 
 # Wordings of the exported columns and the digest.
 REPOST_MARK = "🔄 Repost"
@@ -28,11 +29,9 @@ def unsynced_scored(scored: DataFrame, listings: DataFrame) -> DataFrame:
     """Scored rows not exported yet with their listing, best first."""
     wanted = ["title", "company", "location", "url", "salary_min", "salary_max", "source",
               "date_posted", "date_scraped"]
-    return (
-        scored.where(~F.col("synced"))
-        .join(listings.select(F.col("id").alias("listing_id"), *wanted), "listing_id")
-        .orderBy(F.desc("score"), "id")
-    )
+    parents = listings.select(F.col("id").alias("listing_id"), *wanted)
+    return salted_join(scored.where(~F.col("synced")), parents, "listing_id", "inner",
+                       spread="id").orderBy(F.desc("score"), "id")
 
 
 def export_rows(unsynced: DataFrame) -> DataFrame:

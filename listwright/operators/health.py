@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.functions.text import blank, folded, has_any
+from listwright.operators.skew import salted_join
 from listwright.prefs import Prefs
 
 # Status codes, page wordings and generic targets that mean a listing is gone.
@@ -50,12 +51,11 @@ def health_queue(scored: DataFrame, listings: DataFrame, prefs: Prefs = Prefs())
 
     A scored row per rescoring may put one URL in twice, as in the store itself.
     """
-    return (
-        scored.where(eligible_for_check()).select("id", "listing_id")
-        .join(listings.select(F.col("id").alias("listing_id"), "url", "date_scraped"), "listing_id")
-        .orderBy("date_scraped", "id").limit(prefs.max_checks)
-        .select("url", "listing_id", F.col("id").alias("scored_id"))
-    )
+    parents = listings.select(F.col("id").alias("listing_id"), "url", "date_scraped")
+    waiting = scored.where(eligible_for_check()).select("id", "listing_id")
+    oldest = salted_join(waiting, parents, "listing_id", "inner", spread="id").orderBy(
+        "date_scraped", "id").limit(prefs.max_checks)
+    return oldest.select("url", "listing_id", F.col("id").alias("scored_id"))
 
 
 def dead_urls(responses: DataFrame) -> DataFrame:

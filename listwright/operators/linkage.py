@@ -21,7 +21,7 @@ def anti_seen_fuzzy(batch: DataFrame, store: DataFrame, prefs: Prefs = Prefs())
         F.col("fuzzy_key").alias("key")).agg(F.min("id").alias("id"))
     equal = keys.join(stored.select("key"), "key", "left_semi").select("key")
     rest = keys.join(stored.select("key"), "key", "left_anti")
-    alike = first_alike(rest, stored, Rule((("key", prefs.match_ratio),)))
+    alike = first_alike(rest, stored, Rule((("key", prefs.match_ratio),)), need="any")
     close = rest.join(alike.select(F.col("l_id").alias("id")), "id", "left_semi").select("key")
     seen = equal.unionByName(close).withColumnRenamed("key", "fuzzy_key")
     return salted_join(keyed, seen, "fuzzy_key", "left_anti", spread="ord")

@@ -22,6 +22,8 @@ SENIORITY_CAPS = (
 )
 SCORE_BANDS = ((9, "perfect"), (6, "good"), (3, "weak"))
 
+_FENCED = r"(?s)^```[^\n]*\n(.*?)(?:```)?$"
+
 
 def build_prompt(template: str) -> Column:
     """Fill {title}, {company}, {location}, {date_posted}, {description}, {vc_info}.
@@ -62,12 +64,8 @@ def parse_response(text: Column) -> Column:
 
     Accepts a fenced block and a leading 'json' word. An explicit null score is rejected too.
     """
-    t = strip(text)
-    fenced = t.startswith("```")
-    body = F.when(fenced, strip(F.regexp_replace(F.regexp_replace(t, r"^[^\n]*\n", ""), "```$", "")))
-    body = F.coalesce(body, t)
-    body = F.when(body.startswith("json"), strip(F.substr(body, F.lit(5)))).otherwise(body)
-    parsed = F.from_json(body, SCORE_RESPONSE)
+    body = strip(F.regexp_replace(strip(text), _FENCED, "$1"))
+    parsed = F.from_json(strip(F.regexp_replace(body, "^json", "")), SCORE_RESPONSE)
     return F.when(parsed["score"].isNotNull(), parsed)
 
 

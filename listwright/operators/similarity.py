@@ -10,16 +10,19 @@ sketches, token position) and are then checked exactly in an Arrow UDF.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listwright.functions.similarity import at_least
 from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.skew import salted_join
 
 GRAM_BUCKETS = 4096  # size of the rarity table, whatever the data
-SLICE_MIN_ROWS = 20_000  # below this the right side is joined in one go
-SLICES = (64, 16, 4, 1)
+SMALL_RIGHT = 20_000  # up to this many right rows, all candidates are met in one round
+HEADS = (64, 1024, 16_384, None)  # members of a right-hand block met per round; None: all
+
+_NO_ID = 2**63 - 1
 
 
 @dataclass(frozen=True)
@@ -128,27 +131,33 @@ def with_tokens(texts: DataFrame, rule: Rule, ranks: Column) -> DataFrame:
 _CARRIED = ("chars_a", "chars_b", "pairs_a", "pairs_b", "text_length")
 
 
-def postings(texts: DataFrame, id_col: str, rule: Rule, side: str) -> DataFrame:
+def postings(texts: DataFrame, id_col: str, rule: Rule, side: str,
+             extra: tuple = ()) -> DataFrame:
     """One row per distinct prefix token, with the token's first position among all bigrams."""
     named = [F.col(id_col).alias(f"{side}_id")]
-    named += [F.col(c).alias(f"{side}_{c}") for c in (*_CARRIED, *rule.columns)]
+    named += [F.col(c).alias(f"{side}_{c}") for c in (*_CARRIED, *rule.columns, *extra)]
     every = texts.select(*named, "tokens", F.posexplode("tokens").alias(f"{side}_at", "token"))
     first = F.col(f"{side}_at") + 1 == F.array_position("tokens", F.col("token"))
     needed = F.size(F.array_distinct("tokens")).alias(f"{side}_needed")
     return every.where(first).select("*", needed).drop("tokens")
 
 
-def alike(left: DataFrame, right: DataFrame, rule: Rule, earlier_only: bool = False) -> DataFrame:
-    """Distinct pairs (l_id, r_id) of two posting tables that satisfy the rule.
+def block_heads(right: DataFrame, limit: int) -> DataFrame:
+    """The first members of every token block by id; the limit applies before the shuffle too."""
+    by_id = Window.partitionBy("token").orderBy("r_id")
+    return right.withColumn("_rank", F.row_number().over(by_id)).where(
+        F.col("_rank") <= limit).drop("_rank")
+
+
+def alike(left: DataFrame, right: DataFrame, rule: Rule, only: Column | None = None) -> DataFrame:
+    """Pairs (l_id, r_id) of two posting tables that satisfy the rule, once per shared token.
 
-    With `earlier_only` just pairs with r_id < l_id are looked at. Cheap bounds run first: an
-    edit changes one character and at most three bigrams, and behind a pair's first common token
-    there must be room for all the bigrams it has to share.
+    `only` restricts which pairs are looked at. Cheap bounds run first: an edit changes one
+    character and at most three bigrams, and behind a pair's first common token there must be
+    room for all the bigrams it has to share.
     """
-    width = shuffle_width(left)
-    pairs = salted_join(left.repartition(width, "token"),
-                        right.repartition(width, "token").hint("merge"),
-                        "token", "inner", spread="l_id")
+    pairs = salted_join(left, right.hint("merge"), "token", "inner", spread="l_id",
+                        width=shuffle_width(left))
     total = F.col("l_text_length") + F.col("r_text_length")
     common = F.ceil(total * rule.ratio / 200)
     room = 1 + F.least(*[F.col(f"{x}_text_length") - 2 - F.col(f"{x}_at") for x in "lr"])
@@ -156,8 +165,8 @@ def alike(left: DataFrame, right: DataFrame, rule: Rule, earlier_only: bool = Fa
     def differing(*words):
         return sum(F.bit_count(F.col(f"l_{w}").bitwiseXOR(F.col(f"r_{w}"))) for w in words)
 
-    if earlier_only:
-        pairs = pairs.where(F.col("r_id") < F.col("l_id"))
+    if only is not None:
+        pairs = pairs.where(only)
     pairs = pairs.where(
         (common <= F.least("l_text_length", "r_text_length"))
         & (differing("chars_a", "chars_b") * 100 <= total * (100 - rule.ratio))
@@ -166,36 +175,56 @@ def alike(left: DataFrame, right: DataFrame, rule: Rule, earlier_only: bool = Fa
     )
     for c, ratio in rule.parts:
         pairs = pairs.where(at_least(F.col(f"l_{c}"), F.col(f"r_{c}"), ratio))
-    return pairs.select("l_id", "r_id").distinct()
+    return pairs.select("l_id", "r_id")
 
 
-def first_alike(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
+def first_alike(left: DataFrame, right: DataFrame, rule: Rule, need: str = "first") -> DataFrame:
     """For every left row the smallest right id alike to it: (l_id, r_id), matched rows only.
 
-    Both sides have a unique `id` and the rule's columns. The right side is taken in growing
-    slices of its id range and matched rows leave after each slice, so a row with very many
-    matches meets only the few of an early slice while the result stays exact.
+    Both sides have a unique `id` and the rule's columns. A left row first meets only the first
+    few members of its right-hand blocks. It goes on to more members only while a smaller match
+    is still possible, so rows with very many matches leave early and the result stays exact.
+    need='any' is content with any match.
     """
     root = scratch_root(left.sparkSession)
     plain = stage(right, f"{root}/right-texts")
     ranks = gram_ranks(plain, rule)
-    low, high, rows = plain.agg(F.min("id"), F.max("id"), F.count("*")).first()
     # Tokens are costly to derive and read several times, so both sides are written out.
-    rest = stage(with_tokens(spread_out(left), rule, ranks), f"{root}/left")
-    others = stage(with_tokens(spread_out(plain), rule, ranks), f"{root}/right")
-    if rows <= SLICE_MIN_ROWS:
-        return _first(rest, others, rule)
-    found, start = None, low
-    for part in SLICES:
-        end = high if part == 1 else low + (high - low) // part
-        hits = stage(_first(rest, others.where(F.col("id").between(start, end)), rule),
-                     f"{root}/hits-{part}")
-        found = hits if found is None else found.unionByName(hits)
-        rest = rest.join(hits.select(F.col("l_id").alias("id")), "id", "left_anti")
-        start = end + 1
-    return found
-
-
-def _first(left: DataFrame, right: DataFrame, rule: Rule) -> DataFrame:
-    pairs = alike(postings(left, "id", rule, "l"), postings(right, "id", rule, "r"), rule)
-    return pairs.groupBy("l_id").agg(F.min("r_id").alias("r_id"))
+    rest = stage(with_tokens(spread_out(left), rule, ranks), f"{root}/left").withColumn(
+        "best", F.lit(_NO_ID))
+    others = postings(stage(with_tokens(spread_out(plain), rule, ranks), f"{root}/right"),
+                      "id", rule, "r")
+    small = plain.count() <= SMALL_RIGHT
+    done = []
+    for number, limit in enumerate((None,) if small else HEADS):
+        path = f"{root}/round-{number}"
+        heads = others if limit is None else stage(block_heads(others, limit), f"{path}/heads")
+        mine = postings(rest, "id", rule, "l", ("best",))
+        pairs = alike(mine, heads, rule, F.col("r_id") < F.col("l_best"))
+        hits = pairs.groupBy(F.col("l_id").alias("id")).agg(F.min("r_id").alias("hit"))
+        rest = stage(rest.join(hits, "id", "left").withColumn(
+            "best", F.least("best", "hit")).drop("hit"), f"{path}/left")
+        if limit is None:
+            done.append(rest)
+            break
+        goes_on = _unsettled(rest, heads, rule, limit)
+        if need == "any":
+            goes_on = goes_on.join(rest.where(F.col("best") < _NO_ID), "id", "left_anti")
+        goes_on = stage(goes_on, f"{path}/open")
+        done.append(rest.join(goes_on, "id", "left_anti"))
+        rest = stage(rest.join(goes_on, "id", "left_semi"), f"{path}/rest")
+        if rest.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, [d.select("id", "best") for d in done])
+    return found.where(F.col("best") < _NO_ID).select(
+        F.col("id").alias("l_id"), F.col("best").alias("r_id"))
+
+
+def _unsettled(rest: DataFrame, heads: DataFrame, rule: Rule, limit: int) -> DataFrame:
+    """Ids with a block whose members beyond the heads may still hold a smaller match."""
+    cut = heads.groupBy("token").agg(F.count("*").alias("n"), F.max("r_id").alias("last")).where(
+        F.col("n") >= limit)
+    mine = postings(rest, "id", rule, "l", ("best",)).select(
+        F.col("l_id").alias("id"), F.col("l_best").alias("best"), "token")
+    open_blocks = salted_join(mine, cut, "token", "inner", spread="id")
+    return open_blocks.where(F.col("last") < F.col("best")).select("id").distinct()

@@ -22,20 +22,25 @@ def hot_keys(df: DataFrame, key: str, fraction: float = SAMPLE, min_seen: int =
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: str,
-                hot: list | None = None, salts: int = SALTS) -> DataFrame:
+                hot: list | None = None, salts: int = SALTS, width: int | None = None) -> DataFrame:
     """Equi-join on `key` where `left` may be badly skewed.
 
     Rows of hot left keys are spread over `salts` partitions by the hash of the `spread` column
-    and the right rows of those keys are repeated once per salt.
+    and the right rows of those keys are repeated once per salt. `width` fixes the number of
+    shuffle partitions, for joins whose work is far larger than their input.
     """
     hot = hot_keys(left, key) if hot is None else hot
-    if not hot:
-        return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    copies = F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))
-    return left.withColumn("_salt", F.when(is_hot, salt).otherwise(0)).join(
-        right.withColumn("_salt", F.explode(copies)), [key, "_salt"], how).drop("_salt")
+    on = [key]
+    if hot:
+        is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+        salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+        copies = F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0))
+        left = left.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
+        right = right.withColumn("_salt", F.explode(copies))
+        on = [key, "_salt"]
+    if width:
+        left, right = left.repartition(width, *on), right.repartition(width, *on)
+    return left.join(right, on, how).drop("_salt")
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -40,8 +40,8 @@ def with_keys(listings: DataFrame, prefs: Prefs = Prefs()) -> DataFrame:
 
 
 def with_freshness(scored: DataFrame, as_of: Column, prefs: Prefs = Prefs()) -> DataFrame:
-    posted = parse_posted_date(F.col("date_posted"), as_of)
-    return scored.withColumn("freshness", freshness(posted, as_of, prefs))
+    dated = scored.withColumn("_posted", parse_posted_date(F.col("date_posted"), as_of))
+    return dated.withColumn("freshness", freshness(F.col("_posted"), as_of, prefs)).drop("_posted")
 
 
 def new_listings(listings: DataFrame, store: DataFrame, as_of: Column, root: str,

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from listwright.functions.text import normalize_company, normalize_title
-from listwright.operators.skew import salted_join
+from listwright.operators.skew import SALTS, salted_join
 from listwright.operators.store import anti_seen_url, assign_ids, insert_listings, last_id
 from listwright.prefs import Prefs
 
@@ -27,8 +25,7 @@ def file_stream(spark: SparkSession, schema: StructType, folder: str, files: str
 def _runs(spark: SparkSession, folder: str, before: int, schema: StructType) -> DataFrame:
     """What earlier runs stored; a repeated run never sees its own first attempt."""
     parts = [f"{folder}/run={n}" for n in range(before)]
-    frames = [spark.read.schema(schema).parquet(p) for p in parts]
-    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
 
 
 def drain(stream: DataFrame, run, checkpoint: str) -> None:
@@ -89,9 +86,16 @@ def stream_ingest(stream: DataFrame, store: str, checkpoint: str, as_of: Column,
     return _runs(spark, store, max(done, default=-1) + 1, schema)
 
 
-def stream_dedup_url(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """First row per URL within the horizon; state older than that is dropped."""
-    deduped = stream.withWatermark("date_scraped", HORIZON).dropDuplicatesWithinWatermark(["url"])
+def stream_dedup_url(stream: DataFrame, out: str, checkpoint: str, spread: str = "ord") -> DataFrame:
+    """First row per URL within the horizon; state older than that is dropped.
+
+    Duplicates go in two steps, first within one of SALTS parts of a URL's rows, so the single
+    task that settles a very frequent URL sees at most SALTS of its rows.
+    """
+    salted = stream.withWatermark("date_scraped", HORIZON).withColumn(
+        "_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    deduped = salted.dropDuplicatesWithinWatermark(["url", "_salt"]).drop(
+        "_salt").dropDuplicatesWithinWatermark(["url"])
     deduped.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(deduped.schema).parquet(out)

@@ -38,7 +38,7 @@ def test_scan_reads_only_what_a_filter_needs(listings):
 def test_similarity_join_is_an_equi_join(spark, listings):
     keys, rule = clustering.distinct_keys(listings), Rule()
     tokens = with_tokens(keys, rule, gram_ranks(keys, rule))
-    text = plan(alike(postings(tokens, "id", rule, "l"), postings(tokens, "id", rule, "r"), rule, True))
+    text = plan(alike(postings(tokens, "id", rule, "l"), postings(tokens, "id", rule, "r"), rule))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin"):
         assert bad not in text
     assert "SortMergeJoin" in text

@@ -123,11 +123,12 @@ def test_dedup_equals_sequential(spark):
         assert chosen == max(members, key=lambda p: (p[2], -p[0]))[0]
 
 
-@pytest.mark.parametrize("sliced", [False, True])
-def test_first_alike_equals_brute_force(spark, monkeypatch, sliced):
+@pytest.mark.parametrize("rounds", [False, True])
+def test_first_alike_equals_brute_force(spark, monkeypatch, rounds):
     left, right = sorted(set(make_keys(7, 120))), sorted(set(make_keys(8, 120)))
-    if sliced:
-        monkeypatch.setattr(similarity, "SLICE_MIN_ROWS", 0)
+    if rounds:
+        monkeypatch.setattr(similarity, "SMALL_RIGHT", 0)
+        monkeypatch.setattr(similarity, "HEADS", (1, 4, None))
     as_df = [spark.createDataFrame([(i, k) for i, k in enumerate(ks)], "id bigint, key string")
              for ks in (left, right)]
     got = {r["l_id"]: r["r_id"] for r in first_alike(*as_df, Rule()).collect()}
@@ -137,6 +138,9 @@ def test_first_alike_equals_brute_force(spark, monkeypatch, sliced):
         if hits:
             want[i] = hits[0]
     assert got == want
+    some = first_alike(*as_df, Rule(), need="any").collect()
+    assert {r["l_id"] for r in some} == set(want)
+    assert all(alike(left[r["l_id"]], right[r["r_id"]], 85) for r in some)
 
 
 def test_two_part_rule_with_empty_and_short_parts(spark):
@@ -174,6 +178,25 @@ def test_hot_token_blocks_are_salted(spark, monkeypatch):
     assert got == leaders(keys)
 
 
+def test_copies_on_both_sides_leave_early(spark, monkeypatch):
+    """Two cliques of near copies: each left row meets a few right rows, not all of them."""
+    monkeypatch.setattr(similarity, "SMALL_RIGHT", 0)
+    monkeypatch.setattr(similarity, "HEADS", (2, 8, None))
+    made = [spark.createDataFrame([(i, f"acme works|operations analyst {s}{i:03d}|berlin")
+                                   for i in range(150)], "id bigint, key string") for s in "xy"]
+    sizes = []
+    plain = similarity.alike
+
+    def counted(left, right, *a):
+        out = plain(left, right, *a)
+        sizes.append(out.distinct().count())
+        return out
+
+    monkeypatch.setattr(similarity, "alike", counted)
+    got = first_alike(*made, Rule(), need="any").collect()
+    assert len(got) == 150 and len(sizes) == 1 and sizes[0] < 150 * 40
+
+
 def test_near_copies_do_not_meet_pairwise(spark, monkeypatch):
     """With few pivots a clique of n keys is settled by far fewer than n * n / 2 pairs."""
     keys = [f"acme works|operations analyst {i:03d}|berlin" for i in range(200)]
