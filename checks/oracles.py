@@ -328,7 +328,7 @@ def alike(a: str, b: str, ratio: int) -> str:
             f"THEN {lcs(a, b)} * 200 >= {ratio} * {total} ELSE false END")
 
 
-oracle("indel_ratio_titles", f"""WITH t AS (SELECT ord, concat(title, ' ', company) AS a FROM listings),
+oracle("indel_ratio", f"""WITH t AS (SELECT ord, concat(title, ' ', company) AS a FROM listings),
   p AS (SELECT t.ord, t.a, n.a AS b FROM t JOIN t n ON n.ord = t.ord + 1)
   SELECT ord, round({lcs('a', 'b')} * 200.0 / (length(a) + length(b)), 6)::DOUBLE AS ratio FROM p""", "listings")
 
@@ -593,9 +593,9 @@ RUN = f"""{KEYED}, store AS (SELECT * FROM keyed WHERE ord % 9 = 0), batch AS MA
   {ENRICHED.replace('FROM listings l', 'FROM flagged l')}, {BODY}, {MERGED},
   results AS (SELECT m.*, CASE WHEN coalesce(vc_backed, false) AND raw_score < 10 THEN least(10.0, raw_score + 0.5) ELSE raw_score END::DOUBLE AS score,
     {fresh(POSTED)} AS freshness FROM merged m WHERE raw_score IS NOT NULL AND reject_reason IS NULL AND words >= 1)"""
-oracle("pipeline_scored", f"""WITH RECURSIVE {RUN} SELECT ord, title, company, score, freshness, vc_source, is_repost, original_listing_id, leader_ord
+oracle("run_scored", f"""WITH RECURSIVE {RUN} SELECT ord, title, company, score, freshness, vc_source, is_repost, original_listing_id, leader_ord
   FROM results""", *RESULT_VIEWS)
-oracle("pipeline_funnel", f"""WITH RECURSIVE {RUN}, c AS (SELECT (SELECT count(*) FROM batch) AS n0, (SELECT count(*) FROM uniq) AS n1,
+oracle("run_funnel", f"""WITH RECURSIVE {RUN}, c AS (SELECT (SELECT count(*) FROM batch) AS n0, (SELECT count(*) FROM uniq) AS n1,
     (SELECT count(*) FROM flagged) AS n2, (SELECT count(*) FROM flagged WHERE reject_reason IS NULL) AS n3,
     (SELECT count(*) FROM flagged WHERE reject_reason IS NULL AND words >= 1) AS n4, (SELECT count(*) FROM results) AS n5,
     (SELECT count(*) FROM flagged WHERE is_repost) AS r2, (SELECT count(*) FROM flagged WHERE is_repost AND reject_reason IS NULL) AS r3,

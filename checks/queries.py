@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from checks import boards
 from checks.views import AS_OF, table, view
 from listwright.functions import cards as C, dates as D, salary as S, text as X
-from listwright.functions.similarity import indel_ratio
+from listwright.functions import similarity as M
 from listwright.operators import (
     clustering, enrich, export, filters, health, linkage, metrics, scoring, store,
 )
@@ -243,12 +243,12 @@ _scalar("format_salary", "listings", lambda: [
 
 
 @query
-def indel_ratio_titles(spark, sf_dir):
+def indel_ratio(spark, sf_dir):
     """Consecutive titles and companies compared; one neighbour each, no pairing of groups."""
     df = _listings(spark, sf_dir).select("ord", F.concat_ws(" ", "title", "company").alias("a"))
     nxt = df.select((F.col("ord") - 1).alias("ord"), F.col("a").alias("b"))
     return df.join(nxt, "ord").select(
-        "ord", F.round(indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+        "ord", F.round(M.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 @query
@@ -663,12 +663,12 @@ def run_pipeline(spark: SparkSession, sf_dir: str) -> pipeline.Run:
 
 
 @query
-def pipeline_scored(spark, sf_dir):
+def run_scored(spark, sf_dir):
     return run_pipeline(spark, sf_dir).scored.select(
         "ord", "title", "company", "score", "freshness", "vc_source", "is_repost",
         "original_listing_id", "leader_ord")
 
 
 @query
-def pipeline_funnel(spark, sf_dir):
+def run_funnel(spark, sf_dir):
     return run_pipeline(spark, sf_dir).funnel.withColumn("step_no", _long("step_no"))

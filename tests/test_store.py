@@ -98,3 +98,19 @@ def test_subjects(spark):
     assert subject(0, 1) == export.SUBJECT_ALERT
     assert subject(0, 0) == export.SUBJECT_CLEAR
     assert subject(6, 1) == "🎯 6 New Job Matches (Top: 7.5/10)"
+
+
+def test_scratch_needs_a_shared_folder_off_local(monkeypatch):
+    import pytest
+
+    from listwright.operators.scratch import scratch_root
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    with pytest.raises(RuntimeError):
+        scratch_root(Session(spark_master="spark://host:7077"))
+    assert scratch_root(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/cp/")).startswith(
+        "hdfs://x/cp/listwright/")
+    assert "listwright" in scratch_root(Session(spark_master="local[2]"))
