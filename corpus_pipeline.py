@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listwright.llm.decontaminate import drop_contaminated
+from listwright.llm.near_dup import MinHash, keep_one
+from listwright.llm.privacy import sanitised
 from listwright.llm.quality import keep_good
+from listwright.llm.retrieval_packing import retrieval_pack
 from listwright.llm.shared import staged, table
 
 
@@ -15,13 +19,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the smallest doc_id stays."""
+    return keep_one(docs, MinHash())
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and what reveals it are replaced in the texts."""
+    return sanitised(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids in windows: one row per piece, with its ids."""
+    return retrieval_pack(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("privacy", privacy),
+    ("packing", packing),
 ]
 
-#: Near duplicates, trained-free hashing and packing have no form in SQL; tests use brute force.
+#: Fingerprints, MinHash and token ids have no form in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 

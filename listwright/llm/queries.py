@@ -6,22 +6,63 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listwright.llm.chunk_dedup import passage_report
+from listwright.llm.decontaminate import contamination
+from listwright.llm.html_extract import extract_main_text
+from listwright.llm.licenses import license_scan
+from listwright.llm.near_dup import MinHash, near_duplicates
+from listwright.llm.packing import packed_windows
+from listwright.llm.privacy import personal_data
 from listwright.llm.quality import quality_rules
+from listwright.llm.retrieval_packing import retrieval_pack
 from listwright.llm.shared import table
 from listwright.llm.token_counts import token_counts
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), MinHash(words=3, percent=85))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_pack(table(spark, sf_dir, "documents"), checksums=True)
+
+
+def op7_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_windows(table(spark, sf_dir, "documents"), checksums=True)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op5_token_counts, op8_quality_rules,
+        op1_decontamination, op2_personal_data, op3_repeated_passages, op4_near_duplicates, op5_token_counts,
+        op6_retrieval_packing, op7_packed_windows, op8_quality_rules, op9_license_scan, op10_main_text,
     )
 }
 
