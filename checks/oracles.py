@@ -72,16 +72,17 @@ LINKS = rf"""tags AS (SELECT page_id, url AS base, unnest(regexp_extract_all(htm
     trim(regexp_replace(tag, '\s*<[^>]*>\s*', '', 'g')) AS text FROM tags)"""
 DECODED = ("replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')")
 oracle("extract_links", f"WITH {LINKS} SELECT page_id, pos, href, {DECODED} AS text FROM found")
-oracle("resolve_url", rf"""WITH {LINKS}, made AS (SELECT page_id, pos, base, CASE pos % 8
+oracle("resolve_url", rf"""WITH {LINKS}, made AS (SELECT page_id, pos, base, CASE pos % 11
+    WHEN 8 THEN 'mailto:a@b.c' WHEN 9 THEN 'tel:' || pos WHEN 10 THEN 'javascript:void(0)'
     WHEN 0 THEN href WHEN 1 THEN 'http://abs.test' || href WHEN 2 THEN '#' || pos WHEN 3 THEN '?p=' || pos
     WHEN 4 THEN 'sub' || href WHEN 5 THEN '../up' || href WHEN 6 THEN '//cdn.test' || href ELSE '' END AS href,
     regexp_extract(base, '^(https?:)', 1) AS scheme, regexp_extract(base, '^(https?://[^/]*)', 1) AS origin,
     regexp_extract(base, '^https?://[^/]*([^?#]*)', 1) AS path FROM found)
-  SELECT page_id, pos, CASE pos % 8 WHEN 0 THEN origin || href WHEN 1 THEN href
+  SELECT page_id, pos, CASE WHEN pos % 11 > 7 THEN href ELSE CASE pos % 11 WHEN 0 THEN origin || href WHEN 1 THEN href
     WHEN 2 THEN regexp_replace(base, '#.*', '') || href WHEN 3 THEN origin || path || href
     WHEN 4 THEN origin || regexp_replace(path, '[^/]*$', '') || href
     WHEN 5 THEN origin || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]*/$', '') || substr(href, 4)
-    WHEN 6 THEN scheme || href ELSE base END AS url FROM made""")
+    WHEN 6 THEN scheme || href ELSE base END END AS url FROM made""")
 oracle("first_seen_url", f"""WITH {LINKS} SELECT href AS url, page_id, pos FROM found
   QUALIFY row_number() OVER (PARTITION BY href ORDER BY page_id, pos) = 1""")
 
@@ -191,7 +192,7 @@ oracle("choose_apply_url", """WITH u AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN
   SELECT ord, coalesce(url, share, 'job') AS with_id, coalesce(url, share, '') AS without_id FROM c""", "listings")
 oracle("union_sources", """WITH r AS (SELECT *, CASE source WHEN 'src4' THEN 0 WHEN 'src0' THEN 2 WHEN 'src3' THEN 3 ELSE 4 END AS rnk
     FROM listings WHERE source <> 'src2')
-  SELECT source, rnk::BIGINT AS source_rank, rnk::BIGINT * 281474976710656 + ord AS ord,
+  SELECT source, rnk::BIGINT AS source_rank, row_number() OVER (ORDER BY rnk, ord) - 1 AS ord,
     CASE WHEN source <> 'src3' THEN url END AS url, 1::BIGINT AS errors FROM r""", "listings")
 
 # Scalar functions
@@ -465,7 +466,7 @@ oracle("latest_state", """SELECT o_custkey AS id,
   arg_max(o_orderstatus, o_orderkey) FILTER (o_orderkey % 3 <> 0) AS status,
   arg_max(o_totalprice > 100000, o_orderkey) FILTER (o_orderkey % 2 = 0) AS synced,
   arg_max(o_orderpriority < '3', o_orderkey) AS url_alive FROM orders GROUP BY o_custkey""")
-oracle("key_index", f"SELECT {KEY} AS fuzzy_key, max(ord) + 1 AS id FROM listings WHERE ord % 3 = 0 GROUP BY 1", "listings")
+oracle("key_index", f"SELECT {KEY} AS fuzzy_key, max(ord) + 1 AS id FROM listings GROUP BY 1", "listings")
 RUNS = f"""SELECT CAST(CAST(date_scraped AS DATE) AS VARCHAR) AS run_date, source, count(*) AS listings_scraped,
   count(*) FILTER (({REASON}) IS NULL) AS listings_passed_filter, min(ord) AS id FROM listings GROUP BY 1, 2"""
 oracle("run_log", RUNS, "listings")

@@ -91,8 +91,9 @@ def resolve_url(spark, sf_dir):
     shapes = F.array(F.col("href"), F.concat(F.lit("http://abs.test"), F.col("href")),
                      F.concat(F.lit("#"), F.col("pos")), F.concat(F.lit("?p="), F.col("pos")),
                      F.concat(F.lit("sub"), F.col("href")), F.concat(F.lit("../up"), F.col("href")),
-                     F.concat(F.lit("//cdn.test"), F.col("href")), F.lit(""))
-    made = found.join(base, "page_id").withColumn("href", F.get(shapes, (F.col("pos") % 8).cast("int")))
+                     F.concat(F.lit("//cdn.test"), F.col("href")), F.lit(""), F.lit("mailto:a@b.c"),
+                     F.concat(F.lit("tel:"), F.col("pos")), F.lit("javascript:void(0)"))
+    made = found.join(base, "page_id").withColumn("href", F.get(shapes, (F.col("pos") % 11).cast("int")))
     return made.select("page_id", "pos", links.resolve_url(F.col("href"), F.col("base")).alias("url"))
 
 
@@ -477,7 +478,7 @@ def latest_state(spark, sf_dir):
 
 @query
 def key_index(spark, sf_dir):
-    return store.key_index(_store(spark, sf_dir))
+    return store.key_index(_keyed(spark, sf_dir).withColumn("id", F.col("ord") + 1))
 
 
 @query

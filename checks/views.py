@@ -16,7 +16,7 @@ SELECT p.p_partkey AS ord,
   split_part('Operations Analyst|Chief of Staff|Senior Operations Analyst|Strategy & Operations Lead|Nurse Coordinator|VP Finance|Data Engineer|Growth Associate', '|', CAST(1 + p.p_size % 8 AS INT)) AS title,
   concat(p.p_name, split_part(' Inc.| LLC|, Labs| Technologies, Inc.||-Co', '|', CAST(1 + p.p_partkey % 6 AS INT))) AS company,
   split_part('Santa Monica, CA|San Francisco|Brooklyn, NY|Atlanta, GA|Remote|Berlin||Oakland', '|', CAST(1 + (p.p_partkey * 7) % 8 AS INT)) AS location,
-  CASE WHEN d.doc_id IS NULL THEN NULL ELSE concat(substring(d.text, 1, 300), split_part(' 5+ years of experience| 2-4 years experience| minimum 7 yrs|| requires 1 year| 10 years in ops. HIPAA', '|', CAST(1 + p.p_partkey % 6 AS INT))) END AS description,
+  CASE WHEN d.doc_id IS NULL THEN NULL ELSE concat(d.text, split_part(' 5+ years of experience| 2-4 years experience| minimum 7 yrs|| requires 1 year| 10 years in ops. HIPAA', '|', CAST(1 + p.p_partkey % 6 AS INT))) END AS description,
   CASE WHEN p.p_partkey % 4 = 0 THEN NULL ELSE CAST(floor(o.o_totalprice / 4) AS DOUBLE) END AS salary_min,
   CASE WHEN p.p_partkey % 3 = 0 THEN NULL ELSE CAST(floor(o.o_totalprice / 3) AS DOUBLE) END AS salary_max,
   CASE WHEN p.p_partkey % 5 = 0 THEN '3+ years experience' ELSE NULL END AS experience_required,
@@ -29,9 +29,9 @@ SELECT p.p_partkey AS ord,
   CASE p.p_partkey % 4 WHEN 0 THEN 'Biotech' WHEN 1 THEN 'Fintech' WHEN 2 THEN '' ELSE NULL END AS company_industry,
   e.ts AS date_scraped
 FROM part p
-LEFT JOIN documents d ON d.doc_id = p.p_partkey
-JOIN orders o ON o.o_orderkey = p.p_partkey
-JOIN events e ON e.event_id = p.p_partkey * 5
+LEFT JOIN documents d ON d.doc_id = p.p_partkey - 1
+LEFT JOIN (SELECT 1 + o_orderkey % (SELECT count(*) FROM part) AS k, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) o ON o.k = p.p_partkey
+LEFT JOIN (SELECT 1 + event_id % (SELECT count(*) FROM part) AS k, min(ts) AS ts FROM events GROUP BY 1) e ON e.k = p.p_partkey
 """
 
 RESPONSES = """
@@ -103,7 +103,7 @@ SELECT ord * 2 + 1 AS id, ord + 1 AS listing_id, CAST(ord % 21 AS DOUBLE) / 2 AS
   CASE ord % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE ELSE NULL END AS vc_backed,
   split_part('green|yellow|red|black|unknown', '|', CAST(1 + ord % 5 AS INT)) AS freshness,
   ord % 4 = 0 AS is_repost
-FROM listings WHERE ord % 2 = 0
+FROM listings
 UNION ALL
 SELECT ord * 2 + 2 AS id, ord + 1 AS listing_id, CAST(ord % 19 AS DOUBLE) / 2 AS score,
   FALSE AS synced, 'new' AS status, TRUE AS url_alive, CAST(NULL AS BOOLEAN) AS vc_backed,

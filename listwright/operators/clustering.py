@@ -10,6 +10,7 @@ key may be judged once it is a pivot in all its blocks, i.e. once it met every e
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,10 +21,7 @@ from listwright.operators.similarity import (
 )
 
 PIVOTS = 64
-MAX_PIVOTS = 4096
-SMALL_WORK = 20_000_000  # comparisons any input may use in its first round
 PIVOT_GROWTH = 4
-MAX_ROUNDS = 200
 STEPS_PER_TABLE = 4
 MAX_POINTS = 10  # completeness runs from 0 to 10
 
@@ -35,7 +33,7 @@ def distinct_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("fuzzy_key").alias("key")).agg(F.min("ord").alias("id"))
 
 
-def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int | None = None) -> DataFrame:
+def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int = PIVOTS) -> DataFrame:
     """(l_id, r_id) for every key (key, id) and each earlier leader it is alike to.
 
     Keys without an edge are the leaders.
@@ -44,18 +42,14 @@ def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int | None = None) ->
     root = scratch_root(keys.sparkSession)
     keys = stage(keys, f"{root}/keys")
     nodes = stage(with_tokens(spread_out(keys), rule, gram_ranks(keys, rule)), f"{root}/nodes")
-    if pivots is None:
-        posted = nodes.agg(F.sum(F.size("tokens"))).first()[0] or 1
-        pivots = min(MAX_PIVOTS, max(PIVOTS, SMALL_WORK // posted))
     states = nodes.select("id", F.lit(_OPEN).alias("state"))
     edge_parts = []
-    for number in range(MAX_ROUNDS):
+    for number in count():
         states, edges, still_open = _round(nodes, states, rule, pivots, f"{root}/round-{number}")
         edge_parts.append(edges)
         if not still_open:
             return reduce(DataFrame.unionByName, edge_parts)
         pivots *= PIVOT_GROWTH
-    raise RuntimeError(f"clustering undecided after {MAX_ROUNDS} rounds")
 
 
 def _round(nodes, states, rule, pivots, path):

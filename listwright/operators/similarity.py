@@ -3,7 +3,8 @@
 For ratio t and total length s, two alike texts share at least 3*ceil(t*s/2) - s - 1 bigrams
 (q-gram bound: Gravano et al., VLDB 2001). With all bigrams in one global order, rarest first,
 alike texts therefore share a bigram within a short prefix of each (Chaudhuri et al., ICDE 2006),
-so an equi-join on prefix bigrams loses no pair. Candidates pass native bounds (length, bit
+so an equi-join on prefix bigrams loses no pair. Texts so short that alike ones may share no bigram
+also carry prefix tokens of their characters, of which alike texts always share one. Candidates pass native bounds (length, bit
 sketches, token position) and are then checked exactly in an Arrow UDF.
 """
 
@@ -19,7 +20,6 @@ from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.skew import salted_join
 
 GRAM_BUCKETS = 4096  # size of the rarity table, whatever the data
-SMALL_RIGHT = 20_000  # up to this many right rows, all candidates are met in one round
 HEADS = (64, 1024, 16_384, None)  # members of a right-hand block met per round; None: all
 
 _NO_ID = 2**63 - 1
@@ -99,14 +99,29 @@ def _bits(buckets: Column) -> list[Column]:
     ]
 
 
-def _char_bag(text: Column) -> Column:
-    """Each character with its running number, hashed to 0..127."""
-    def bucket(i):
+def _numbered_chars(text: Column) -> Column:
+    """Hashes of each character with its running number."""
+    def number(i):
         head, char = text.substr(F.lit(1), i), text.substr(i, F.lit(1))
         nth = F.length(head) - F.length(F.replace(head, char, F.lit("")))
-        return F.pmod(F.xxhash64(char, nth), F.lit(128)).cast("int")
+        return F.xxhash64(char, nth)
+
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), number)
+
+
+def _char_bag(text: Column) -> Column:
+    return F.transform(_numbered_chars(text), lambda c: F.pmod(c, F.lit(128)).cast("int"))
+
 
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), bucket)
+def _char_tokens(text: Column, ratio: int) -> Column:
+    """Numbered characters in one global order, as many as texts alike to this one must meet.
+
+    Alike texts have a common subsequence, so at least as many numbered characters in common.
+    """
+    length = F.length(text)
+    common = F.ceil((length + F.ceil(length * ratio / (200 - ratio))) * ratio / 200)
+    keep = F.greatest(length - common + 1, F.lit(1)).cast("int")
+    return F.slice(F.sort_array(_numbered_chars(text)), F.lit(1), keep)
 
 
 def with_tokens(texts: DataFrame, rule: Rule, ranks: Column) -> DataFrame:
@@ -119,10 +134,13 @@ def with_tokens(texts: DataFrame, rule: Rule, ranks: Column) -> DataFrame:
     length = F.length(rule.text)
     grams = F.sort_array(F.transform(_grams(rule.text), ordered))
     keep = F.when(length > 1, F.size(grams) - _shared_grams(length, rule.ratio) + 1).otherwise(1)
+    # Where the bound says nothing, characters take over.
+    short = F.when(_shared_grams(length, rule.ratio) < 1, _char_tokens(rule.text, rule.ratio)).otherwise(
+        F.array().cast("array<bigint>"))
     chars = _bits(_char_bag(rule.text))
     pairs = _bits(F.transform(_grams(rule.text), lambda g: F.pmod(g, F.lit(128)).cast("int")))
     return texts.withColumns({
-        "tokens": F.slice(grams, F.lit(1), keep.cast("int")),
+        "tokens": F.concat(F.slice(grams, F.lit(1), keep.cast("int")), short),
         "chars_a": chars[0], "chars_b": chars[1], "pairs_a": pairs[0], "pairs_b": pairs[1],
         "text_length": length,
     })
@@ -171,7 +189,7 @@ def alike(left: DataFrame, right: DataFrame, rule: Rule, only: Column | None = N
         (common <= F.least("l_text_length", "r_text_length"))
         & (differing("chars_a", "chars_b") * 100 <= total * (100 - rule.ratio))
         & (differing("pairs_a", "pairs_b") * 100 <= total * 3 * (100 - rule.ratio))
-        & ((room >= 3 * common - total - 1) | (total <= 3))
+        & ((room >= 3 * common - total - 1) | (3 * common - total - 1 < 1))
     )
     for c, ratio in rule.parts:
         pairs = pairs.where(at_least(F.col(f"l_{c}"), F.col(f"r_{c}"), ratio))
@@ -194,9 +212,8 @@ def first_alike(left: DataFrame, right: DataFrame, rule: Rule, need: str = "firs
         "best", F.lit(_NO_ID))
     others = postings(stage(with_tokens(spread_out(plain), rule, ranks), f"{root}/right"),
                       "id", rule, "r")
-    small = plain.count() <= SMALL_RIGHT
     done = []
-    for number, limit in enumerate((None,) if small else HEADS):
+    for number, limit in enumerate(HEADS):
         path = f"{root}/round-{number}"
         heads = others if limit is None else stage(block_heads(others, limit), f"{path}/heads")
         mine = postings(rest, "id", rule, "l", ("best",))

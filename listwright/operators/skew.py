@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_SHARE = 256  # a key is hot when it holds at least 1/256 of the sampled rows: at most 256 are
+HOT_SHARE = 256  # a key is hot when it holds at least 1/256 of the sampled rows: so at most 256 are
 SALTS = 64
 SAMPLE = 0.01
 MIN_SEEN = 50
@@ -17,8 +17,9 @@ def hot_keys(df: DataFrame, key: str, fraction: float = SAMPLE, min_seen: int =
     """
     rows = df.select(key) if fraction >= 1 else df.select(key).sample(fraction, seed=7)
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), key).limit(HOT_SHARE).where(F.col("n") >= min_seen)
-    return [r[0] for r in top.select(key).collect()]
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where((F.col("n") >= min_seen) & (F.col("n") * HOT_SHARE >= total))
+    return [r[0] for r in hot.select(key).collect()]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: str,
@@ -46,8 +47,8 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: s
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row with the smallest `order` (unique) of every key.
 
-    The minimum is pre-aggregated before the shuffle and the rows are fetched back by the unique
-    order column, so a key holding most rows costs no more than any other.
+    One aggregation, combined before the shuffle: the input is evaluated once and a key holding
+    most rows costs no more than any other.
     """
-    firsts = df.groupBy(key).agg(F.min(order).alias(order))
-    return df.join(firsts.select(order), order, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")

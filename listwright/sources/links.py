@@ -66,7 +66,7 @@ def _plain_path(path: Column) -> Column:
 
 
 def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute links stay; the others are joined with the base URL."""
+    """Links with a scheme of their own stay; the others are joined with the base URL."""
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -75,7 +75,7 @@ def resolve_url(href: Column, base: Column) -> Column:
     own_path = F.regexp_extract(href, r"^([^?#]*)", 1)
     rest = F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
     return (
-        F.when(href.startswith("http"), href)
+        F.when(href.startswith("http") | href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href == "", base)
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("#"), F.concat(query, href))
@@ -101,8 +101,11 @@ def first_seen_by_url(links: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def arrival(page_id: Column, pos: Column) -> Column:
-    """Order of a link over all pages of a source; a page holds fewer than 2**24 nodes."""
-    return F.shiftleft(page_id, 24) + pos
+    """Order of a link over all pages of a source. A place or page number that does not fit its
+    24 or 39 bits is an error, never another link's number."""
+    fits = (pos >= 0) & (pos < 1 << 24) & (page_id >= 0) & (page_id < 1 << 39)
+    return F.when(fits, F.shiftleft(page_id, 24) + pos).otherwise(
+        F.raise_error(F.lit("page or place number out of range")).cast("bigint"))
 
 
 @dataclass(frozen=True)

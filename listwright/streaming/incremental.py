@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from listwright.functions.text import normalize_company, normalize_title
-from listwright.operators.skew import SALTS, salted_join
+from listwright.operators.scratch import scratch_root, stage
+from listwright.operators.skew import first_per_key, salted_join
 from listwright.operators.store import anti_seen_url, assign_ids, insert_listings, last_id
 from listwright.prefs import Prefs
 
-HORIZON = "30 days"
+
+def horizon(prefs: Prefs) -> str:
+    return f"{prefs.repost_days} days"
+
+
+def latest_event(batch: DataFrame) -> Column:
+    """The newest `date_scraped` of a batch, as its evaluation time."""
+    return F.lit(batch.agg(F.max("date_scraped")).first()[0]).cast("timestamp")
 
 
 def file_stream(spark: SparkSession, schema: StructType, folder: str, files: str = "*.parquet",
@@ -22,9 +33,16 @@ def file_stream(spark: SparkSession, schema: StructType, folder: str, files: str
     )
 
 
-def _runs(spark: SparkSession, folder: str, before: int, schema: StructType) -> DataFrame:
-    """What earlier runs stored; a repeated run never sees its own first attempt."""
-    parts = [f"{folder}/run={n}" for n in range(before)]
+def committed_runs(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the runs whose rows are completely written, from the storage itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/run=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().removeprefix("run=")) for f in found)
+
+
+def _runs(spark: SparkSession, folder: str, schema: StructType, before: int | None = None) -> DataFrame:
+    """What runs stored; a repeated run never sees its own first attempt or a later one."""
+    parts = [f"{folder}/run={n}" for n in committed_runs(spark, folder) if before is None or n < before]
     return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
 
 
@@ -68,43 +86,70 @@ def flag_exact_reposts(batch: DataFrame, store: DataFrame, as_of: Column,
         "is_repost", F.col("original_listing_id").isNotNull())
 
 
-def stream_ingest(stream: DataFrame, store: str, checkpoint: str, as_of: Column,
+def stream_ingest(stream: DataFrame, store: str, checkpoint: str, as_of: Column | Callable = latest_event,
                   prefs: Prefs = Prefs(), dedup=None) -> DataFrame:
     """Every arriving batch is one run; its rows go to a folder of its own, so retries replace
-    rather than repeat. Returns the final store."""
+    rather than repeat. Returns the final store, whether or not this call added a run.
+
+    `as_of` is a fixed time or a function of the batch; by default the horizon moves with the data.
+    """
     spark, schema = stream.sparkSession, stored_schema(stream.schema)
-    done = []
 
     def run(batch, number):
-        session = batch.sparkSession
-        known = _runs(session, store, number, schema)
-        rows = ingest_run(batch, known, as_of, prefs, dedup)
+        known = _runs(batch.sparkSession, store, schema, number)
+        rows = ingest_run(batch, known, as_of(batch) if callable(as_of) else as_of, prefs, dedup)
         rows.select(*schema.names).write.mode("overwrite").parquet(f"{store}/run={number}")
-        done.append(number)
 
     drain(stream, run, checkpoint)
-    return _runs(spark, store, max(done, default=-1) + 1, schema)
+    return _runs(spark, store, schema)
 
 
-def stream_dedup_url(stream: DataFrame, out: str, checkpoint: str, spread: str = "ord") -> DataFrame:
-    """First row per URL within the horizon; state older than that is dropped.
+def first_within_horizon(batch: DataFrame, passed: DataFrame, root: str, prefs: Prefs = Prefs()) -> DataFrame:
+    """Rows of a batch that no row of their URL passed before, not more than the horizon earlier.
 
-    Duplicates go in two steps, first within one of SALTS parts of a URL's rows, so the single
-    task that settles a very frequent URL sees at most SALTS of its rows.
+    `passed` holds the rows of earlier batches; a row older than the last one passed is late and stays
+    out. Each step passes the first open row of every URL by one pre-aggregated minimum and leaves
+    only rows beyond its horizon, so there are as many steps as horizons in a batch.
+    """
+    length = F.make_dt_interval(F.lit(prefs.repost_days))
+    oldest = batch.agg(F.min("date_scraped")).first()[0]
+    last = passed.where(F.col("date_scraped") >= F.lit(oldest) - length).groupBy("url").agg(
+        F.max("date_scraped").alias("_last"))
+    rest = stage(salted_join(batch, last, "url", "left", spread="ord").where(
+        F.col("_last").isNull() | (F.col("date_scraped") > F.col("_last") + length)).drop("_last"), f"{root}/rest")
+    order, parts = F.struct("date_scraped", "ord"), []
+    while not rest.isEmpty():
+        number = len(parts)
+        parts.append(stage(first_per_key(rest.withColumn("_at", order), "url", "_at").drop("_at"), f"{root}/first-{number}"))
+        until = parts[-1].select("url", (F.col("date_scraped") + length).alias("_until"))
+        rest = stage(salted_join(rest, until, "url", "inner", spread="ord").where(
+            F.col("date_scraped") > F.col("_until")).drop("_until"), f"{root}/rest-{number}")
+    return reduce(DataFrame.unionByName, parts, batch.limit(0))
+
+
+def stream_dedup_url(stream: DataFrame, out: str, checkpoint: str, prefs: Prefs = Prefs()) -> DataFrame:
+    """First row per URL within the horizon; a URL seen again after it is passed on again.
+
+    The state is what was passed on, one folder per batch, so retries replace their own rows and a
+    restart goes on from storage. Rows need `url`, `date_scraped` and a unique `ord`.
     """
-    salted = stream.withWatermark("date_scraped", HORIZON).withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
-    deduped = salted.dropDuplicatesWithinWatermark(["url", "_salt"]).drop(
-        "_salt").dropDuplicatesWithinWatermark(["url"])
-    deduped.writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(deduped.schema).parquet(out)
+    schema = stream.schema
+
+    def run(batch, number):
+        if batch.isEmpty():
+            return
+        passed = _runs(batch.sparkSession, out, schema, number)
+        rows = first_within_horizon(batch, passed, scratch_root(batch.sparkSession), prefs)
+        rows.select(*schema.names).write.mode("overwrite").parquet(f"{out}/run={number}")
+
+    drain(stream, run, checkpoint)
+    return _runs(stream.sparkSession, out, schema)
 
 
 def stream_daily_counts(stream: DataFrame, time: str, group: str, out: str,
-                        checkpoint: str) -> DataFrame:
+                        checkpoint: str, prefs: Prefs = Prefs()) -> DataFrame:
     """Rows per day and group. The newest counts of a day replace its earlier ones."""
-    counts = stream.withWatermark(time, HORIZON).groupBy(
+    counts = stream.withWatermark(time, horizon(prefs)).groupBy(
         F.window(time, "1 day"), group).agg(F.count("*").alias("n"))
     flat = counts.select(F.col("window.start").alias("day"), group, "n")
 

@@ -127,7 +127,6 @@ def test_dedup_equals_sequential(spark):
 def test_first_alike_equals_brute_force(spark, monkeypatch, rounds):
     left, right = sorted(set(make_keys(7, 120))), sorted(set(make_keys(8, 120)))
     if rounds:
-        monkeypatch.setattr(similarity, "SMALL_RIGHT", 0)
         monkeypatch.setattr(similarity, "HEADS", (1, 4, None))
     as_df = [spark.createDataFrame([(i, k) for i, k in enumerate(ks)], "id bigint, key string")
              for ks in (left, right)]
@@ -180,7 +179,6 @@ def test_hot_token_blocks_are_salted(spark, monkeypatch):
 
 def test_copies_on_both_sides_leave_early(spark, monkeypatch):
     """Two cliques of near copies: each left row meets a few right rows, not all of them."""
-    monkeypatch.setattr(similarity, "SMALL_RIGHT", 0)
     monkeypatch.setattr(similarity, "HEADS", (2, 8, None))
     made = [spark.createDataFrame([(i, f"acme works|operations analyst {s}{i:03d}|berlin")
                                    for i in range(150)], "id bigint, key string") for s in "xy"]
