@@ -2,18 +2,19 @@
 
 A document's set is its distinct word shingles. Documents with equal sets form one class, of which
 the smallest doc_id stands for all. Representatives that agree on all minima of a band are
-candidates; the packed low bits of all minima give a collision-corrected estimate of similarity
+candidates; the packed low bits of many minima give a collision-corrected estimate of similarity
 that removes hopeless ones, and the full sets of the rest are compared exactly.
 
-Within a band's bucket not all pairs are met: its members are compared with a few pivots, alike
-ones join one component, and only members of different components meet further pivots or, once
-these pairs are few against the rows, each other. So a bucket of copies costs one comparison each.
+Within a band's bucket not all pairs are met. Its members are first compared with its most popular
+one, the centre of a group of copies, and alike ones join one component; then only members outside
+the bucket's largest component meet the others. So a bucket of copies costs one comparison each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,18 +34,20 @@ class MinHash:
     percent: int = 80
     bands: int = 24
     rows: int = 4
-    bits: int = 4
+    #: Low bits kept of each of `minima` minima for the estimate.
+    bits: int = 1
+    minima: int = 2048
     #: The estimate may fall short of the true similarity by so many standard errors.
-    slack: float = 5.0
+    slack: float = 4.5
 
     @property
-    def hashes(self) -> int:
-        return self.bands * self.rows
+    def words_packed(self) -> int:
+        return -(-self.minima * self.bits // 64)
 
     @property
     def least_equal(self) -> int:
         """Equal low-bit fields below which a pair cannot reach `percent`, up to the slack."""
-        s, chance, k = self.percent / 100, 2.0**-self.bits, self.hashes
+        s, chance, k = self.percent / 100, 2.0**-self.bits, self.minima
         match = s + (1 - s) * chance
         return int(np.floor(k * match - self.slack * np.sqrt(k * match * (1 - match))))
 
@@ -86,64 +89,79 @@ def shingle_set(text: str, words: int, hashes: dict) -> np.ndarray:
     return np.unique(mixed * _MIX)
 
 
+def _random(n: int, seed: int, kind: type) -> np.ndarray:
+    """n odd numbers, one per row; the same ones everywhere."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, n, np.uint64).astype(kind)[:, None] | kind(1)
+
+
 class Signer:
-    """Minima of a set under `hashes` mixing rules, as band keys and packed low bits."""
+    """Minima of a set under random mixing rules, as band keys."""
 
     def __init__(self, how: MinHash):
-        self.how = how
-        rng = np.random.Generator(np.random.PCG64(20240917))
-        self.a = rng.integers(1, 2**63, how.hashes, np.uint64)[:, None] | np.uint64(1)
-        self.b = rng.integers(0, 2**63, how.hashes, np.uint64)[:, None]
+        self.how, n = how, how.bands * how.rows
+        self.a, self.b = _random(n, 20240917, np.uint64), _random(n, 20240918, np.uint64)
 
-    def minima(self, shingles: np.ndarray, block: int = 512) -> np.ndarray:
-        low = np.full(self.how.hashes, 2**64 - 1, np.uint64)
+    def __call__(self, shingles: np.ndarray, block: int = 512) -> list[int]:
+        low = np.full(len(self.a), 2**64 - 1, np.uint64)
         for at in range(0, len(shingles), block):
             x = shingles[None, at:at + block] * self.a + self.b
             x ^= x >> np.uint64(32)
             np.minimum(low, x.min(axis=1), out=low)
-        return low
-
-    def __call__(self, shingles: np.ndarray) -> tuple[list[int], list[int]]:
-        low = self.minima(shingles)
         mixed = np.zeros(self.how.bands, np.uint64)
         for column in low.reshape(self.how.bands, self.how.rows).T:
             mixed = (mixed * _MIX) ^ (mixed >> np.uint64(31)) ^ column
-        fields = (low & np.uint64(2**self.how.bits - 1)).astype(np.uint64)
-        per = 64 // self.how.bits
+        return mixed.view(np.int64).tolist()
+
+
+class Packer:
+    """Low bits of many minima, packed into 64-bit words."""
+
+    def __init__(self, how: MinHash):
+        self.how = how
+        self.a, self.b = _random(how.minima, 20240919, np.uint32), _random(how.minima, 20240920, np.uint32)
+
+    def minima(self, shingles: np.ndarray, block: int = 256) -> np.ndarray:
+        short = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+        low = np.full(self.how.minima, 2**32 - 1, np.uint32)
+        for at in range(0, len(short), block):
+            x = short[None, at:at + block] * self.a + self.b
+            x ^= x >> np.uint32(15)
+            np.minimum(low, x.min(axis=1), out=low)
+        return low
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        bits, per = self.how.bits, 64 // self.how.bits
+        fields = (self.minima(shingles) & np.uint32(2**bits - 1)).astype(np.uint64)
         fields = np.pad(fields, (0, -len(fields) % per)).reshape(-1, per)
-        packed = (fields << (np.arange(per, dtype=np.uint64) * np.uint64(self.how.bits))).sum(axis=1, dtype=np.uint64)
-        return mixed.view(np.int64).tolist(), packed.view(np.int64).tolist()
+        packed = (fields << (np.arange(per, dtype=np.uint64) * np.uint64(bits))).sum(axis=1, dtype=np.uint64)
+        return packed.view(np.int64)
 
 
 def signatures(docs: DataFrame, how: MinHash) -> DataFrame:
-    """One row per document: doc_id, n_shingles, a 128-bit digest of the set, bands, packed bits."""
+    """One row per document: doc_id, n_shingles, a 128-bit digest of the set, band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, hashes = Signer(how), WordHash()
         for batch in batches:
-            n, d1, d2, bands, bits = [], [], [], [], []
+            n, d1, d2, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(text, how.words, hashes)
                 n.append(len(shingles))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8")
                 d1.append(digest[0])
                 d2.append(digest[1])
-                keys, packed = signer(shingles) if len(shingles) else ([], [])
-                bands.append(keys)
-                bits.append(packed)
+                bands.append(signer(shingles) if len(shingles) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "d1", "d2", "bands", "bits"])
+                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(
-        sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>")
+        sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def _equal_fields(a: Column, b: Column, how: MinHash) -> Column:
+def _equal_fields(a: list[Column], b: list[Column], how: MinHash) -> Column:
     """How many of the packed fields of two signatures are equal, by bit counts."""
-    per = 64 // how.bits
-    ones = sum(1 << (i * how.bits) for i in range(per))
+    ones = sum(1 << (i * how.bits) for i in range(64 // how.bits))
     ones -= (ones >> 63 & 1) << 64
 
     def unequal(x: Column) -> Column:
@@ -152,41 +170,85 @@ def _equal_fields(a: Column, b: Column, how: MinHash) -> Column:
         while step < how.bits:
             x = x.bitwiseOR(F.shiftrightunsigned(x, step))
             step *= 2
-        return F.bit_count(x.bitwiseAND(F.lit(ones).cast("long"))).cast("int")
-
-    differences = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
-    return how.hashes - F.aggregate(differences, F.lit(0), lambda total, x: total + unequal(x))
+        return F.bit_count(x.bitwiseAND(F.lit(ones).cast("long")))
 
+    return how.minima - reduce(Column.__add__, [unequal(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)])
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+def _may_be_alike(how: MinHash) -> Column:
+    """Whether the sizes and the estimate of rows l and r allow the similarity asked for."""
+    def packed(side: str) -> list[Column]:
+        return [F.col(f"{side}.s{i}") for i in range(how.words_packed)]
 
-    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    smaller, larger = F.least("l.size", "r.size"), F.greatest("l.size", "r.size")
+    return (smaller * 100 >= larger * how.percent) & (_equal_fields(packed("l"), packed("r"), how) >= how.least_equal)
 
 
-def _sets(docs: DataFrame, members: DataFrame, how: MinHash) -> DataFrame:
-    """rep and the bytes of its sorted shingle hashes, for the representatives in `members`."""
+def _sketches(docs: DataFrame, members: DataFrame, how: MinHash) -> DataFrame:
+    """rep, the size and bytes of its sorted shingle hashes, and its packed low bits s0, s1, ..."""
+    names = [f"s{i}" for i in range(how.words_packed)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes, packer = WordHash(), Packer(how)
         for batch in batches:
-            rows = [shingle_set(t, how.words, hashes).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["rep", "set"])
+            sets = [shingle_set(t, how.words, hashes) for t in batch.column(1).to_pylist()]
+            packed = np.array([packer(x) for x in sets], np.int64).reshape(len(sets), -1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()),
+                 pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()),
+                 *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(names))]],
+                ["rep", "size", "set", *names])
 
     chosen = docs.select("doc_id", whole_text().alias("text")).join(
         members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    return chosen.mapInArrow(build, "rep long, set binary").dropDuplicates(["rep"])
+    columns = ", ".join(f"{n} long" for n in names)
+    return chosen.mapInArrow(build, f"rep long, size long, set binary, {columns}").dropDuplicates(["rep"])
+
+
+#: Members of one side that are compared with those of another side in one task at most, on average.
+CELL = 256
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union.
+
+    Pairs around the same smallest partner go to one cell, large groups to a grid of cells; a set
+    travels once to each cell that needs it, not once per pair.
+    """
+    around = pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")).join(
+        pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("n")), "a", "left").select(
+        "a", F.coalesce(F.least("m", "n"), "m").alias("g"))
+    grouped = pairs.join(around, "a")
+    sides = grouped.groupBy("g").agg((1 + F.floor(F.sqrt(F.count("*")) / CELL)).alias("grid"))
+    celled = staged(grouped.join(sides, "g").select(
+        "g", F.pmod(F.xxhash64("a"), "grid").alias("i"), F.pmod(F.xxhash64("b"), "grid").alias("j"), "a", "b"))
+    cell = ["g", "i", "j"]
+    needed = celled.select(*cell, F.col("a").alias("rep")).unionByName(
+        celled.select(*cell, F.col("b").alias("rep"))).distinct()
+    sets = needed.join(sketches.select("rep", "set"), "rep").select(
+        *cell, F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = sets.unionByName(celled.withColumn("set", F.lit(None).cast("binary")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sets = None, {}
+        for batch in batches:
+            found_a, found_b = [], []
+            for *at, a, b, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != here:
+                    here, sets = at, {}
+                if b is None:
+                    sets[a] = np.frombuffer(raw, "<u8")
+                    continue
+                x, y = sets[a], sets[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found_a.append(a)
+                    found_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    # Within a cell the sets come before the pairs.
+    dealt = rows.repartition(*cell).sortWithinPartitions(*cell, F.col("b").asc_nulls_first())
+    return dealt.select(*cell, "a", "b", "set").mapInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,67 +285,68 @@ def components(links: DataFrame) -> DataFrame:
     return found.unionByName(roots).dropDuplicates(["node"])
 
 
-#: Pairs left in the buckets, as a multiple of their rows, at which all of them are met at once.
-PAIRS_PER_ROW = 4
+#: Pairs left in the buckets, as a multiple of all rows, at which all of them are met at once.
+PAIRS_PER_ROW = 1000
 
 
 def _links(docs: DataFrame, reps: DataFrame, how: MinHash) -> DataFrame:
-    """(rep, root) of all representatives that are linked with another one."""
-    posted = reps.select("rep", F.explode("bands").alias("key"))
-    crowded = posted.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    buckets = staged(posted.join(crowded.select("key", "pivot"), "key"))
-    bits = staged(reps.select("rep", "bits").join(buckets.select("rep").distinct(), "rep", "left_semi"))
-
-    def estimated(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose low bits allow the similarity asked for."""
-        pairs = pairs.distinct().join(bits.select(F.col("rep").alias("a"), F.col("bits").alias("x")), "a").join(
-            bits.select(F.col("rep").alias("b"), F.col("bits").alias("y")), "b")
-        return staged(pairs.where(_equal_fields(F.col("x"), F.col("y"), how) >= how.least_equal).select("a", "b"))
-
-    members, sets = bits.count(), None
+    """(node, root) of all representatives that are linked with another one."""
+    posted = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    crowded = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(posted.join(crowded, "key"))
+    # A member that shares buckets with many others is the centre of a group.
+    fame = shared.groupBy("rep").agg(F.sum("n").alias("fame"))
+    buckets = staged(shared.drop("n").join(fame, "rep"))
+    sketches = staged(_sketches(docs, fame.select("rep"), how))
+    light = sketches.drop("set")
+    keys = light.join(reps.select("rep", *[F.col("bands")[i].alias(f"k{i}") for i in range(how.bands)]), "rep")
+    rows = reps.count()
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        nonlocal sets
-        if sets is None:
-            sets = staged(_sets(docs, bits.select("rep"), how))
-        return staged(_confirmed(pairs, sets, how.percent))
-
-    links = confirmed(estimated(
-        buckets.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))))
+        return staged(_confirmed(pairs, sketches, how.percent))
+
+    pivots = buckets.groupBy("key").agg(F.max_by("rep", F.struct("fame", -F.col("rep"))).alias("pivot"))
+    pairs = buckets.join(pivots, "key").where("rep <> pivot").select(
+        F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    first = pairs.join(light.alias("l"), F.col("a") == F.col("l.rep")).join(
+        light.alias("r"), (F.col("b") == F.col("r.rep")) & _may_be_alike(how)).select("a", "b")
+    links = confirmed(staged(first))
     found = staged(components(links))
-    buckets = staged(buckets.where("rep <> pivot").select("key", "rep"))
+    buckets = buckets.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
     turn = 0
     while True:
         # Members with their component; buckets that lie within one component are settled.
-        placed = buckets.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-            "key", "rep", F.coalesce("root", "rep").alias("root"))
+        placed = staged(buckets.join(found.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
+            "key", "band", "rep", "fame", F.coalesce("root", "rep").alias("root")))
         sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(
             F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("largest")).where("largest.n < n")
-        open_rows = staged(placed.join(sizes.select(
-            "key", "n", F.col("largest.n").alias("m"), F.col("largest.root").alias("main")), "key"))
-        work = open_rows.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("root") != F.col("main"), F.col("n"))
-                                                              ).alias("pairs")).first()
+        open_rows = staged(placed.join(sizes.select("key", "n", F.col("largest.root").alias("main")), "key").select(
+            "*", (F.col("root") != F.col("main")).alias("minor")))
+        work = open_rows.agg(F.count("*").alias("rows"), F.sum(F.when(F.col("minor"), F.col("n"))).alias("pairs")).first()
         if not work["rows"]:
-            break
-        minor = open_rows.where("root <> main").select("key", F.col("rep").alias("l"), F.col("root").alias("l_root"))
-        if last := work["pairs"] <= PAIRS_PER_ROW * max(work["rows"], members):
-            met = minor
-        else:
+            return found
+        full = staged(open_rows.join(keys, "rep"))
+        met = full.where("minor")
+        if not (last := work["pairs"] <= PAIRS_PER_ROW * rows):
             # Some pivots from the smaller components of each open bucket, more with each turn.
-            slot = F.pmod(F.xxhash64("l", F.lit(turn)), F.lit(2**turn))
-            met = minor.groupBy("key", slot.alias("slot")).agg(
-                F.min_by(F.struct("l", "l_root"), F.xxhash64("l", F.lit(turn))).alias("p")).select("key", "p.l", "p.l_root")
-            met = staged(met)
-        pairs = open_rows.select("key", "rep", "root").join(met, "key").where("root <> l_root").select(
-            F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b"))
-        links = staged(links.unionByName(confirmed(estimated(pairs))))
+            slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(2**turn))
+            met = staged(met.groupBy("key", slot.alias("slot")).agg(F.max_by(
+                F.struct(*[F.col(c) for c in full.columns if c != "key"]), F.struct("fame", -F.col("rep"))).alias("p")
+            ).select("key", "p.*"))
+        # A pair counts in the first bucket that it shares, and once where both could lead it.
+        earlier = [(F.col("l.band") <= i) | (F.col(f"l.k{i}") != F.col(f"r.k{i}")) for i in range(how.bands - 1)]
+        fresh = reduce(Column.__and__, earlier) if last else F.lit(True)
+        once = ~F.col("r.minor") | (F.col("l.rep") < F.col("r.rep")) if last else F.lit(True)
+        pairs = met.alias("l").join(full.alias("r"), (F.col("l.key") == F.col("r.key")) & (
+            F.col("l.root") != F.col("r.root")) & once & fresh & _may_be_alike(how)).select(
+            F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"))
+        links = staged(links.unionByName(confirmed(staged(pairs.distinct()))))
         found = staged(components(links))
         if last:
-            break
-        buckets = staged(open_rows.select("key", "rep").join(
-            met.select("key", F.col("l").alias("rep")), ["key", "rep"], "left_anti"))
+            return found
+        buckets = open_rows.select("key", "band", "rep", "fame").join(
+            met.select("key", "rep"), ["key", "rep"], "left_anti")
         turn += 1
-    return found
 
 
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
@@ -298,8 +361,8 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     signed = staged(signatures(docs, how))
     worded = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(worded.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
-    reps = classes.groupBy("rep").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    reps = classes.groupBy("rep").agg(F.first("bands").alias("bands"))
     found = _links(docs, reps, how)
     # Only documents with words have a class.
     roots = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
