@@ -673,3 +673,35 @@ def run_scored(spark, sf_dir):
 @query
 def run_funnel(spark, sf_dir):
     return run_pipeline(spark, sf_dir).funnel.withColumn("step_no", _long("step_no"))
+
+
+def _finished(spark: SparkSession, sf_dir: str) -> pipeline.Finished:
+    """The run over the listings, its store a ninth of them, with the pages as crawl responses."""
+    run = run_pipeline(spark, sf_dir)
+    kept = _keyed(spark, sf_dir).where("ord % 9 = 0").withColumn("id", F.col("ord") + 1)
+    crawl = view(spark, sf_dir, "crawl_response").select(
+        F.concat(F.lit("https://ex.test/job/"), F.col("page_id")).alias("url"), "status", "location", "body")
+    nothing = spark.createDataFrame(
+        [], "id bigint, seq bigint, status string, synced boolean, url_alive boolean")
+    return pipeline.finish_run(run, kept, None, nothing, crawl, as_of(), 1)
+
+
+@query
+def run_export(spark, sf_dir):
+    return _finished(spark, sf_dir).export
+
+
+@query
+def run_digest(spark, sf_dir):
+    return _finished(spark, sf_dir).digest.drop("recommendation")
+
+
+@query
+def run_entry(spark, sf_dir):
+    """The run's own row of the run log."""
+    return _finished(spark, sf_dir).run_log.withColumn("run_date", F.col("run_date").cast("string")).drop("errors")
+
+
+@query
+def run_changes(spark, sf_dir):
+    return _finished(spark, sf_dir).changes

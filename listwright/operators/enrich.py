@@ -24,17 +24,24 @@ def notable_investors(investors: Column, prefs: Prefs = Prefs()) -> Column:
     return F.coalesce(F.exists(investors, lambda i: notable(F.lower(i))), F.lit(False))
 
 
+#: Further cache columns that go with the listing where the cache has them.
+CARRIED = ("funding_stage", "date_checked")
+
+
 def enrich_investors(listings: DataFrame, cache: DataFrame) -> DataFrame:
     """Left join with the investor cache on the folded company name.
 
     A cached unknown flag reads back as False; companies not in the cache stay NULL / 'unknown'.
-    One company may own a large share of the listings, hence the salted join.
+    One company may own a large share of the listings, hence the salted join. A company counts
+    once, with the smallest of several cache rows.
     """
-    known = cache.select(
+    row = F.struct(*[F.col(c) for c in cache.columns if c != "company_name"])
+    known = cache.groupBy("company_name").agg(F.min(row).alias("_row")).select("company_name", "_row.*").select(
         F.col("company_name").alias("_cache_key"),
         json_list(F.col("investors")).alias("investors"),
         F.coalesce(F.col("backed_by_notable"), F.lit(False)).alias("vc_backed"),
         F.lit("cache").alias("vc_source"),
+        *[F.col(c) for c in CARRIED if c in cache.columns],
     )
     keyed = listings.withColumn("_cache_key", company_cache_key(F.col("company")))
     return (

@@ -8,6 +8,7 @@ from listwright.functions.dates import freshness_icon
 from listwright.functions.salary import format_salary
 from listwright.functions.text import blank, join_first, present
 from listwright.operators.enrich import vc_display
+from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.skew import salted_join
 
 # Wordings of the exported columns and the digest.
@@ -57,6 +58,7 @@ def export_rows(unsynced: DataFrame) -> DataFrame:
 
 def write_export(rows: DataFrame, new_path: str, all_path: str) -> bool:
     """Replace the 'new' snapshot and append to 'all'; with nothing to export both stay as is."""
+    rows = stage(rows, f"{scratch_root(rows.sparkSession)}/export")
     if rows.isEmpty():
         return False
     rows.write.mode("overwrite").parquet(new_path)

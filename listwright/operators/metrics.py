@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from listwright.operators.filters import REJECT_REASONS
@@ -25,6 +27,23 @@ def source_counts(listings: DataFrame) -> DataFrame:
     return listings.groupBy("source").agg(F.count("*").alias("n"))
 
 
+def step_funnel(steps: tuple, tables: list[DataFrame]) -> DataFrame:
+    """The funnel of a run from the table before the first step and those after each: one count per
+    table, no row crosses the network. Tables that flag reposts give their number too."""
+    def counted(df: DataFrame) -> DataFrame:
+        flag = F.count_if("is_repost") if "is_repost" in df.columns else F.lit(0).cast("bigint")
+        return df.agg(F.count("*").alias("rows"), flag.alias("reposts"))
+
+    both = [counted(df).select(F.lit(n).alias("n"), "rows", "reposts") for n, df in enumerate(tables)]
+    counts = reduce(DataFrame.unionByName, both)
+    before = counts.select(F.col("n").alias("step_no"), F.col("rows").alias("rows_in"))
+    after = counts.select((F.col("n") - 1).alias("step_no"), F.col("rows").alias("rows_out"), "reposts")
+    names = F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("step_no") + 1)
+    return before.join(after, "step_no").select(
+        "step_no", names.alias("step"), "rows_in", "rows_out",
+        (F.col("rows_in") - F.col("rows_out")).alias("dropped"), "reposts")
+
+
 def funnel(staged: DataFrame) -> DataFrame:
     """Rows in, out and dropped per step.
 

@@ -92,11 +92,10 @@ def score_listings(enriched: DataFrame, responses: DataFrame,
                    prefs: Prefs = Prefs()) -> DataFrame:
     """Listings with a usable answer, scored; listings without one are dropped.
 
-    `responses` holds one row per listing_id (see `one_response` for raw logs).
+    `responses` should hold one row per listing_id (see `one_response` for raw logs); of several
+    usable answers the smallest counts, so no listing is multiplied. Answers are parsed once.
     """
-    answers = responses.select(
-        F.col("listing_id").alias("ord"), parse_response(F.col("response_text")).alias("r")
-    ).where(F.col("r").isNotNull())
+    answers = _usable(responses).groupBy("ord").agg(F.min("r").alias("r"))
     joined = merge_detected(
         enriched.join(answers, "ord").withColumn("_detected", F.col("r.detected_vc_investors")),
         "_detected", prefs)
@@ -112,6 +111,20 @@ def score_listings(enriched: DataFrame, responses: DataFrame,
     )
 
 
+def _usable(responses: DataFrame) -> DataFrame:
+    """(ord, r) of the answers that parse; the generator keeps the parse from being repeated."""
+    parsed = F.explode_outer(F.array(parse_response(F.col("response_text"))))
+    return responses.select(F.col("listing_id").alias("ord"), parsed.alias("r")).where(F.col("r").isNotNull())
+
+
+def repeat_requests(enriched: DataFrame, responses: DataFrame, template: str, suffix: str) -> DataFrame:
+    """Second requests, with the caller's stricter `suffix`, for listings whose answers do not parse."""
+    asked = responses.select(F.col("listing_id").alias("ord")).distinct()
+    unusable = asked.join(_usable(responses).select("ord"), "ord", "left_anti")
+    return prompt_requests(enriched.join(unusable, "ord", "left_semi"), template).withColumn(
+        "prompt", F.concat("prompt", F.lit(suffix)))
+
+
 def one_response(responses: DataFrame, order: str) -> DataFrame:
     """First response per listing from a raw log ordered by a unique column."""
     return first_per_key(responses, "listing_id", order)

@@ -6,7 +6,7 @@ aggregation over the log. Nothing here reads and overwrites the same path in one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.similarity import shuffle_width
@@ -61,12 +61,11 @@ def anti_seen_url(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def resolve_listing_id(scored: DataFrame, listings: DataFrame) -> DataFrame:
-    """Add `listing_id` by URL; it stays NULL where the URL is unknown (`listing_found` false).
+    """Add `listing_id` by URL, the smallest id of it; NULL where it is unknown (`listing_found` false).
 
     Callers store the found rows and report the others.
     """
-    ids = listings.where(F.col("url").isNotNull()).select(
-        "url", F.col("id").alias("listing_id"))
+    ids = listings.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("id").alias("listing_id"))
     return salted_join(scored, ids, "url", "left", spread="ord").withColumn(
         "listing_found", F.col("listing_id").isNotNull())
 
@@ -76,9 +75,15 @@ def append_scored(log: DataFrame, scored: DataFrame, order: str) -> DataFrame:
     return assign_ids(scored, order, last_id(log))
 
 
-def upsert_cache(cache: DataFrame, updates: DataFrame, order: str) -> DataFrame:
-    """The next version of the cache: per key the latest update replaces the whole row."""
+def upsert_cache(cache: DataFrame, updates: DataFrame, order: str, as_of: Column | None = None) -> DataFrame:
+    """The next version of the cache: per key the latest update replaces the whole row.
+
+    `as_of` stamps the updates' date_checked; fields that they lack are unset.
+    """
     fields = cache.columns
+    if as_of is not None:
+        updates = updates.withColumn("date_checked", as_of)
+    updates = updates.withColumns({c: F.lit(None).cast(t) for c, t in cache.dtypes if c not in updates.columns})
     both = cache.withColumn("_seq", F.lit(-1).cast("bigint")).unionByName(
         updates.select(*fields, F.col(order).cast("bigint").alias("_seq")))
     row = F.max_by(F.struct(*fields), F.col("_seq"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.functions.dates import freshness, parse_posted_date
 from listwright.functions.text import fuzzy_key
 from listwright.operators import metrics
+from listwright.operators import export, health, store as stores
 from listwright.operators.clustering import dedup_batch
 from listwright.operators.enrich import enrich_investors
 from listwright.operators.filters import hard_filters, keyword_prefilter
@@ -18,6 +18,7 @@ from listwright.operators.scoring import score_listings
 from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.store import anti_seen_url, insert_listings
 from listwright.prefs import Prefs
+from listwright.schemas import RUN_LOG
 
 STEPS = ("deduplication", "already_seen", "hard_filters", "keyword_prefilter", "scoring")
 
@@ -48,8 +49,8 @@ def new_listings(listings: DataFrame, store: DataFrame, as_of: Column, root: str
                  prefs: Prefs = Prefs()) -> tuple[DataFrame, DataFrame]:
     """(unique, new): one row per cluster, and those not seen before with their repost flag."""
     unique = stage(dedup_batch(with_keys(listings, prefs), prefs.match_ratio), f"{root}/unique")
-    unseen = anti_seen_fuzzy(anti_seen_url(unique, store), store, prefs)
-    unseen = stage(unseen, f"{root}/unseen")
+    new_urls = stage(anti_seen_url(unique, store), f"{root}/new-urls")
+    unseen = stage(anti_seen_fuzzy(new_urls, store, prefs), f"{root}/unseen")
     return unique, stage(detect_reposts(unseen, store, as_of, prefs), f"{root}/new")
 
 
@@ -68,15 +69,70 @@ def pipeline_run(listings: DataFrame, store: DataFrame, cache: DataFrame, respon
     enriched = enrich_investors(kept, cache)
     scored = stage(with_freshness(score_listings(enriched, responses, prefs), as_of, prefs),
                    f"{root}/scored")
-    reached = [listings, unique, new, passed, kept, scored]
-    flagged = (new, passed, kept, scored)
-    marks = reduce(DataFrame.unionByName, [
-        df.select("ord", F.lit(n).alias("step"),
-                  (F.col("is_repost") if any(df is x for x in flagged)
-                   else F.lit(False)).alias("is_repost"))
-        for n, df in enumerate(reached)])
-    staged = marks.groupBy("ord").agg(
-        F.max("step").alias("steps_passed"), F.bool_or("is_repost").alias("is_repost"),
-    ).withColumn("steps", F.array(*[F.lit(s) for s in STEPS]))
     return Run(unique, insert_listings(store, new), tagged, enriched, scored,
-               metrics.funnel(staged))
+               metrics.step_funnel(STEPS, [listings, unique, new, passed, kept, scored]))
+
+
+LOGGED = ("score", "reasoning", "matching_skills", "missing_requirements", "recommendation", "vc_backed",
+          "investors", "vc_source", "funding_stage", "freshness", "is_repost", "original_listing_id")
+
+
+@dataclass
+class Finished:
+    """What a run leaves behind: next store, rows for the logs, export and digest.
+
+    `changes` holds this run's rows for the change log; a caller appends them, and `new_scored` to the
+    scored log, after the export and the digest are delivered.
+    """
+
+    store: DataFrame
+    new_scored: DataFrame
+    changes: DataFrame
+    export: DataFrame
+    digest: DataFrame
+    subject: DataFrame
+    run_log: DataFrame
+
+
+def finish_run(run: Run, store: DataFrame, log: DataFrame | None, changes: DataFrame, crawl: DataFrame,
+               as_of: Column, seq: int, prefs: Prefs = Prefs(), errors: list[str] | None = None,
+               seconds: float | None = None) -> Finished:
+    """Store, log, expire, export and report what `pipeline_run` found.
+
+    `log` is the scored log (id, listing_id, then LOGGED; None for the first run), `changes` the change log
+    so far, `crawl` the responses (url, status, location, body) to the health queue's URLs, `seq` a number
+    above all in `changes`.
+    """
+    root = scratch_root(store.sparkSession)
+    fresh = stores.assign_ids(run.inserted, "ord", stores.last_id(store))
+    known = [c for c in store.columns if c in fresh.columns]
+    next_store = stage(store.select(*known).unionByName(fresh.select(*known)), f"{root}/store")
+    # Rescored listings become new rows; scores of unknown URLs belong to no listing.
+    placed = stores.resolve_listing_id(run.scored, next_store.select("url", "id")).where("listing_found")
+    start = stores.last_id(log) if log is not None else 0
+    numbered = stage(stores.assign_ids(placed, "ord", start), f"{root}/new-scored")
+    logged = [c for c in LOGGED if c in numbered.columns]
+    new_scored = numbered.select("id", "listing_id", *logged, as_of.alias("date_scored"))
+    opened = stores.change_rows(new_scored, seq, status="new", synced=False, url_alive=True)
+    everything = new_scored if log is None else log.unionByName(new_scored, allowMissingColumns=True)
+    before = stores.latest_state(changes.unionByName(opened))
+    current = stage(everything.join(before, "id"), f"{root}/current")
+    queue = health.health_queue(current, next_store, prefs)
+    dead = health.dead_urls(crawl.join(queue.select("url").distinct(), "url", "left_semi"))
+    expired = stage(stores.expire_by_url(current, next_store, dead, seq + 1), f"{root}/expired")
+    waiting = export.unsynced_scored(current, next_store)
+    rows = stage(export.export_rows(waiting), f"{root}/export")
+    synced = stores.change_rows(rows, seq + 2, synced=True)
+    failed = F.array(*[F.lit(e) for e in errors or []]).cast("array<string>")
+    funnel = {r["step"]: r for r in run.funnel.collect()}  # one row per step
+    figures = {
+        "run_date": as_of, "source": F.lit("all"), "listings_scraped": F.lit(funnel["deduplication"]["rows_in"]),
+        "listings_new": F.lit(funnel["already_seen"]["rows_out"]),
+        "listings_passed_filter": F.lit(funnel["keyword_prefilter"]["rows_out"]),
+        "listings_scored": F.lit(funnel["scoring"]["rows_out"]), "listings_expired": F.lit(expired.count()),
+        "errors": failed, "duration_seconds": F.lit(seconds)}
+    kinds = [part.strip().split(" ", 1) for part in RUN_LOG.split(", ")]
+    run_log = store.sparkSession.range(1).select(*[figures[c].cast(kind).alias(c) for c, kind in kinds])
+    return Finished(
+        next_store, new_scored, opened.unionByName(expired).unionByName(synced), rows, export.digest_top(run.scored),
+        export.digest_subject(export.digest_summary(run.scored), F.lit(len(errors or []))), run_log)

@@ -29,6 +29,7 @@ class _Flattener(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out = {n: [] for n, _ in _FIELDS}
         self.open, self.text, self.silent = [], [], 0
+        self.seen, self.total = {}, [0]  # open tags by name; characters before each string
         self._push("[document]", {})
 
     def _push(self, tag, attrs):
@@ -44,19 +45,22 @@ class _Flattener(HTMLParser):
         for n in ("stop", "last", "chars"):
             o[n].append(0)
         self.silent += tag in SILENT_TAGS
+        self.seen[tag] = self.seen.get(tag, 0) + 1
 
     def _pop(self):
         self._flush()
         o, i = self.out, self.open.pop()
         o["stop"][i], o["last"][i] = len(o["tag"]), len(o["strings"])
-        texts = o["strings"][o["first"][i]:]
-        o["chars"][i] = sum(map(len, texts)) + max(len(texts) - 1, 0)
+        first, last = o["first"][i], o["last"][i]
+        o["chars"][i] = self.total[last] - self.total[first] + max(last - first - 1, 0)
         self.silent -= o["tag"][i] in SILENT_TAGS
+        self.seen[o["tag"][i]] -= 1
 
     def _flush(self):
         text = "".join(self.text).strip()
         if text and not self.silent:
             self.out["strings"].append(text)
+            self.total.append(self.total[-1] + len(text))
         self.text.clear()
 
     def handle_starttag(self, tag, attrs):
@@ -70,7 +74,7 @@ class _Flattener(HTMLParser):
 
     def handle_endtag(self, tag):
         tags = self.out["tag"]
-        if any(tags[i] == tag for i in self.open[1:]):
+        if self.seen.get(tag):
             while tags[self.open[-1]] != tag:
                 self._pop()
             self._pop()

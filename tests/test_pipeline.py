@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from checks.views import TABLES, view
 from listwright.operators.clustering import dedup_batch
-from listwright.operators.store import assign_ids
+from listwright.operators.store import assign_ids, latest_state
 from listwright.plans import pipeline
 from listwright.prefs import Prefs
 from listwright.streaming import incremental
@@ -81,3 +81,32 @@ def test_query_matches_oracle(spark, name):
     want = sorted(map(str, cur.fetchall()))
     got = sorted(str(tuple(r)) for r in entry.queries()[name](spark, SF).select(*columns).collect())
     assert got == want
+
+
+def test_finished_run_and_the_next_one(spark):
+    """A run's tables feed the next run, which finds nothing new, exports nothing and expires what is gone."""
+    batch = view(spark, SF, "listings")
+    cache, answers = view(spark, SF, "vc_cache"), view(spark, SF, "responses")
+    empty = pipeline.with_keys(batch).withColumn("id", F.lit(0).cast("bigint")).limit(0)
+    nothing = spark.createDataFrame([], "id bigint, seq bigint, status string, synced boolean, url_alive boolean")
+    crawl = spark.createDataFrame([], "url string, status int, location string, body string")
+    run = pipeline.pipeline_run(batch, empty, cache, answers, as_of())
+    first = pipeline.finish_run(run, empty, None, nothing, crawl, as_of(), 1, errors=["x: failed"], seconds=2.5)
+    scored = first.new_scored.count()
+    assert scored == run.scored.count() == first.export.count() > 0
+    assert first.store.count() == run.inserted.count()
+    state = {r["id"]: (r["status"], r["synced"], r["url_alive"]) for r in latest_state(first.changes).collect()}
+    assert set(state.values()) == {("new", True, True)} and len(state) == scored
+    entry_row = first.run_log.first()
+    assert entry_row["listings_scored"] == scored and entry_row["errors"] == ["x: failed"]
+    assert entry_row["duration_seconds"] == 2.5 and entry_row["listings_scraped"] == batch.count()
+    listing = first.new_scored.orderBy("id").first()["listing_id"]
+    url = first.store.where(F.col("id") == listing).first()["url"]
+    gone = spark.createDataFrame([(url, 404, None, None)], crawl.schema)
+    again = pipeline.pipeline_run(batch, first.store, cache, answers, as_of())
+    second = pipeline.finish_run(again, first.store, first.new_scored, first.changes, gone, as_of(), 10)
+    assert second.new_scored.count() == 0 and second.export.count() == 0
+    assert second.store.count() == first.store.count()
+    expired = latest_state(first.changes.unionByName(second.changes)).where("status = 'expired'").collect()
+    assert len(expired) >= 1 and not any(r["url_alive"] for r in expired)
+    assert second.run_log.first()["listings_expired"] == len(expired)
