@@ -29,12 +29,14 @@ def source_counts(listings: DataFrame) -> DataFrame:
 
 def step_funnel(steps: tuple, tables: list[DataFrame]) -> DataFrame:
     """The funnel of a run from the table before the first step and those after each: one count per
-    table, no row crosses the network. Tables that flag reposts give their number too."""
-    def counted(df: DataFrame) -> DataFrame:
-        flag = F.count_if("is_repost") if "is_repost" in df.columns else F.lit(0).cast("bigint")
-        return df.agg(F.count("*").alias("rows"), flag.alias("reposts"))
-
-    both = [counted(df).select(F.lit(n).alias("n"), "rows", "reposts") for n, df in enumerate(tables)]
+    table, no row crosses the network. Reposts are those that the table, or the next one that flags
+    them, holds."""
+    def counted(n: int) -> DataFrame:
+        rows = tables[n].agg(F.lit(n).alias("n"), F.count("*").alias("rows"))
+        flagged = next(t for t in tables[n:] if "is_repost" in t.columns)
+        return rows.join(flagged.agg(F.lit(n).alias("n"), F.count_if("is_repost").alias("reposts")), "n")
+
+    both = [counted(n) for n in range(len(tables))]
     counts = reduce(DataFrame.unionByName, both)
     before = counts.select(F.col("n").alias("step_no"), F.col("rows").alias("rows_in"))
     after = counts.select((F.col("n") - 1).alias("step_no"), F.col("rows").alias("rows_out"), "reposts")
