@@ -1,7 +1,8 @@
 """Substring duplicates by content-defined chunks: a gear rolling hash cuts, digests are compared.
 
-The hash of a place depends on the 32 bytes before it, so an insertion moves cuts only around
-itself; equal passages are cut alike wherever they stand. Chunks are compared by 128-bit digests
+The hash of a place depends on the 32 bytes before it and a cut is where it is the largest around, so
+an insertion moves cuts only around itself: equal passages are cut alike wherever they stand. Local
+maxima, unlike a fixed threshold, keep chunks of even sizes, so short passages hold some too. Chunks are compared by 128-bit digests
 of their bytes. Each distinct chunk keeps its first place (smallest doc_id, then place).
 """
 
@@ -16,18 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.shared import staged, whole_text
+from listwright.llm.shared import staged, unused, whole_text
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """Sizes in bytes. `gap` is the mean distance of hash cuts; min and max bound a chunk."""
+    """Sizes in bytes. A cut's hash is the largest within `reach` on both sides, which makes chunks of
+    about twice that; where none is, as in a run of one letter, max_bytes cuts."""
 
-    gap: int = 48
-    min_bytes: int = 16
+    reach: int = 24
     max_bytes: int = 512
     #: Shared neighbours that span fewer bytes are chance or idiom, not passages.
-    min_run_bytes: int = 120
+    min_run_bytes: int = 80
 
 
 CHUNKS = "doc_id long, start int, stop int, d1 long, d2 long"
@@ -50,11 +51,25 @@ def gear_hashes(data: np.ndarray, gear: np.ndarray) -> np.ndarray:
     return h
 
 
+def largest_ahead(h: np.ndarray, n: int) -> np.ndarray:
+    """The largest of each value and the n - 1 after it."""
+    top, have = h.copy(), 1
+    while have < n:
+        step = min(have, n - have)
+        if step < len(top):
+            np.maximum(top[:-step], top[step:], out=top[:-step])
+        have += step
+    return top
+
+
 def cuts(raw: bytes, sizes: Chunking, gear: np.ndarray) -> list[int]:
     """Where chunks end, the last one at the end of the text; never inside a character."""
     data = np.frombuffer(raw, np.uint8)
-    found = gear_hashes(data, gear) < np.uint32(2**32 // sizes.gap)
-    found[:-1] &= (data[1:] & 0xC0) != 0x80
+    h = gear_hashes(data, gear)
+    h[:-1][(data[1:] & 0xC0) == 0x80] = 0  # no cut inside a character
+    found = (h == largest_ahead(h, sizes.reach + 1)) & (h > 0)
+    before = largest_ahead(h[::-1], sizes.reach)[::-1]
+    found[1:] &= h[1:] > before[:-1]  # of equal ones the first
     ends, last = [], 0
     for end in [*(np.flatnonzero(found) + 1).tolist(), len(raw)]:
         while end - last > sizes.max_bytes:
@@ -62,7 +77,7 @@ def cuts(raw: bytes, sizes: Chunking, gear: np.ndarray) -> list[int]:
             while raw[last] & 0xC0 == 0x80:
                 last -= 1
             ends.append(last)
-        if end - last >= sizes.min_bytes or end == len(raw) > last:
+        if end > last:
             ends.append(end)
             last = end
     return ends
@@ -140,17 +155,18 @@ def drop_repeats(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
     Other columns stay. Rows that repeat a doc_id are all cut alike.
     """
     inside = repeated_passages(docs, sizes).select(
-        F.col("doc_id").alias("_id"), F.col("start").alias("_a"), F.col("stop").alias("_b"))
+        "doc_id", F.col("start").alias("a"), F.col("stop").alias("b"))
     copies = repeated_chunks(docs, sizes).where("shared AND NOT first").select(
-        F.col("doc_id").alias("_id"), F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    spans = copies.join(inside, "_id").where("_s >= _a AND _e <= _b").groupBy("_id").agg(
-        F.array_sort(F.collect_set(F.struct("_s", "_e"))).alias("_spans"))
+        "doc_id", "start", "stop")
+    id_, cut = unused(docs, "id"), unused(docs, "cut")
+    spans = copies.join(inside, "doc_id").where("start >= a AND stop <= b").groupBy(F.col("doc_id").alias(id_)).agg(
+        F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(cut))
     text = F.encode(whole_text(), "UTF-8")
     pieces = F.aggregate(
-        F.col("_spans"), F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")),
-        lambda acc, s: F.struct(s["_e"].alias("at"), F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, s["_s"] - acc["at"])).alias("out")),
+        F.col(cut), F.struct(F.lit(0).alias("at"), F.lit(b"").alias("out")),
+        lambda acc, s: F.struct(s["stop"].alias("at"), F.concat(
+            acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"])).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    names = [F.col(f"`{c}`") if c != "text" else F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
+    names = [F.col(f"`{c}`") if c != "text" else F.when(F.col(cut).isNull(), F.col("text")).otherwise(
         F.decode(pieces, "UTF-8")).alias("text") for c in docs.columns]
-    return docs.join(spans, docs["doc_id"] == spans["_id"], "left").select(*names)
+    return docs.join(spans, docs["doc_id"] == spans[id_], "left").select(*names)

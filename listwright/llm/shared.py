@@ -24,6 +24,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body(value)` with `value` computed once per row, whatever the optimizer inlines."""
     return F.transform(F.array(value), body)[0]
