@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.llm.near_dup import WordHash
-from listwright.llm.shared import whole_text
+from listwright.llm.shared import unused, whole_text
 
 _WORD = re.compile(r"\w+")
 
@@ -277,5 +277,6 @@ def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
     """The documents that no item occurs in. A null doc_id cannot be named by a match and stays."""
-    leaks = contamination(docs, items, how).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    name = unused(docs, "leak")
+    leaks = contamination(docs, items, how).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaks, docs["doc_id"] == leaks[name], "left_anti")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.shared import staged, whole_text
+from listwright.llm.shared import staged, unused, whole_text
 
 
 @dataclass(frozen=True)
@@ -375,5 +375,6 @@ def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
 
 def keep_one(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """The documents with every group of near duplicates reduced to its smallest doc_id."""
-    gone = near_duplicates(docs, how).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = unused(docs, "gone")
+    gone = near_duplicates(docs, how).where("NOT kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.shared import bind, staged, whole_text
+from listwright.llm.shared import bind, staged, unused, whole_text
 
 #: Kinds in report order. Possessive loops keep the patterns linear; `\G` lets a match begin where
 #: the one before ended.
@@ -217,12 +217,13 @@ def sanitised(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     follows the text.
     """
     found = staged(with_base_spans(docs))
-    terms = revealing_terms(docs, found, how).select(F.col("doc_id").alias("_id"), F.col("terms").alias("_terms"))
-    marked = docs.withColumn("_base", bind(whole_text(), base_spans))
-    clean = marked.where(F.size("_base") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    named = marked.where(F.size("_base") > 0)
-    named = named.join(terms, named["doc_id"] == terms["_id"], "left")
-    named = named.withColumn("text", _hidden(F.col("text"), _all_spans(F.col("text"), F.col("_base"), F.col("_terms"))))
+    id_, hidden, base = (unused(docs, name) for name in ("id", "terms", "base"))
+    terms = revealing_terms(docs, found, how).select(F.col("doc_id").alias(id_), F.col("terms").alias(hidden))
+    marked = docs.withColumn(base, bind(whole_text(), base_spans))
+    clean = marked.where(F.size(base) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = marked.where(F.size(base) > 0)
+    named = named.join(terms, named["doc_id"] == terms[id_], "left")
+    named = named.withColumn("text", _hidden(F.col("text"), _all_spans(F.col("text"), F.col(base), F.col(hidden))))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         named = named.withColumn("n_chars", F.length("text").cast(kind))

@@ -39,7 +39,7 @@ def test_verdicts(given):
 
 def test_kinds_of_junk(documents, given):
     prose = "The house of the old man is on the hill and it was for a long time known to be empty by the people. " * 3
-    plain = " ".join(f"{w}{i}" if i % 5 == 4 else w for i, w in enumerate(prose.split()))
+    plain = " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" if i % 3 == 2 else w for i, w in enumerate(prose.split()))
     rows = [(1, plain), (2, plain.upper()), (3, " ".join(w + "$$$%" for w in plain.split())), (4, "12345 " * 60)]
     assert {r["doc_id"]: r["kept"] for r in quality_rules(documents(rows)).collect()} == {
         1: True, 2: False, 3: False, 4: False}

@@ -13,7 +13,7 @@ PARTS = ["a", "the", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "İ",
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(3)
-    return ["".join(rng.choice(PARTS) for _ in range(rng.randrange(15))) for _ in range(3000)]
+    return ["".join(rng.choice(PARTS) for _ in range(rng.randrange(15))) for _ in range(600)]
 
 
 def test_ids_equal_the_library(texts, given):
@@ -30,7 +30,7 @@ def test_word_counts_equal_the_library(texts):
 
 def test_splicing_equals_whole_encoding(texts):
     library = load("word_bpe_49k.json")
-    for text in texts[:800]:
+    for text in texts[:200]:
         assert count_spliced(library, text * 3, 7, 2) == len(library.encode(text * 3, add_special_tokens=False))
 
 
