@@ -74,9 +74,11 @@ def test_windows_are_full_to_a_few_percent(given):
 
 def test_retrieval_packing_holds_every_id_once(odd, given):
     docs = odd.unionByName(given("documents").select("doc_id", "text"))
-    want = {}
+    want, copies = {}, {}
     for doc_id, ids in library_ids(docs):
-        want.setdefault((doc_id, len(ids)), ids)
+        key = doc_id, len(ids)
+        want.setdefault(key, ids)
+        copies[key] = copies.get(key, 0) + 1
     sequences, documents = {}, {}
     for r in retrieval_pack(docs).collect():
         ids = np.frombuffer(r["ids"], "<u4").tolist()
@@ -90,7 +92,6 @@ def test_retrieval_packing_holds_every_id_once(odd, given):
             assert offset == at
             at += length
         assert at == 2048 or at & (at - 1) == 0  # powers of two are not padded
-    copies = {k: sum((d, len(ids)) == k for d, ids in library_ids(docs)) for k in want}
     assert {k: sum(n) for k, n in documents.items()} == {k: k[1] * n for k, n in copies.items()}
 
 
