@@ -1,6 +1,6 @@
 import re
 
-from listwright.llm.quality import keep_good, quality_rules
+from listwright.llm.quality import default_references, keep_good, quality_rules
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -46,6 +46,22 @@ def test_kinds_of_junk(documents, given):
     assert [r["doc_id"] for r in keep_good(documents(rows)).collect()] == [1]
 
 
+def test_common_words_decide(documents, given):
+    """Texts of clean characters but without a language's common words fail by the word rule alone."""
+    rare = " ".join(f"Wo{chr(97 + i % 26)}d{chr(97 + i // 26)}ing," if i % 9 == 0 else f"wo{chr(97 + i % 26)}d{chr(97 + i // 26)}ing"
+                    for i in range(400))
+    some = " ".join("the" if i % 100 == 0 else w for i, w in enumerate(rare.split()))
+    for r in quality_rules(documents([(1, rare), (2, some)])).collect():
+        assert not r["base_failed"] and r["class_js"] <= 0.2 and r["word_js"] > 0.32 and not r["kept"]
+    languages = {lang: [] for lang in default_references()}
+    for r in quality_rules(given("documents")).join(given("labels"), "doc_id").join(
+            given("documents").select("doc_id", "lang"), "doc_id").collect():
+        if r["quality"] == 1 and not r["base_failed"] and r["n_words"] >= 100:
+            languages[r["lang"]].append(r["kept"])
+    assert all(sum(kept) >= 0.98 * len(kept) for kept in languages.values())
+    assert len({r.classes for r in default_references().values()}) == len(languages)
+
+
 def test_edges(odd, clashing):
     assert quality_rules(odd.limit(0)).count() == 0
     assert not any(r["kept"] for r in quality_rules(odd).collect())
