@@ -39,8 +39,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 IMPLIED = {"p": BLOCKS - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}),
            "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "option": frozenset({"option"})}
 SIGMA = 1.0
-#: The region holds at least this share of the content cluster's characters.
+#: Article and main elements are the region if they hold at least this share of the cluster's characters.
 REGION_SHARE = 0.6
+FRAMES = frozenset("body div section table tbody td #page html blockquote center".split()) | CONTAINERS
 
 
 @dataclass
@@ -144,27 +145,53 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def content_region(lines: list[Line], parents: list[int], names: list[str]) -> list[Line]:
-    """The lines of the smallest element that holds most of the content cluster."""
+def _cluster(lines: list[Line]) -> tuple[list[bool], float]:
+    """Which lines belong to the content cluster, and its threshold."""
+    if not lines:
+        return [], 0.0
     ratios = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]))
     threshold = float(ratios.std())
-    chars = [0] * len(parents)
-    for line, ratio in zip(lines, ratios, strict=True):
-        if ratio >= threshold:
-            chars[line.owner] += len(line.text)
-    for node in range(len(parents) - 1, 0, -1):
-        chars[parents[node]] += chars[node]
-    # Parents come before their children: the last node with the share is the deepest of its chain.
-    held = [node for node in range(len(parents)) if chars[node] >= REGION_SHARE * chars[0]]
-    whole = [node for node in held if names[node] in CONTAINERS]
-    region = whole[-1] if whole else next(
-        (n for n in reversed(held) if names[n] in ("body", "div", "section", "table", "tbody", "td", "#page", "html",
-                                                   "blockquote", "center")), 0)
-    inside = [False] * len(parents)
+    return (ratios >= threshold).tolist(), threshold
+
+
+def _sums(page: Lines, start: list[int]) -> list[int]:
+    """The numbers of the nodes, each with those of all nodes inside it."""
+    for node in range(len(start) - 1, 0, -1):
+        start[page.parents[node]] += start[node]
+    return start
+
+
+def _links_only(line: Line) -> bool:
+    return bool(line.linked) and line.linked >= 0.9 * len(line.text)
+
+
+def content_region(page: Lines) -> list[Line]:
+    """The lines outside furniture of the smallest element that holds the content cluster."""
+    lines, parents, names = page.lines, page.parents, page.names
+    within, _ = _cluster(lines)
+    cluster = [x for x, ok in zip(lines, within, strict=True) if ok]
+    cluster = [x for x in cluster if not _links_only(x)] or cluster
+    contained = [False] * len(names)
+    for node in range(1, len(names)):
+        contained[node] = contained[parents[node]] or names[node] in CONTAINERS
+    marked = [x for x in cluster if contained[x.owner]]
+    whole = sum(len(x.text) for x in cluster)
+    only = bool(marked) and sum(len(x.text) for x in marked) >= REGION_SHARE * whole
+    if only:
+        cluster = marked
+    lengths = [0] * len(names)
+    for x in cluster:
+        lengths[x.owner] += len(x.text)
+    lengths = _sums(page, lengths)
+    # Parents come before their children: the last node with all of it is the deepest.
+    region = next((n for n in range(len(names) - 1, -1, -1) if lengths[n] == lengths[0]), 0)
+    while region and names[region] not in (CONTAINERS if only and contained[region] else FRAMES):
+        region = parents[region]
+    inside = [False] * len(names)
     inside[region] = True
-    for node in range(region + 1, len(parents)):
+    for node in range(region + 1, len(names)):
         inside[node] = inside[parents[node]]
-    return [x for x in lines if inside[x.owner] and not (x.tag == "li" and x.linked and x.linked >= 0.9 * len(x.text))]
+    return [x for x in lines if inside[x.owner] and (contained[x.owner] or not only)]
 
 
 def main_text(html: str) -> str:
@@ -173,7 +200,7 @@ def main_text(html: str) -> str:
     page.feed(html.replace("<![", "<!-["))  # marked sections end at the next ">", as in browsers
     page.close()
     page.flush()
-    return "\n".join(x.text for x in content_region(page.lines, page.parents, page.names)) if page.lines else ""
+    return "\n".join(x.text for x in content_region(page)) if page.lines else ""
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -35,6 +35,28 @@ def test_region_without_article_element():
     assert main_text(page).count("\n") == 5 and main_text(page).startswith("Paragraph 0")
 
 
+def paragraphs(first, n):
+    return "".join(f"<p>Paragraph {i} of the text, which is as long as paragraphs in articles tend to be.</p>"
+                   for i in range(first, first + n))
+
+
+def test_region_holds_the_whole_cluster():
+    split = f"<body><div class='menu'><a href='/'>Home</a></div><div><div>{paragraphs(0, 13)}</div><div>{paragraphs(13, 7)}</div></div></body>"
+    assert main_text(split).count("Paragraph") == 20
+    quote = f"<body><div><blockquote>{paragraphs(0, 13)}</blockquote><p>{'Words beside the quotation. ' * 8}</p></div></body>"
+    assert main_text(quote).count("Paragraph") == 13 and "beside" in main_text(quote)
+    both = f"<body><main><article>{paragraphs(0, 13)}</article><article>{paragraphs(13, 7)}</article></main><p>Imprint</p></body>"
+    assert main_text(both).count("Paragraph") == 20 and "Imprint" not in main_text(both)
+    apart = f"<body><article>{paragraphs(0, 13)}</article><p>Imprint</p><article>{paragraphs(13, 7)}</article></body>"
+    assert main_text(apart).count("Paragraph") == 20 and "Imprint" not in main_text(apart)
+
+
+def test_source_lists_stay():
+    page = f"<body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><article>{paragraphs(0, 5)}<h2>Sources</h2>" \
+           "<ul><li><a href='/s'>The first source of the article</a></li></ul></article></body>"
+    assert main_text(page).endswith("Sources\nThe first source of the article") and "Menu" not in main_text(page)
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (None, "u", "<p>a<p>b"), (5, "u", "<![bad <p>x</p>"),
             (6, "u", "<script>never closed"), (6, "u", "<script>never closed"), (7, "u", "&lt;p&gt; &#xD800; &unknown;")]
