@@ -3,12 +3,14 @@
 The standard library's parser streams events; each block of text is one line with its ratio of
 text to tags. The ratios are smoothed by a Gaussian and lines above the threshold (the standard
 deviation of the smoothed ratios) form the content cluster. The region is the smallest element
-that holds most of the cluster's text; its lines are the article, short ones included, but for
-what the page itself marks as menus, forms, adverts and the like.
+that holds the cluster, or the page's article and main elements where they hold most of it; its
+lines are the article, short ones included, but for what the page itself marks as menus, forms,
+adverts and the like. A mark around the page's main part is no furniture and is lifted.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,14 +28,17 @@ BLOCKS = frozenset(
     "thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
-    "head title script style noscript template nav aside footer form button select option textarea iframe object "
-    "svg canvas dialog menu".split())
+    "head title script style noscript template button select option textarea iframe object svg canvas".split())
+#: Furniture by name: its text is marked; of these only a form can be the frame of a whole page.
+MARKED = frozenset("nav aside footer form dialog menu".split())
 CONTAINERS = frozenset("article main".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|ads?|advert\w*|"
     r"sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|pagination|pager|widgets?|"
     r"login|search|toolbar|skip)(?:$|[\s_-])", re.I)
+#: Class tokens that tell about the layout around an element, as has-sidebar does.
+LAYOUT = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not)[_-]", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Elements whose end may be left out, and the starts that imply it.
 IMPLIED = {"p": BLOCKS - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}),
@@ -62,6 +67,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.parents, self.names = [-1], ["#page"]
+        #: The innermost marked element that a node lies in or is; 0 where there is none.
+        self.marks = [0]
         self.stack: list[tuple[str, int, bool]] = [("#page", 0, False)]
         self.open: dict[str, int] = {}
         self.parts: list[str] = []
@@ -76,7 +83,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
-        if tag not in BLOCKS and tag not in DROPPED:
+        if tag not in BLOCKS and tag not in DROPPED and tag not in MARKED:
             if tag == "a":
                 self.links += 1
             elif tag in ("br", "td", "th"):
@@ -89,8 +96,10 @@ class Lines(HTMLParser):
             last = self.stack[-1][0]
         if tag in VOID:
             return
-        dropped = self.stack[-1][2] or tag in DROPPED or self._furniture(tag, attrs)
-        self.parents.append(self.stack[-1][1])
+        dropped = self.stack[-1][2] or tag in DROPPED or tag not in CONTAINERS and any(n == "hidden" for n, _ in attrs)
+        parent = self.stack[-1][1]
+        self.marks.append(len(self.names) if tag in MARKED or self._furniture(tag, attrs) else self.marks[parent])
+        self.parents.append(parent)
         self.names.append(tag)
         self.stack.append((tag, len(self.names) - 1, dropped))
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -101,12 +110,11 @@ class Lines(HTMLParser):
         if tag == "header" and not any(self.open.get(c) for c in CONTAINERS):
             return True
         for name, value in attrs:
-            if value and (name in ("class", "id") and FURNITURE.search(value)
+            if value and (name in ("class", "id") and any(
+                    FURNITURE.search(x) and not LAYOUT.search(x) for x in value.split())
                           or name == "role" and value.lower() in ROLES
                           or name == "aria-hidden" and value.lower() == "true"):
                 return True
-            if name == "hidden":
-                return True
         return False
 
     def _pop(self) -> None:
@@ -165,9 +173,71 @@ def _links_only(line: Line) -> bool:
     return bool(line.linked) and line.linked >= 0.9 * len(line.text)
 
 
+def unmarked_lines(page: Lines) -> list[Line]:
+    """The lines outside furniture. A mark around the main part of the page does not count: around
+    `main`, around the only article elements, or, if no content is left outside the marks, the
+    marks that hold most of the content cluster."""
+    marks, parents, names = page.marks, page.parents, page.names
+    if not any(marks):
+        return page.lines
+    mains = _sums(page, [int(name == "main") for name in names])
+    articles = _sums(page, [int(name == "article") for name in names])
+    outer = [0] * len(names)  # the next mark around a marked element
+    children: dict[int, list[int]] = {}
+    for node in range(1, len(names)):
+        if marks[node] == node:
+            outer[node] = marks[parents[node]]
+            children.setdefault(outer[node], []).append(node)
+    lifted = {0} | {m for m in set(marks) if mains[m]}
+
+    def exposed() -> list[bool]:
+        """Whether no mark that counts lies around a node."""
+        shown = [True] * len(names)
+        for node in range(1, len(names)):
+            shown[node] = shown[parents[node]] and (marks[node] != node or node in lifted)
+        return shown
+
+    shown = exposed()
+    if not any(shown[n] and names[n] in CONTAINERS for n in range(len(names))):
+        todo = [0]
+        while todo:
+            for m in children.get(todo.pop(), ()):
+                if articles[m] and names[m] not in MARKED - {"form"} and (articles[m] == 1 or names[m] == "form"):
+                    lifted.add(m)
+                if m in lifted:
+                    todo.append(m)
+        shown = exposed()
+    within, threshold = _cluster(page.lines)
+    content = [ok and not _links_only(x) and len(x.text) >= threshold * max(1, x.tags)
+               for x, ok in zip(page.lines, within, strict=True)]
+    if not any(ok and shown[x.owner] for x, ok in zip(page.lines, content, strict=True)):
+        held, own = [0] * len(names), set()
+        for x, ok in zip(page.lines, content, strict=True):
+            if ok:
+                held[x.owner] += len(x.text)
+                own.add(marks[x.owner])
+        held = _sums(page, held)
+        # The marks that still count, the one with most of the cluster first, from outside inwards.
+        ahead = [(-held[m], m) for at in lifted for m in children.get(at, ()) if m not in lifted]
+        heapq.heapify(ahead)
+        while ahead:
+            size, m = heapq.heappop(ahead)
+            if not size:
+                break
+            if names[m] in MARKED - {"form"}:
+                continue
+            lifted.add(m)
+            if m in own:
+                break
+            for inner in children.get(m, ()):
+                heapq.heappush(ahead, (-held[inner], inner))
+        shown = exposed()
+    return [x for x in page.lines if shown[x.owner]]
+
+
 def content_region(page: Lines) -> list[Line]:
     """The lines outside furniture of the smallest element that holds the content cluster."""
-    lines, parents, names = page.lines, page.parents, page.names
+    lines, parents, names = unmarked_lines(page), page.parents, page.names
     within, _ = _cluster(lines)
     cluster = [x for x, ok in zip(lines, within, strict=True) if ok]
     cluster = [x for x in cluster if not _links_only(x)] or cluster

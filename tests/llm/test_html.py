@@ -57,6 +57,29 @@ def test_source_lists_stay():
     assert main_text(page).endswith("Sources\nThe first source of the article") and "Menu" not in main_text(page)
 
 
+def test_wrappers_are_no_furniture():
+    text = f"{paragraphs(0, 6)}<div class='ad'>Buy now, cheap and good, more than you ever wanted to buy.</div>"
+    around = "<nav><ul><li><a href='/'>Menu</a></li></ul></nav>{}<div class='footer'>Imprint and more such words</div>"
+    for start, end in (("<div class='content has-sidebar'>", "</div>"), ("<div id='page' class='with-banner'>", "</div>"),
+                       ("<div class='search-results'>", "</div>"), ("<form>", "</form>"),
+                       ("<div class='modal'><div class='overlay'>", "</div></div>")):
+        for body in (text, f"<article>{text}</article>", f"<main>{text}</main>"):
+            got = main_text(f"<body>{around.format(start + body + end)}</body>")
+            assert got.count("Paragraph") == 6 and not {"Menu", "Buy", "Imprint"} & set(got.split())
+
+
+def test_furniture_longer_than_the_article_goes():
+    page = f"<body><div id='story'>{paragraphs(0, 4)}</div><div class='comments'>" \
+           f"<article>{paragraphs(10, 9)}</article><article>{paragraphs(20, 9)}</article></div></body>"
+    assert main_text(page).count("Paragraph") == 4
+
+
+def test_nested_marks_are_linear():
+    started = time.time()
+    main_text("<div class='ad'>" * 20_000 + "words of the page")
+    assert time.time() - started < 5
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words"), (None, "u", "<p>a<p>b"), (5, "u", "<![bad <p>x</p>"),
             (6, "u", "<script>never closed"), (6, "u", "<script>never closed"), (7, "u", "&lt;p&gt; &#xD800; &unknown;")]
