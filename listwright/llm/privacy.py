@@ -144,20 +144,16 @@ def revealing_terms(docs: DataFrame, found: DataFrame, how: Disclosure = Disclos
     together = shown.groupBy("entity", "term", "digest").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(
         F.sum("docs").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= how.min_texts)
     entities = shown.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # A term goes with the entity that it is found near most often; ties go to the smaller name.
-    strongest = together.groupBy("term").agg(
-        F.max(F.struct("n_both", F.lit(0).alias("zero"))).alias("most"), F.min_by(
-            "entity", F.struct(-F.col("n_both"), "entity")).alias("entity")).select(
-        "term", "entity", F.col("most.n_both").alias("n_both"))
-    strongest = staged(strongest)
-    if strongest.isEmpty():
-        return strongest.select(F.lit(None).cast("long").alias("doc_id"), F.array("term").alias("terms"))
+    together = staged(together)
+    if together.isEmpty():
+        return together.select(F.lit(None).cast("long").alias("doc_id"), F.array("term").alias("terms"))
     used = docs.select(F.explode(F.array_distinct(_words(whole_text()))).alias("term")).where(
         F.length("term") >= how.min_term_chars).groupBy("term").agg(F.count("*").alias("n_term"))
     total = found.count()
     bits = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    hidden = strongest.join(used, "term").join(entities, "entity").where(
-        (F.col("n_both") >= how.min_share * F.col("n_term")) & (bits >= how.min_bits)).select("entity", "term")
+    # Each entity that a term reveals counts, not only the one that it is found near most often.
+    hidden = together.join(used, "term").where(F.col("n_both") >= how.min_share * F.col("n_term")).join(
+        entities, "entity").where(bits >= how.min_bits).select("entity", "term")
     return shown.join(hidden, ["entity", "term"]).groupBy("doc_id").agg(
         F.array_sort(F.collect_set("term")).alias("terms"))
 

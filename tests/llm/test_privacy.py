@@ -58,6 +58,24 @@ def test_revealing_terms_are_found(documents, prose):
             assert terms.count("zorblax") == 2
 
 
+def hidden_words(row, text):
+    return {text[int(a):int(z)].lower() for kind, a, z in (s.split(":") for s in row["spans"].split(",") if s) if kind == "term"}
+
+
+def test_each_entity_of_a_term_is_tested(documents, prose):
+    """A term near a rare address in 11 of 12 documents and near a common one in 12; a term near two entities."""
+    rows = [(i, f"{prose(i, 30)} {'jane@corp.example' if i else 'nobody'} zorblax support@corp.example") for i in range(12)]
+    rows += [(1000 + i, f"{prose(500 + i, 40)} support@corp.example") for i in range(120)]
+    far = prose(7, 60)
+    rows += [(200 + i, f"{prose(700 + i, 30)} ann@x.example quixby {far} {prose(800 + i, 30)} "
+                       + ("quixby +1 (555) 555-1234" if i < 5 else "")) for i in range(6)]
+    rows += [(300, f"{prose(900, 30)} quixby +1 (555) 555-1234")]
+    texts = dict(rows)
+    got = {r["doc_id"]: hidden_words(r, texts[r["doc_id"]]) for r in personal_data(documents(rows)).collect()}
+    assert all("zorblax" in got[i] for i in range(1, 12))
+    assert all("quixby" in got[i] for i in range(200, 206)) and "quixby" in got[300]
+
+
 def test_copies_are_no_evidence(documents, prose):
     rows = [(i, f"{prose(1, 30)} zorblax jane@corp.example") for i in range(50)] + [(90 + i, prose(i, 30)) for i in range(50)]
     assert not any("term" in r["spans"] for r in personal_data(documents(rows)).collect())
