@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listwright.llm.decontaminate import drop_contaminated
 from listwright.llm.near_dup import MinHash, keep_one
-from listwright.llm.privacy import sanitised
+from listwright.llm.privacy import Disclosure, sanitised
 from listwright.llm.quality import keep_good
 from listwright.llm.retrieval_packing import retrieval_pack
 from listwright.llm.shared import staged, table
@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and what reveals it are replaced in the texts."""
-    return sanitised(docs)
+    return sanitised(docs, Disclosure(everywhere=True))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Patterns find personal data (base spans). Then terms: for a word that occurs near an entity, the
 corpus tells how strongly it reveals it, by the share of the word's documents that hold the entity
-and by pointwise mutual information. Words above the thresholds are spans of kind `term`, wherever
-a document that has them near that entity uses them.
+and by pointwise mutual information. Words above the thresholds are spans of kind `term`: with
+`Disclosure.everywhere` in every document that uses them, else in those that have them near the entity.
 """
 
 from __future__ import annotations
@@ -40,6 +40,12 @@ class Disclosure:
     min_share: float = 0.5
     #: Least pointwise mutual information, in bits.
     min_bits: float = 3.0
+    #: Whether a term is hidden in every document that uses it, or only where the entity is near.
+    everywhere: bool = False
+
+
+#: Parts of a frequent word's rows when all words meet the hidden terms.
+SALTS = 32
 
 
 def _digits(value: Column) -> Column:
@@ -124,6 +130,11 @@ def _near(text: Column, span: Column, how: Disclosure) -> Column:
     return F.filter(F.array_distinct(F.concat(before, after)), lambda t: F.length(t) >= how.min_term_chars)
 
 
+def _key(how: Disclosure) -> Column:
+    """What a document's terms are joined by: with `everywhere` its id and text, so null and repeated ids do too."""
+    return F.xxhash64("doc_id", whole_text()) if how.everywhere else F.col("doc_id")
+
+
 def with_base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text (null where nothing was found) and base spans, one row per document."""
     found = docs.select("doc_id", whole_text().alias("text")).select(
@@ -132,9 +143,9 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
-    """doc_id and the sorted terms to hide in it, for documents that have any.
+    """The `key` of a document and the sorted terms to hide in it, for documents that have any.
 
-    `found` is with_base_spans(docs), written. Only documents with an entity have terms.
+    `found` is with_base_spans(docs), written.
     """
     shown = found.where("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("digest"), "text", F.explode("base").alias("span")).select(
@@ -146,16 +157,22 @@ def revealing_terms(docs: DataFrame, found: DataFrame, how: Disclosure = Disclos
     entities = shown.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     together = staged(together)
     if together.isEmpty():
-        return together.select(F.lit(None).cast("long").alias("doc_id"), F.array("term").alias("terms"))
-    used = docs.select(F.explode(F.array_distinct(_words(whole_text()))).alias("term")).where(
-        F.length("term") >= how.min_term_chars).groupBy("term").agg(F.count("*").alias("n_term"))
+        return together.select(F.lit(None).cast("long").alias("key"), F.array("term").alias("terms"))
+    words = docs.select(_key(how).alias("key"), F.explode(F.array_distinct(_words(whole_text()))).alias("term")).where(
+        F.length("term") >= how.min_term_chars)
+    used = words.groupBy("term").agg(F.count("*").alias("n_term"))
     total = found.count()
     bits = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     # Each entity that a term reveals counts, not only the one that it is found near most often.
     hidden = together.join(used, "term").where(F.col("n_both") >= how.min_share * F.col("n_term")).join(
         entities, "entity").where(bits >= how.min_bits).select("entity", "term")
-    return shown.join(hidden, ["entity", "term"]).groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("term")).alias("terms"))
+    if how.everywhere:
+        salted = staged(hidden.select("term").distinct()).select(
+            "term", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        uses = words.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    else:
+        uses = shown.join(hidden, ["entity", "term"]).withColumnRenamed("doc_id", "key")
+    return uses.groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
 
 
 def _term_spans(text: Column, base: Column, terms: Column) -> Column:
@@ -176,8 +193,9 @@ def _written(spans: Column) -> Column:
 def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """One row per document: counts of the base kinds, the digest of the base spans, all spans.
 
-    Null texts count as empty. A null doc_id keeps its base spans but gets no terms; rows that repeat a
-    doc_id share their terms; an empty table gives an empty one; only doc_id and text are read.
+    Null texts count as empty. With `everywhere` each row gets the terms that its own text uses. Without, a
+    null doc_id keeps its base spans but gets no terms, and rows that repeat a doc_id share their terms. An
+    empty table gives an empty one; only doc_id and text are read.
     """
     found = staged(with_base_spans(docs))
     terms = revealing_terms(docs, found, how)
@@ -186,9 +204,13 @@ def personal_data(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
         counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in PATTERNS]
         return ["doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(spans).alias("spans")]
 
+    if how.everywhere:
+        marked = docs.select("doc_id", whole_text().alias("text"), _key(how).alias("key")).join(terms, "key", "left")
+        marked = marked.withColumn("base", bind(F.col("text"), base_spans))
+        return marked.select(*row(_all_spans(F.col("text"), F.col("base"), F.col("terms"))))
     # Only documents with an entity can have terms: the others need no join.
     clean = found.where("text IS NULL").select(*row(F.col("base")))
-    named = found.where("text IS NOT NULL").join(terms, "doc_id", "left")
+    named = found.where("text IS NOT NULL").join(terms.withColumnRenamed("key", "doc_id"), "doc_id", "left")
     return clean.unionByName(named.select(*row(_all_spans(F.col("text"), F.col("base"), F.col("terms")))))
 
 
@@ -209,16 +231,22 @@ def _hidden(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame, how: Disclosure = Disclosure()) -> DataFrame:
     """The documents, with their own columns, and personal data and revealing terms replaced in text.
 
-    Documents without personal data are returned as they are; `n_chars`, where there is such a column,
+    Documents with nothing to hide are returned as they are; `n_chars`, where there is such a column,
     follows the text.
     """
     found = staged(with_base_spans(docs))
-    id_, hidden, base = (unused(docs, name) for name in ("id", "terms", "base"))
-    terms = revealing_terms(docs, found, how).select(F.col("doc_id").alias(id_), F.col("terms").alias(hidden))
-    marked = docs.withColumn(base, bind(whole_text(), base_spans))
-    clean = marked.where(F.size(base) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    named = marked.where(F.size(base) > 0)
-    named = named.join(terms, named["doc_id"] == terms[id_], "left")
+    id_, key, hidden, base = (unused(docs, name) for name in ("id", "key", "terms", "base"))
+    terms = revealing_terms(docs, found, how).select(F.col("key").alias(id_), F.col("terms").alias(hidden))
+    marked = docs.withColumn(key, _key(how))
+    if how.everywhere:
+        marked = marked.join(terms, marked[key] == terms[id_], "left").withColumn(base, bind(whole_text(), base_spans))
+        nothing = (F.size(base) == 0) & F.col(hidden).isNull()
+        clean, named = marked.where(nothing), marked.where(~nothing)
+    else:
+        marked = marked.withColumn(base, bind(whole_text(), base_spans))
+        clean, named = marked.where(F.size(base) == 0), marked.where(F.size(base) > 0)
+        named = named.join(terms, named[key] == terms[id_], "left")
+    clean = clean.select(*[F.col(f"`{c}`") for c in docs.columns])
     named = named.withColumn("text", _hidden(F.col("text"), _all_spans(F.col("text"), F.col(base), F.col(hidden))))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

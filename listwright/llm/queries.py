@@ -12,7 +12,7 @@ from listwright.llm.html_extract import extract_main_text
 from listwright.llm.licenses import license_scan
 from listwright.llm.near_dup import MinHash, near_duplicates
 from listwright.llm.packing import packed_windows
-from listwright.llm.privacy import personal_data
+from listwright.llm.privacy import Disclosure, personal_data
 from listwright.llm.quality import quality_rules
 from listwright.llm.retrieval_packing import retrieval_pack
 from listwright.llm.shared import table
@@ -24,7 +24,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents"))
+    return personal_data(table(spark, sf_dir, "documents"), Disclosure(everywhere=True))
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

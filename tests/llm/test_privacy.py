@@ -76,6 +76,20 @@ def test_each_entity_of_a_term_is_tested(documents, prose):
     assert all("quixby" in got[i] for i in range(200, 206)) and "quixby" in got[300]
 
 
+def test_terms_are_hidden_everywhere(documents, odd, clashing, prose):
+    """A document that uses the term without the entity has it hidden, whatever its id."""
+    how = Disclosure(everywhere=True)
+    rows = [*revealing(prose), (None, f"Zorblax {prose(4, 20)}"), (200, f"no term {prose(5, 20)}")]
+    found = personal_data(documents(rows), how).collect()
+    uses = {i for i, t in rows if "zorblax" in t.lower()}
+    assert len(found) == len(rows) and {r["doc_id"] for r in found if "term" in r["spans"]} == uses
+    after = [r["text"] for r in sanitised(documents(rows), how).collect()]
+    assert len(after) == len(rows) and not any("zorblax" in t.lower() for t in after)
+    assert sum("[TERM]" in t for t in after) == 8 and sum(t == rows[-1][1] for t in after) == 1
+    assert sorted(map(str, sanitised(odd, how).collect())) == sorted(map(str, odd.collect()))
+    assert sanitised(clashing, how).columns == clashing.columns
+
+
 def test_copies_are_no_evidence(documents, prose):
     rows = [(i, f"{prose(1, 30)} zorblax jane@corp.example") for i in range(50)] + [(90 + i, prose(i, 30)) for i in range(50)]
     assert not any("term" in r["spans"] for r in personal_data(documents(rows)).collect())
