@@ -209,19 +209,28 @@ def _sketches(docs: DataFrame, members: DataFrame, how: MinHash) -> DataFrame:
 CELL = 256
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union.
+def _cells(pairs: DataFrame) -> DataFrame:
+    """The pairs with their group g and their cell (i, j) in it.
 
-    Pairs around the same smallest partner go to one cell, large groups to a grid of cells; a set
-    travels once to each cell that needs it, not once per pair.
+    Pairs around the same smallest partner go to one cell, large groups to a grid of cells. Each side
+    of a grid follows the members on that side, so a star of N pairs lies in N / CELL cells.
     """
     around = pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")).join(
         pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("n")), "a", "left").select(
         "a", F.coalesce(F.least("m", "n"), "m").alias("g"))
     grouped = pairs.join(around, "a")
-    sides = grouped.groupBy("g").agg((1 + F.floor(F.sqrt(F.count("*")) / CELL)).alias("grid"))
-    celled = staged(grouped.join(sides, "g").select(
-        "g", F.pmod(F.xxhash64("a"), "grid").alias("i"), F.pmod(F.xxhash64("b"), "grid").alias("j"), "a", "b"))
+    sides = grouped.groupBy("g").agg(*[
+        (1 + F.floor(F.approx_count_distinct(side) / CELL)).alias(f"n_{side}") for side in ("a", "b")])
+    return grouped.join(sides, "g").select(
+        "g", F.pmod(F.xxhash64("a"), "n_a").alias("i"), F.pmod(F.xxhash64("b"), "n_b").alias("j"), "a", "b")
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union.
+
+    A set travels once to each cell that needs it, not once per pair.
+    """
+    celled = staged(_cells(pairs))
     cell = ["g", "i", "j"]
     needed = celled.select(*cell, F.col("a").alias("rep")).unionByName(
         celled.select(*cell, F.col("b").alias("rep"))).distinct()

@@ -79,6 +79,17 @@ def test_later_rounds_lose_nothing(documents, prose, monkeypatch):
     check(documents(rows), MinHash(words=3, percent=85, rows=2))
 
 
+def test_cells_of_stars_are_bounded(spark):
+    """One pivot with 4,000 partners: no cell holds many more than CELL members, and no pair is lost."""
+    for pivot in (0, 4_000, 9_000):
+        rows = [(min(pivot, i), max(pivot, i)) for i in range(1, 8_001, 2)]
+        cells = {}
+        for r in near_dup._cells(spark.createDataFrame(rows, "a long, b long")).collect():
+            cells.setdefault((r["g"], r["i"], r["j"]), []).append((r["a"], r["b"]))
+        assert sorted(p for pairs in cells.values() for p in pairs) == sorted(rows)
+        assert max(len({d for p in pairs for d in p}) for pairs in cells.values()) < 1.5 * near_dup.CELL
+
+
 def test_edges(odd, clashing, documents):
     check(odd.distinct(), MinHash(words=3, percent=85))
     assert near_duplicates(odd).count() == 10
