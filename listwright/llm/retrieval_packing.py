@@ -2,7 +2,7 @@
 
 Every task keeps an inverted index of its share of the documents, a shard, over their token ids.
 A window starts with a seed document; the index returns its unused neighbours, best first, and
-they fill the window greedily. When none of the best fits whole, the best is cut and its rest is
+they fill the window greedily. When none of them fits whole, the best is cut and its rest is
 the next seed, so windows are full. A shard's last ids go to windows of powers of two, unpadded.
 """
 
@@ -27,16 +27,14 @@ class RetrievalPacking:
     end_id: int = 1
     #: A shard is packed when it holds so many ids.
     shard_ids: int = 6_000_000
-    #: A seed asks with its terms of the largest weights; every document is indexed under all terms.
-    query_terms: int = 24
-    #: Neighbours tried for a whole fit before the best one is cut.
+    #: Without effect: all neighbours are tried. Kept for callers that pass it.
     tried: int = 16
     k1: float = 1.2
     b: float = 0.75
 
 
 class Index:
-    """BM25 postings of a shard's documents, and their strongest terms as queries."""
+    """BM25 postings of a shard's documents, and their terms as queries."""
 
     def __init__(self, documents: list[np.ndarray], how: RetrievalPacking):
         terms, counts, sizes = [], [], []
@@ -57,31 +55,27 @@ class Index:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         self.queries = []
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-            at = a + np.flatnonzero(useful[a:z])
-            if len(at) > how.query_terms:
-                at = at[np.argpartition(-weight[at], how.query_terms)[:how.query_terms]]
-            self.queries.append(term[at])
+            self.queries.append(term[a:z][useful[a:z]])
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.starts = np.concatenate([[0], np.cumsum(df)])
         self.n = len(documents)
 
-    def neighbours(self, seed: int, used: np.ndarray, n: int) -> list[int]:
-        """Unused documents that share a query term with the seed, best first, at most n."""
+    def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """How well every document answers the seed; 0 for used ones and those that share no term."""
         spans = [(self.starts[t], self.starts[t + 1]) for t in self.queries[seed].tolist()]
         if not spans:
-            return []
+            return np.zeros(self.n)
         owners = np.concatenate([self.owner[a:z] for a, z in spans])
         scores = np.bincount(owners, np.concatenate([self.weight[a:z] for a, z in spans]), self.n)
         scores[used] = 0
-        best = np.argpartition(-scores, n)[:n] if self.n > n else np.arange(self.n)
-        best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
+        return scores
 
 
 def fill(documents: list[np.ndarray], how: RetrievalPacking) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length); every id lies in exactly one."""
     index, lengths = Index(documents, how), [len(ids) for ids in documents]
+    sizes = np.array(lengths)
     used, fresh = np.zeros(len(documents), bool), iter(np.argsort(lengths, kind="stable")[::-1].tolist())
     windows: list[list[tuple[int, int, int]]] = []
     current: list[tuple[int, int, int]] = []
@@ -108,20 +102,18 @@ def fill(documents: list[np.ndarray], how: RetrievalPacking) -> list[list[tuple[
             start = place(seed, start)
         # The seed's end lies in the open window, or filled one: its neighbours go on from there.
         asked, seed, start = seed, None, 0
+        if current:
+            scores = index.scores(asked, used)
         while current:
-            near = index.neighbours(asked, used, how.tried)
-            if not near:
+            near = np.where(sizes <= room, scores, 0)
+            best = int(near.argmax())
+            if near[best] <= 0:
+                # None fits whole: the best neighbour is cut and its rest opens the next window.
+                best = int(scores.argmax())
+                seed = best if scores[best] > 0 else None
                 break
-            for document in near:
-                if lengths[document] <= room:
-                    used[document] = True
-                    place(document, 0)
-                    if not current:
-                        break
-            else:
-                seed = next((d for d in near if not used[d]), None)
-                if seed is not None:
-                    break  # the best neighbour is cut: its rest opens the next window
+            used[best], scores[best] = True, 0
+            place(best, 0)
         if seed is None:
             seed = next_fresh()
     # What is left over goes to windows of powers of two, largest first.

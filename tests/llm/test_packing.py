@@ -122,3 +122,17 @@ def test_edges(odd, clashing):
     assert packed_windows(odd.limit(0)).count() == 0 and retrieval_pack(odd.limit(0)).count() == 0
     assert packed_windows(clashing.coalesce(1)).count() == 1
     assert retrieval_pack(clashing).where("length > 0").count() >= 2
+
+
+def test_a_neighbour_that_fits_is_found_behind_many_that_do_not():
+    """Twenty better neighbours are too long for the room; one that shares only a weak term fits."""
+    own = iter(range(1_000, 10_000))
+
+    def text(shared, n):
+        return np.array([*shared, *[next(own) for _ in range(n - len(shared))]], "<u4")
+
+    seed = text(list(range(100, 140)), 90)
+    long = [text(list(range(100, 139)), 60) for _ in range(20)]
+    others = [text([], 5) for _ in range(400)]
+    windows = fill([seed, *long, text([139], 10), *others], RetrievalPacking(window=100))
+    assert [d for d, _, _ in windows[0]] == [0, 21]
