@@ -446,7 +446,7 @@ oracle("unsynced_scored", UNSYNCED, "scored")
 GONE = "listing_id IN (SELECT ord + 1 FROM listings WHERE url IN (SELECT url FROM listings WHERE ord % 4 = 0))"
 oracle("expire_by_url", f"SELECT id, 7::BIGINT AS seq, 'expired' AS status, false AS url_alive FROM scored WHERE {GONE}", "scored")
 oracle("health_queue", """SELECT l.url, s.listing_id, s.id AS scored_id FROM scored s JOIN listings l ON l.ord + 1 = s.listing_id
-  WHERE s.status = 'new' AND s.url_alive ORDER BY l.date_scraped, s.id LIMIT 50""", "scored")
+  WHERE s.status = 'new' AND s.url_alive ORDER BY l.date_scraped NULLS FIRST, s.id LIMIT 50""", "scored")
 oracle("insert_listings", """WITH b AS (SELECT ord, CASE WHEN ord % 13 <> 0 THEN url END AS url, CASE WHEN ord % 11 <> 0 THEN title END AS title
     FROM listings WHERE ord % 3 <> 0),
   v AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ord) AS n FROM b WHERE title IS NOT NULL)

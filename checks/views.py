@@ -30,8 +30,8 @@ SELECT p.p_partkey AS ord,
   e.ts AS date_scraped
 FROM part p
 LEFT JOIN documents d ON d.doc_id = p.p_partkey - 1
-LEFT JOIN (SELECT 1 + o_orderkey % (SELECT count(*) FROM part) AS k, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) o ON o.k = p.p_partkey
-LEFT JOIN (SELECT 1 + event_id % (SELECT count(*) FROM part) AS k, min(ts) AS ts FROM events GROUP BY 1) e ON e.k = p.p_partkey
+LEFT JOIN (SELECT o_orderkey % (SELECT count(*) FROM part) AS k, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) o ON o.k = p.p_partkey
+LEFT JOIN (SELECT event_id % (SELECT count(*) FROM part) AS k, min(ts) AS ts FROM events GROUP BY 1) e ON e.k = p.p_partkey
 """
 
 RESPONSES = """

@@ -33,11 +33,12 @@ def distinct_keys(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("fuzzy_key").alias("key")).agg(F.min("ord").alias("id"))
 
 
-def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int = PIVOTS) -> DataFrame:
+def leader_edges(keys: DataFrame, ratio: int = 85, pivots: int | None = None) -> DataFrame:
     """(l_id, r_id) for every key (key, id) and each earlier leader it is alike to.
 
-    Keys without an edge are the leaders.
+    Keys without an edge are the leaders. `pivots` (PIVOTS where None) are met in the first round.
     """
+    pivots = pivots or PIVOTS
     rule = Rule((("key", ratio),))
     root = scratch_root(keys.sparkSession)
     keys = stage(keys, f"{root}/keys")

@@ -49,12 +49,13 @@ def eligible_for_check() -> Column:
 def health_queue(scored: DataFrame, listings: DataFrame, prefs: Prefs = Prefs()) -> DataFrame:
     """The listings to check next, oldest scrape first; the limit is the feature.
 
-    A scored row per rescoring may put one URL in twice, as in the store itself.
+    A scored row per rescoring may put one URL in twice, as in the store itself. Listings without a
+    scrape time come first.
     """
     parents = listings.select(F.col("id").alias("listing_id"), "url", "date_scraped")
     waiting = scored.where(eligible_for_check()).select("id", "listing_id")
     oldest = salted_join(waiting, parents, "listing_id", "inner", spread="id").orderBy(
-        "date_scraped", "id").limit(prefs.max_checks)
+        F.col("date_scraped").asc_nulls_first(), "id").limit(prefs.max_checks)
     return oldest.select("url", "listing_id", F.col("id").alias("scored_id"))
 
 

@@ -131,11 +131,9 @@ def one_response(responses: DataFrame, order: str) -> DataFrame:
 
 
 def scoring_stats(enriched: DataFrame, responses: DataFrame) -> DataFrame:
-    """How many listings got a usable answer and how many did not."""
-    answers = responses.select(
-        F.col("listing_id").alias("ord"),
-        parse_response(F.col("response_text")).isNotNull().alias("_ok"))
+    """How many listings got a usable answer and how many did not; several answers count once."""
+    usable = _usable(responses).groupBy("ord").agg(F.lit(True).alias("_ok"))
     ok = F.coalesce("_ok", F.lit(False))
-    return enriched.select("ord").join(answers, "ord", "left").agg(
+    return enriched.select("ord").join(usable, "ord", "left").agg(
         F.count("*").alias("listings"), F.count_if(ok).alias("scored"),
         F.count_if(~ok).alias("errors"))
