@@ -33,6 +33,10 @@ class RetrievalPacking:
     b: float = 0.75
 
 
+#: Terms in at least one of so many documents of a shard are kept as rows over all its documents.
+DENSE = 8
+
+
 class Index:
     """BM25 postings of a shard's documents, and their terms as queries."""
 
@@ -56,18 +60,30 @@ class Index:
         self.queries = []
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
             self.queries.append(term[a:z][useful[a:z]])
+        # Frequent terms have a whole row of weights, which sums without looking up owners.
+        self.row = np.where(df * DENSE >= len(documents), np.cumsum(df * DENSE >= len(documents)) - 1, -1)
+        dense = self.row[term] >= 0
+        self.rows = np.zeros((self.row.max(initial=-1) + 1, len(documents)), np.float32)
+        self.rows[self.row[term[dense]], owner[dense]] = weight[dense]
+        term, owner, weight = term[~dense], owner[~dense], weight[~dense]
         order = np.argsort(term, kind="stable")
-        self.owner, self.weight = owner[order], weight[order]
-        self.starts = np.concatenate([[0], np.cumsum(df)])
+        # In the types that the sums take, so that no question converts them.
+        self.owner, self.weight = owner[order].astype(np.intp), weight[order].astype(np.float64)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(df)))])
         self.n = len(documents)
 
     def scores(self, seed: int, used: np.ndarray) -> np.ndarray:
         """How well every document answers the seed; 0 for used ones and those that share no term."""
-        spans = [(self.starts[t], self.starts[t + 1]) for t in self.queries[seed].tolist()]
-        if not spans:
+        terms = self.queries[seed]
+        if not len(terms):
             return np.zeros(self.n)
-        owners = np.concatenate([self.owner[a:z] for a, z in spans])
-        scores = np.bincount(owners, np.concatenate([self.weight[a:z] for a, z in spans]), self.n)
+        rows = self.row[terms]
+        frequent = rows >= 0
+        spans = list(zip(self.starts[terms[~frequent]].tolist(), self.starts[terms[~frequent] + 1].tolist(), strict=True))
+        scores = np.add.reduce(self.rows[rows[frequent]], axis=0).astype(np.float64)
+        if spans:
+            owners = np.concatenate([self.owner[a:z] for a, z in spans])
+            scores += np.bincount(owners, np.concatenate([self.weight[a:z] for a, z in spans]), self.n)
         scores[used] = 0
         return scores
 
