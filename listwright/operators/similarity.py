@@ -4,8 +4,13 @@ For ratio t and total length s, two alike texts share at least 3*ceil(t*s/2) - s
 (q-gram bound: Gravano et al., VLDB 2001). With all bigrams in one global order, rarest first,
 alike texts therefore share a bigram within a short prefix of each (Chaudhuri et al., ICDE 2006),
 so an equi-join on prefix bigrams loses no pair. Texts so short that alike ones may share no bigram
-also carry prefix tokens of their characters, of which alike texts always share one. Candidates pass native bounds (length, bit
-sketches, token position) and are then checked exactly in an Arrow UDF.
+also carry prefix tokens of their characters, of which alike texts always share one.
+
+Rows of the join are slim: ids, lengths and sketches. A sketch has a bit of its own for each frequent
+numbered character and bigram, so the bits in which two sketches differ bound the edits between the
+texts almost exactly. The few pairs that pass are made distinct, meet their texts and are checked
+in an Arrow UDF, once each. Where a rule has several parts, the right side posts all of them and every
+left row asks with the part whose tokens are rarest.
 """
 
 from __future__ import annotations
@@ -60,17 +65,48 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(gram, F.lit(GRAM_BUCKETS)).cast("int")
 
 
-def gram_ranks(texts: DataFrame, rule: Rule) -> Column:
-    """Rarity rank per gram bucket as a constant array; at most GRAM_BUCKETS rows are collected."""
+@dataclass(frozen=True)
+class Order:
+    """A global order of tokens, per part of a rule: any fixed one is right, rarest first is fast.
+
+    `ranks` and `chars` give the place of every gram and numbered-character bucket by frequency;
+    `gram_counts` the frequency by place and `char_counts` by bucket. Plain lists, so it can be kept.
+    """
+
+    ranks: list[list[int]]
+    gram_counts: list[list[int]]
+    chars: list[list[int]]
+    char_counts: list[list[int]]
+
+
+def _literal(numbers: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
+def _places(texts: DataFrame, tokens: Column) -> tuple[list[int], list[int], list[int]]:
+    """Place per bucket, count per place and count per bucket; at most GRAM_BUCKETS rows are collected."""
     counts = (
-        texts.select(F.explode_outer(_grams(rule.text)).alias("g"))
+        texts.select(F.explode_outer(tokens).alias("g"))
         .groupBy(_bucket(F.col("g")).alias("b")).agg(F.count("*").alias("n"))
-        .orderBy("n", "b").collect()
+        .where(F.col("b").isNotNull()).orderBy("n", "b").collect()
     )
-    ranks = [0] * GRAM_BUCKETS
-    for rank, row in enumerate(counts):
-        ranks[row["b"]] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    places, by_place, by_bucket = [0] * GRAM_BUCKETS, [0] * GRAM_BUCKETS, [0] * GRAM_BUCKETS
+    for place, row in enumerate(counts, GRAM_BUCKETS - len(counts)):
+        places[row["b"]], by_place[place], by_bucket[row["b"]] = place, row["n"], row["n"]
+    return places, by_place, by_bucket
+
+
+def gram_ranks(texts: DataFrame, rule: Rule) -> Order:
+    """The order of the tokens of these texts."""
+    found = []
+    for c in rule.columns:
+        grams, chars = _places(texts, _grams(_plain(c))), _places(texts, _numbered_chars(_plain(c)))
+        found.append((grams[0], grams[1], chars[0], chars[2]))
+    return Order(*map(list, zip(*found)))
+
+
+def _plain(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
 
 
 def _shared_grams(length: Column, ratio: int) -> Column:
@@ -88,15 +124,22 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bits(buckets: Column) -> list[Column]:
-    """A set of numbers in 0..127 as two 64-bit words."""
-    one = F.lit(1).cast("bigint")
-    return [
-        F.aggregate(
-            F.filter(buckets, lambda b: (b >= low) & (b < low + 64)), F.lit(0).cast("bigint"),
-            lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b - low)))
-        for low in (0, 64)
-    ]
+def _bits(behind: Column, words: int) -> list[Column]:
+    """Places in a global order, the most frequent token's being 0, as a sketch of `words` 64-bit words.
+
+    The most frequent ones have a bit each, all others share the last word. Texts differ in at least as
+    many tokens as their sketches in bits.
+    """
+    one, own = F.lit(1).cast("bigint"), 64 * (words - 1)
+    def word(n: int) -> Column:
+        if n < words - 1:
+            inside = F.filter(behind, lambda b: (b >= 64 * n) & (b < 64 * n + 64))
+            shifts = F.transform(inside, lambda b: (b - 64 * n).cast("int"))
+        else:
+            shifts = F.transform(F.filter(behind, lambda b: b >= own), lambda b: F.pmod(b, F.lit(64)).cast("int"))
+        return F.aggregate(shifts, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b)))
+
+    return [word(n) for n in range(words)]
 
 
 def _numbered_chars(text: Column) -> Column:
@@ -109,55 +152,102 @@ def _numbered_chars(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), number)
 
 
-def _char_bag(text: Column) -> Column:
-    return F.transform(_numbered_chars(text), lambda c: F.pmod(c, F.lit(128)).cast("int"))
-
-
-def _char_tokens(text: Column, ratio: int) -> Column:
-    """Numbered characters in one global order, as many as texts alike to this one must meet.
+def _char_tokens(numbered: Column, length: Column, places: Column, ratio: int) -> Column:
+    """Numbered characters in the global order, as many as texts alike to this one must meet.
 
     Alike texts have a common subsequence, so at least as many numbered characters in common.
     """
-    length = F.length(text)
     common = F.ceil((length + F.ceil(length * ratio / (200 - ratio))) * ratio / 200)
     keep = F.greatest(length - common + 1, F.lit(1)).cast("int")
-    return F.slice(F.sort_array(_numbered_chars(text)), F.lit(1), keep)
-
-
-def with_tokens(texts: DataFrame, rule: Rule, ranks: Column) -> DataFrame:
-    """Add `tokens`, the rarest bigrams of the text in order, as many as the bound demands, and
-    bit sketches of its characters and bigrams for cheap rejection."""
-    def ordered(g):
-        rank = F.element_at(ranks, _bucket(g) + 1)
-        return F.shiftleft(rank, 48).bitwiseOR(F.shiftrightunsigned(g, 16))
-
-    length = F.length(rule.text)
-    grams = F.sort_array(F.transform(_grams(rule.text), ordered))
-    keep = F.when(length > 1, F.size(grams) - _shared_grams(length, rule.ratio) + 1).otherwise(1)
-    # Where the bound says nothing, characters take over.
-    short = F.when(_shared_grams(length, rule.ratio) < 1, _char_tokens(rule.text, rule.ratio)).otherwise(
-        F.array().cast("array<bigint>"))
-    chars = _bits(_char_bag(rule.text))
-    pairs = _bits(F.transform(_grams(rule.text), lambda g: F.pmod(g, F.lit(128)).cast("int")))
-    return texts.withColumns({
-        "tokens": F.concat(F.slice(grams, F.lit(1), keep.cast("int")), short),
-        "chars_a": chars[0], "chars_b": chars[1], "pairs_a": pairs[0], "pairs_b": pairs[1],
-        "text_length": length,
-    })
-
-
-_CARRIED = ("chars_a", "chars_b", "pairs_a", "pairs_b", "text_length")
+    return F.slice(F.sort_array(F.transform(numbered, lambda c: _ordered(c, places))), F.lit(1), keep)
+
+
+def _ordered(token: Column, places: Column) -> Column:
+    """The token's hash behind its place, so that sorting puts rare tokens first."""
+    return F.shiftleft(F.element_at(places, _bucket(token) + 1), 48).bitwiseOR(F.shiftrightunsigned(token, 16))
+
+
+CHAR_WORDS, PAIR_WORDS = 3, 5
+_SKETCH = tuple([f"c{i}" for i in range(CHAR_WORDS)] + [f"p{i}" for i in range(PAIR_WORDS)])
+
+
+def with_tokens(texts: DataFrame, rule: Rule, order: Order) -> DataFrame:
+    """Per part k add `tokens_k`, the rarest bigrams of the text in order, as many as the bound demands,
+    `length_k`, the sketch words c0_k, p0_k, ... and `cost_k`, how often its tokens occur."""
+    made = {}
+    for k, c in enumerate(rule.columns):
+        made |= {f"_grams_{k}": _grams(_plain(c)), f"_chars_{k}": _numbered_chars(_plain(c)),
+                 f"length_{k}": F.length(_plain(c))}
+    texts = texts.withColumns(made)
+    places = {}
+    for k, (_, ratio) in enumerate(rule.parts):
+        ranks, chars = _literal(order.ranks[k]), _literal(order.chars[k])
+        grams = F.sort_array(F.transform(f"_grams_{k}", lambda g: _ordered(g, ranks)))
+        length = F.col(f"length_{k}")
+        keep = F.when(length > 1, F.size(f"_grams_{k}") - _shared_grams(length, ratio) + 1).otherwise(1)
+        none = F.array().cast("array<bigint>")
+        # Where the bound says nothing, characters take over.
+        short = F.when(_shared_grams(length, ratio) < 1, _char_tokens(F.col(f"_chars_{k}"), length, chars, ratio)).otherwise(none)
+        places |= {
+            f"_kept_{k}": F.slice(grams, F.lit(1), keep.cast("int")), f"_short_{k}": short,
+            f"_behind_c_{k}": F.transform(f"_chars_{k}", lambda t: GRAM_BUCKETS - 1 - F.element_at(chars, _bucket(t) + 1)),
+            f"_behind_p_{k}": F.transform(f"_grams_{k}", lambda t: GRAM_BUCKETS - 1 - F.element_at(ranks, _bucket(t) + 1)),
+        }
+    texts = texts.withColumns(places)
+    out = {}
+    for k in range(len(rule.parts)):
+        out[f"tokens_{k}"] = F.concat(_tagged(f"_kept_{k}", 2 * k), _tagged(f"_short_{k}", 2 * k + 1))
+        for kind, words in (("c", CHAR_WORDS), ("p", PAIR_WORDS)):
+            out |= {f"{kind}{n}_{k}": w for n, w in enumerate(_bits(F.col(f"_behind_{kind}_{k}"), words))}
+        if len(rule.parts) > 1:
+            counts, chars = _literal(order.gram_counts[k]), _literal(sorted(order.char_counts[k]))
+            out[f"cost_{k}"] = sum(F.aggregate(c, F.lit(0).cast("bigint"), _adder(n)) for c, n in (
+                (f"_kept_{k}", counts), (f"_short_{k}", chars)))
+    return texts.withColumns(out).drop(*made.keys() - {f"length_{k}" for k in range(len(rule.parts))}, *places)
+
+
+def _tagged(tokens: str, tag: int) -> Column:
+    """Tokens of different kinds and parts never meet."""
+    return F.transform(tokens, lambda t: F.xxhash64(t, F.lit(tag)))
+
+
+def _adder(counts: Column):
+    return lambda acc, t: acc + F.element_at(counts, F.shiftrightunsigned(t, 48).cast("int") + 1)
+
+
+def _carried(rule: Rule) -> list[str]:
+    return [f"{c}_{k}" for k in range(len(rule.parts)) for c in ("length", *_SKETCH)]
 
 
 def postings(texts: DataFrame, id_col: str, rule: Rule, side: str,
              extra: tuple = ()) -> DataFrame:
-    """One row per distinct prefix token, with the token's first position among all bigrams."""
+    """One row per distinct prefix token, with the token's first position among all bigrams.
+
+    The left side asks with the cheapest part only, the right side posts every part.
+    """
+    parts = range(len(rule.parts))
     named = [F.col(id_col).alias(f"{side}_id")]
-    named += [F.col(c).alias(f"{side}_{c}") for c in (*_CARRIED, *rule.columns, *extra)]
-    every = texts.select(*named, "tokens", F.posexplode("tokens").alias(f"{side}_at", "token"))
-    first = F.col(f"{side}_at") + 1 == F.array_position("tokens", F.col("token"))
-    needed = F.size(F.array_distinct("tokens")).alias(f"{side}_needed")
-    return every.where(first).select("*", needed).drop("tokens")
+    named += [F.col(c).alias(f"{side}_{c}") for c in (*_carried(rule), *rule.columns, *extra)]
+
+    def tokens(k: int) -> Column:
+        return F.transform(f"tokens_{k}", lambda t, at: F.struct(F.lit(k).alias("part"), at.alias("at"), t.alias("token")))
+
+    if len(rule.parts) == 1:
+        every = tokens(0)
+    elif side == "l":
+        costs = F.array(*[F.col(f"cost_{k}") for k in parts])
+        cheapest = F.array_position(costs, F.array_min(costs)) - 1
+        every = reduce(lambda c, k: c.when(cheapest == k, tokens(k)), parts[1:], F.when(cheapest == 0, tokens(0)))
+    else:
+        every = F.concat(*[tokens(k) for k in parts])
+    exploded = texts.withColumn("_every", every).withColumn(
+        "_distinct", F.size(F.array_distinct(F.transform("_every", lambda t: t["token"]))))
+    rows = exploded.select(*named, F.col("_distinct").alias(f"{side}_needed"),
+                           F.transform("_every", lambda t: t["token"]).alias("_tokens"), F.posexplode("_every").alias("_n", "_t"))
+    first = F.col("_n") + 1 == F.array_position("_tokens", F.col("_t.token"))
+    return rows.where(first).select(
+        "*", F.col("_t.part").alias(f"{side}_part"), F.col("_t.at").alias(f"{side}_at"), F.col("_t.token").alias("token")
+    ).drop("_n", "_t", "_tokens")
 
 
 def block_heads(right: DataFrame, limit: int) -> DataFrame:
@@ -167,33 +257,53 @@ def block_heads(right: DataFrame, limit: int) -> DataFrame:
         F.col("_rank") <= limit).drop("_rank")
 
 
+#: Pairs that meet their right-hand text are dealt into so many shares, for ids with very many pairs.
+SHARES = 8
+
+
 def alike(left: DataFrame, right: DataFrame, rule: Rule, only: Column | None = None) -> DataFrame:
-    """Pairs (l_id, r_id) of two posting tables that satisfy the rule, once per shared token.
+    """The distinct pairs (l_id, r_id) of two posting tables that satisfy the rule.
 
     `only` restricts which pairs are looked at. Cheap bounds run first: an edit changes one
     character and at most three bigrams, and behind a pair's first common token there must be
-    room for all the bigrams it has to share.
+    room for all the bigrams it has to share. Texts join only the pairs that pass.
     """
-    pairs = salted_join(left, right.hint("merge"), "token", "inner", spread="l_id",
+    slim = [df.drop(*[f"{x}_{c}" for c in rule.columns], f"{x}_needed") for df, x in ((left, "l"), (right, "r"))]
+    pairs = salted_join(slim[0], slim[1].hint("merge"), "token", "inner", spread="l_id",
                         width=shuffle_width(left))
-    total = F.col("l_text_length") + F.col("r_text_length")
-    common = F.ceil(total * rule.ratio / 200)
-    room = 1 + F.least(*[F.col(f"{x}_text_length") - 2 - F.col(f"{x}_at") for x in "lr"])
-
-    def differing(*words):
-        return sum(F.bit_count(F.col(f"l_{w}").bitwiseXOR(F.col(f"r_{w}"))) for w in words)
-
     if only is not None:
         pairs = pairs.where(only)
-    pairs = pairs.where(
-        (common <= F.least("l_text_length", "r_text_length"))
-        & (differing("chars_a", "chars_b") * 100 <= total * (100 - rule.ratio))
-        & (differing("pairs_a", "pairs_b") * 100 <= total * 3 * (100 - rule.ratio))
-        & ((room >= 3 * common - total - 1) | (3 * common - total - 1 < 1))
-    )
+    for k, (_, ratio) in enumerate(rule.parts):
+        pairs = pairs.where(_may_be_alike(k, ratio))
+    found = pairs.select("l_id", "r_id").distinct()
+    texts = [df.select(f"{x}_id", *[f"{x}_{c}" for c in rule.columns]).dropDuplicates([f"{x}_id"])
+             for df, x in ((left, "l"), (right, "r"))]
+    share = F.pmod(F.xxhash64("l_id"), F.lit(SHARES)).cast("int")
+    copies = texts[1].withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    full = found.join(texts[0].hint("merge"), "l_id").withColumn("_share", share).join(
+        copies.hint("merge"), ["r_id", "_share"])
     for c, ratio in rule.parts:
-        pairs = pairs.where(at_least(F.col(f"l_{c}"), F.col(f"r_{c}"), ratio))
-    return pairs.select("l_id", "r_id")
+        full = full.where(at_least(F.col(f"l_{c}"), F.col(f"r_{c}"), ratio))
+    return full.select("l_id", "r_id")
+
+
+def _may_be_alike(k: int, ratio: int) -> Column:
+    """Whether lengths, sketches and token positions allow part k to reach its ratio."""
+    lengths = [F.col(f"{x}_length_{k}") for x in "lr"]
+    total = lengths[0] + lengths[1]
+    common = F.ceil(total * ratio / 200)
+    shared = 3 * common - total - 1
+    room = 1 + F.least(*[n - 2 - F.col(f"{x}_at") for n, x in zip(lengths, "lr")])
+
+    def differing(kind: str) -> Column:
+        return sum(F.bit_count(F.col(f"l_{w}_{k}").bitwiseXOR(F.col(f"r_{w}_{k}"))) for w in _SKETCH if w[0] == kind)
+
+    return (
+        (common <= F.least(*lengths))
+        & (differing("c") * 100 <= total * (100 - ratio))
+        & (differing("p") * 100 <= total * 3 * (100 - ratio))
+        & ((F.col("l_part") != k) | (room >= shared) | (shared < 1))
+    )
 
 
 def first_alike(left: DataFrame, right: DataFrame, rule: Rule, need: str = "first") -> DataFrame:
@@ -206,11 +316,11 @@ def first_alike(left: DataFrame, right: DataFrame, rule: Rule, need: str = "firs
     """
     root = scratch_root(left.sparkSession)
     plain = stage(right, f"{root}/right-texts")
-    ranks = gram_ranks(plain, rule)
+    order = gram_ranks(plain, rule)
     # Tokens are costly to derive and read several times, so both sides are written out.
-    rest = stage(with_tokens(spread_out(left), rule, ranks), f"{root}/left").withColumn(
+    rest = stage(with_tokens(spread_out(left), rule, order), f"{root}/left").withColumn(
         "best", F.lit(_NO_ID))
-    others = postings(stage(with_tokens(spread_out(plain), rule, ranks), f"{root}/right"),
+    others = postings(stage(with_tokens(spread_out(plain), rule, order), f"{root}/right"),
                       "id", rule, "r")
     done = []
     for number, limit in enumerate(HEADS):
