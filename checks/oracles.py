@@ -489,6 +489,10 @@ oracle("export_rows", f"""WITH {BODY} SELECT s.id, concat(s.score, '/10') AS sco
   FROM scored s JOIN listings l ON l.ord + 1 = s.listing_id LEFT JOIN answer a ON a.listing_id + 1 = s.listing_id
   WHERE NOT s.synced""", "listings", "responses", "scored")
 
+oracle("published_exports", """SELECT s.id, coalesce(l.title, '') AS title, l.url AS link, CASE WHEN s.id % 4 = 3 THEN 1 ELSE 2 END::BIGINT AS run,
+    s.id % 4 = 1 AS newest FROM scored s JOIN listings l ON l.ord + 1 = s.listing_id
+  WHERE NOT s.synced AND s.id % 2 = 1""", "listings", "scored")
+
 # Aggregations, ranking, digest
 
 oracle("reject_stats", f"""WITH t AS (SELECT coalesce({REASON}, 'passed') AS reason FROM listings),
@@ -583,6 +587,13 @@ oracle("detect_reposts", f"""WITH {SPLIT}, {reposts('batch', 'store')}
   SELECT b.ord, o.id IS NOT NULL AS is_repost, o.id AS original_listing_id FROM batch b
   LEFT JOIN originals o ON o.c1 = split_part(b.key, '|', 1) AND o.t1 = split_part(b.key, '|', 2)""", "listings")
 
+oracle("stream_fuzzy_reposts", f"""WITH {SLICED}, named AS MATERIALIZED (SELECT k.*, split_part({KEY}, '|', 1) AS c, split_part({KEY}, '|', 2) AS t FROM kept k),
+  firms AS MATERIALIZED (SELECT c1, c2 FROM (SELECT DISTINCT c AS c1 FROM named), (SELECT DISTINCT c AS c2 FROM named) WHERE {alike('c1', 'c2', 90)}),
+  names AS MATERIALIZED (SELECT t1, t2 FROM (SELECT DISTINCT t AS t1 FROM named), (SELECT DISTINCT t AS t2 FROM named) WHERE {alike('t1', 't2', 85)}),
+  originals AS (SELECT n.ord, min(o.id) AS id FROM named n JOIN firms f ON f.c1 = n.c JOIN names m ON m.t1 = n.t
+    JOIN named o ON o.c = f.c2 AND o.t = m.t2 AND o.run < n.run AND o.date_scraped >= {AS_OF} - INTERVAL 30 DAY GROUP BY n.ord)
+  SELECT n.ord, o.id IS NOT NULL AS is_repost, o.id AS original_listing_id FROM named n LEFT JOIN originals o ON o.ord = n.ord""", "listings")
+
 RUN = f"""{KEYED}, store AS (SELECT * FROM keyed WHERE ord % 9 = 0), batch AS MATERIALIZED (SELECT * FROM keyed WHERE ord % 9 <> 0),
   {clusters('batch')}, {survivors('batch')},
   uniq AS MATERIALIZED (SELECT b.*, s.leader_ord FROM batch b JOIN survivors s ON s.ord = b.ord),
@@ -605,3 +616,37 @@ oracle("run_funnel", f"""WITH RECURSIVE {RUN}, c AS (SELECT (SELECT count(*) FRO
   SELECT 0::BIGINT AS step_no, 'deduplication' AS step, n0 AS rows_in, n1 AS rows_out, n0 - n1 AS dropped, r2 AS reposts FROM c
   UNION ALL SELECT 1, 'already_seen', n1, n2, n1 - n2, r2 FROM c UNION ALL SELECT 2, 'hard_filters', n2, n3, n2 - n3, r3 FROM c
   UNION ALL SELECT 3, 'keyword_prefilter', n3, n4, n3 - n4, r4 FROM c UNION ALL SELECT 4, 'scoring', n4, n5, n4 - n5, r5 FROM c""", *RESULT_VIEWS)
+
+# What a run leaves behind: ids of inserted listings and new scores, expiry, export, digest and log
+
+END = f"""{RUN}, held AS (SELECT ord + 1 AS id, url, title, company, location, salary_min, salary_max, source, date_posted, date_scraped FROM store),
+  entered AS (SELECT (SELECT max(id) FROM held) + row_number() OVER (ORDER BY ord) AS id, * FROM (SELECT * FROM flagged
+    WHERE title IS NOT NULL AND company IS NOT NULL AND url NOT IN (SELECT url FROM held)
+    QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1)),
+  shelf AS (SELECT * FROM held UNION ALL SELECT id, url, title, company, location, salary_min, salary_max, source, date_posted, date_scraped FROM entered),
+  logged AS MATERIALIZED (SELECT row_number() OVER (ORDER BY r.ord) AS id, s.listing_id, r.* EXCLUDE (id)
+    FROM (SELECT *, 0 AS id FROM results) r JOIN (SELECT url, min(id) AS listing_id FROM shelf GROUP BY url) s ON s.url = r.url),
+  queue AS (SELECT s.url FROM logged l JOIN shelf s ON s.id = l.listing_id ORDER BY s.date_scraped NULLS FIRST, l.id LIMIT 50),
+  gone AS (SELECT id FROM shelf WHERE url IN (SELECT url FROM queue) AND url IN (
+    SELECT concat('https://ex.test/job/', page_id) FROM crawl_response WHERE {EXPIRED})),
+  expired AS MATERIALIZED (SELECT id FROM logged WHERE listing_id IN (SELECT id FROM gone))"""
+END_VIEWS = (*RESULT_VIEWS, "crawl_response")
+oracle("run_changes", f"""WITH RECURSIVE {END} SELECT id, 1::BIGINT AS seq, 'new' AS status, false AS synced, true AS url_alive FROM logged
+  UNION ALL SELECT id, 2, 'expired', NULL, false FROM expired UNION ALL SELECT id, 3, NULL, true, NULL FROM logged""", *END_VIEWS)
+oracle("run_entry", f"""WITH RECURSIVE {END} SELECT CAST({AS_OF} AS VARCHAR) AS run_date, 'all' AS source, (SELECT count(*) FROM batch) AS listings_scraped,
+  (SELECT count(*) FROM flagged) AS listings_new, (SELECT count(*) FROM flagged WHERE reject_reason IS NULL AND words >= 1) AS listings_passed_filter,
+  (SELECT count(*) FROM results) AS listings_scored, (SELECT count(*) FROM expired) AS listings_expired, CAST(NULL AS DOUBLE) AS duration_seconds""", *END_VIEWS)
+oracle("run_export", f"""WITH RECURSIVE {END} SELECT l.id, concat(l.score, '/10') AS score_text, {icon('l.freshness')} AS freshness_icon,
+    coalesce(s.title, '') AS title, coalesce(s.company, '') AS company, coalesce(s.location, '') AS location,
+    {pay('s.salary_min', 's.salary_max')} AS salary,
+    CASE WHEN coalesce(len(l.investors), 0) > 0 THEN array_to_string(l.investors[1:3], ', ') WHEN l.vc_backed THEN 'VC-backed'
+      WHEN l.vc_backed = false THEN 'No notable VC' ELSE 'Unknown' END AS notable_vcs,
+    CASE WHEN l.is_repost THEN '{export.REPOST_MARK}' ELSE '' END AS repost, s.source, {first('l.skills', None, '')} AS key_matches,
+    {first('l.missing', None, '')} AS missing, s.url AS link, coalesce(strftime(s.date_scraped, '%Y-%m-%dT%H:%M:%S'), '') AS date_found,
+    coalesce(s.date_posted, '') AS date_posted, 'new' AS status, coalesce(l.ok->>'recommendation', '') AS recommendation
+  FROM logged l JOIN shelf s ON s.id = l.listing_id""", *END_VIEWS)
+oracle("run_digest", f"""WITH RECURSIVE {RUN} SELECT ord, score, title, concat(company, ' · ', CASE WHEN coalesce(location, '') = '' THEN 'Location N/A' ELSE location END, ' ',
+    {icon('freshness')}, CASE WHEN is_repost THEN ' {export.REPOST_MARK}' ELSE '' END) AS line,
+    CASE WHEN len(investors) > 0 THEN concat('Backed by: ', {SHOWN}) ELSE '' END AS backed,
+    {first('skills', 4, '—')} AS matches, {first('missing', 3, '—')} AS gaps, url
+  FROM results ORDER BY score DESC, ord LIMIT 5""", *RESULT_VIEWS)

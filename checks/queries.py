@@ -11,7 +11,7 @@ from listwright.functions import similarity as M
 from listwright.operators import (
     clustering, enrich, export, filters, health, linkage, metrics, scoring, store,
 )
-from listwright.operators.scratch import scratch_root
+from listwright.operators.scratch import scratch_root, stage
 from listwright.plans import pipeline
 from listwright.sources import links, pages, search_api, union
 from listwright.streaming import incremental
@@ -518,6 +518,17 @@ def export_rows(spark, sf_dir):
     return _export(spark, sf_dir)
 
 
+@query
+def published_exports(spark, sf_dir):
+    """Two runs' exports, the first tried twice and a third one without rows; `newest` marks the new snapshot."""
+    rows, folder = _export(spark, sf_dir).select("id", "title", "link"), scratch_root(spark)
+    for run, part in ((1, "id % 4 <> 3"), (1, "id % 4 = 3"), (2, "id % 4 = 1"), (3, "false")):
+        export.publish_export(rows.where(part), folder, run)
+    new = export.published(spark, folder, rows.schema, "new").select("id", F.lit(True).alias("newest"))
+    every = export.published(spark, folder, rows.schema)
+    return every.join(new, "id", "left").select("id", "title", "link", "run", F.coalesce("newest", F.lit(False)).alias("newest"))
+
+
 # Aggregations, ranking, digest
 
 @query
@@ -581,40 +592,46 @@ def digest_subject(spark, sf_dir):
 
 # Streaming
 
-def _sliced_folder(spark, sf_dir, root, parts=4):
-    """The listings as files that arrive one after the other, in arrival order."""
-    rows = _listings(spark, sf_dir)
+def _arrivals(spark, sf_dir, root, parts=4):
+    """The listings in arrival order, a part at a time: yields a stream of the folder after each part arrived."""
+    rows = stage(_listings(spark, sf_dir), f"{root}/listings")
     top = rows.agg(F.max("ord")).first()[0] + 1
     cut = F.floor(F.col("ord") * parts / top)
     for n in range(parts):
-        rows.where(cut == n).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return rows.schema
+        rows.where(cut == n).write.mode("append").parquet(f"{root}/in")
+        yield incremental.file_stream(spark, rows.schema, f"{root}/in", files_per_run=10_000)
+
+
+def _ingested(spark, sf_dir, names=False):
+    """The store after four runs, each a start of the stream of its own."""
+    root = scratch_root(spark)
+    for stream in _arrivals(spark, sf_dir, root):
+        out = incremental.stream_ingest(stream, f"{root}/store", f"{root}/progress", as_of(),
+                                        names=f"{root}/names" if names else None)
+    return out
 
 
 @query
 def stream_ingest(spark, sf_dir):
-    root = scratch_root(spark)
-    schema = _sliced_folder(spark, sf_dir, root)
-    stream = incremental.file_stream(spark, schema, f"{root}/in")
-    out = incremental.stream_ingest(stream, f"{root}/store", f"{root}/progress", as_of())
-    return out.select("id", "ord", "url")
+    return _ingested(spark, sf_dir).select("id", "ord", "url")
 
 
 @query
 def stream_reposts(spark, sf_dir):
-    root = scratch_root(spark)
-    schema = _sliced_folder(spark, sf_dir, root)
-    stream = incremental.file_stream(spark, schema, f"{root}/in")
-    out = incremental.stream_ingest(stream, f"{root}/store", f"{root}/progress", as_of())
-    return out.select("ord", "is_repost", "original_listing_id")
+    return _ingested(spark, sf_dir).select("ord", "is_repost", "original_listing_id")
+
+
+@query
+def stream_fuzzy_reposts(spark, sf_dir):
+    return _ingested(spark, sf_dir, names=True).select("ord", "is_repost", "original_listing_id")
 
 
 @query
 def stream_dedup_url(spark, sf_dir):
     root = scratch_root(spark)
-    schema = _sliced_folder(spark, sf_dir, root)
-    stream = incremental.file_stream(spark, schema, f"{root}/in")
-    return incremental.stream_dedup_url(stream, f"{root}/out", f"{root}/progress").select("url")
+    for stream in _arrivals(spark, sf_dir, root):
+        out = incremental.stream_dedup_url(stream, f"{root}/out", f"{root}/progress")
+    return out.select("url")
 
 
 @query

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from listwright.functions.dates import freshness_icon
 from listwright.functions.salary import format_salary
@@ -66,6 +69,33 @@ def write_export(rows: DataFrame, new_path: str, all_path: str) -> bool:
     return True
 
 
+def publish_export(rows: DataFrame, folder: str, run: int) -> bool:
+    """Publish a run's export as the new snapshot and as a part of all; nothing to export changes nothing.
+
+    The rows are written once, into a folder of the run's own, and count from the moment its marker
+    exists: the newest marker names the 'new' snapshot, all of them together are 'all'. So a retry after
+    any step replaces the run's own rows, and a reader never sees half an export.
+    """
+    spark, path = rows.sparkSession, f"{folder}/rows/run={run:012d}"
+    rows.write.mode("overwrite").parquet(path)
+    if spark.read.schema(rows.schema).parquet(path).isEmpty():
+        return False
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/published/{run:012d}")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
+    return True
+
+
+def published(spark: SparkSession, folder: str, schema: StructType, which: str = "all") -> DataFrame:
+    """The published rows with their `run`: 'all' of them, or the 'new' snapshot."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/published/*")
+    markers = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    runs = sorted(m.getPath().getName() for m in markers)[-1 if which == "new" else 0:]
+    parts = [spark.read.schema(schema).parquet(f"{folder}/rows/run={run}").withColumn("run", F.lit(int(run)).cast("bigint"))
+             for run in runs]
+    nothing = spark.createDataFrame([], schema).withColumn("run", F.lit(0).cast("bigint"))
+    return reduce(DataFrame.unionByName, parts, nothing)
+
+
 def digest_top(scored: DataFrame, tie: str = "ord", size: int = DIGEST_SIZE) -> DataFrame:
     """The best few matches as digest cards; a top-k, so no full sort happens."""
     top = scored.orderBy(F.desc("score"), tie).limit(size)

@@ -5,23 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.functions.text import blank
-from listwright.operators.similarity import Rule, first_alike
+from listwright.operators.similarity import Rule, first_alike, first_alike_stored
 from listwright.operators.skew import salted_join
+from listwright.operators.token_index import TokenIndex
 from listwright.prefs import Prefs
 
 
-def anti_seen_fuzzy(batch: DataFrame, store: DataFrame, prefs: Prefs = Prefs()) -> DataFrame:
+def key_rule(prefs: Prefs = Prefs()) -> Rule:
+    return Rule((("key", prefs.match_ratio),))
+
+
+def new_keys(store: DataFrame) -> DataFrame:
+    """(key, id) of the stored fuzzy keys, each with its smallest id: what a key index takes."""
+    return store.where(F.col("fuzzy_key").isNotNull()).groupBy(
+        F.col("fuzzy_key").alias("key")).agg(F.min("id").alias("id"))
+
+
+def anti_seen_fuzzy(batch: DataFrame, store: DataFrame, prefs: Prefs = Prefs(),
+                    index: TokenIndex | None = None) -> DataFrame:
     """Batch rows whose fuzzy key is not alike to any stored key (full history).
 
-    Works on distinct keys: equal ones leave by an equi-join, the rest by similarity.
+    Works on distinct keys: equal ones leave by an equi-join, the rest by similarity. With an index
+    of `key_rule` that holds the store's keys, only the batch is tokenised; a run that inserts rows
+    adds their `new_keys` to it.
     """
     keyed = batch.withColumn("fuzzy_key", blank(F.col("fuzzy_key")))
     keys = keyed.groupBy(F.col("fuzzy_key").alias("key")).agg(F.min("ord").alias("id"))
-    stored = store.where(F.col("fuzzy_key").isNotNull()).groupBy(
-        F.col("fuzzy_key").alias("key")).agg(F.min("id").alias("id"))
+    held = index.tokens() if index and index.order() else None
+    stored = new_keys(store) if held is None else held
     equal = keys.join(stored.select("key"), "key", "left_semi").select("key")
     rest = keys.join(stored.select("key"), "key", "left_anti")
-    alike = first_alike(rest, stored, Rule((("key", prefs.match_ratio),)), need="any")
+    if held is None:
+        alike = first_alike(rest, stored, key_rule(prefs), need="any")
+    else:
+        alike = first_alike_stored(rest, held, index.order(), key_rule(prefs), need="any")
     close = rest.join(alike.select(F.col("l_id").alias("id")), "id", "left_semi").select("key")
     seen = equal.unionByName(close).withColumnRenamed("key", "fuzzy_key")
     return salted_join(keyed, seen, "fuzzy_key", "left_anti", spread="ord")
@@ -33,23 +50,40 @@ def _name_parts(key: Column) -> list[Column]:
             F.try_element_at(parts, F.lit(2)).alias("title")]
 
 
-def detect_reposts(batch: DataFrame, store: DataFrame, as_of: Column,
-                   prefs: Prefs = Prefs()) -> DataFrame:
+def name_rule(prefs: Prefs = Prefs()) -> Rule:
+    return Rule((("company", prefs.repost_company_ratio), ("title", prefs.repost_title_ratio)))
+
+
+def _names(df: DataFrame, id_col: str, *extra: str) -> DataFrame:
+    """(company, title, extra ..., id) with the smallest id of each; rows without a title have no name."""
+    parts = df.where(F.col("fuzzy_key").isNotNull()).select(
+        *_name_parts(F.col("fuzzy_key")), *extra, F.col(id_col).alias("_id"))
+    return parts.where(F.col("title").isNotNull()).groupBy("company", "title", *extra).agg(F.min("_id").alias("id"))
+
+
+def new_names(store: DataFrame) -> DataFrame:
+    """What a name index takes of stored rows: names with their scrape time and smallest id."""
+    return _names(store.withColumn("at", F.col("date_scraped").cast("timestamp")), "id", "at")
+
+
+def detect_reposts(batch: DataFrame, store: DataFrame | None, as_of: Column, prefs: Prefs = Prefs(),
+                   index: TokenIndex | None = None, before: int | None = None) -> DataFrame:
     """Flag rows whose company and title resemble a listing stored within the horizon.
 
-    The place is ignored. Of several originals the smallest id is reported.
+    The place is ignored. Of several originals the smallest id is reported. With an index of
+    `name_rule` that holds the stored rows' `new_names`, the store is not read: only the index's
+    folders within the horizon are, of runs before `before`.
     """
     since = as_of - F.make_dt_interval(F.lit(prefs.repost_days))
-    recent = store.where(F.col("fuzzy_key").isNotNull() & (F.col("date_scraped") >= since))
-
-    def names(df, id_col):
-        parts = df.select(*_name_parts(F.col("fuzzy_key")), F.col(id_col).alias("_id"))
-        return parts.where(F.col("title").isNotNull()).groupBy("company", "title").agg(
-            F.min("_id").alias("id"))
-
-    ours = names(batch, "ord")
-    rule = Rule((("company", prefs.repost_company_ratio), ("title", prefs.repost_title_ratio)))
-    matches = first_alike(ours, names(recent, "id"), rule)
+    ours, rule = _names(batch, "ord"), name_rule(prefs)
+    if index is None:
+        recent = store.where(F.col("date_scraped") >= since)
+        matches = first_alike(ours, _names(recent, "id"), rule)
+    elif (order := index.order()) is None:
+        matches = batch.sparkSession.createDataFrame([], "l_id bigint, r_id bigint")
+    else:
+        start = batch.sparkSession.range(1).select(since.cast("timestamp")).first()[0]
+        matches = first_alike_stored(ours, index.tokens(start, before), order, rule)
     found = ours.join(matches.withColumnRenamed("l_id", "id"), "id").select(
         F.concat_ws("|", "company", "title").alias("_name"),
         F.col("r_id").alias("original_listing_id"))

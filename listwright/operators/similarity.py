@@ -124,20 +124,18 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _bits(behind: Column, words: int) -> list[Column]:
+def _bits(behind: str, words: int) -> list[Column]:
     """Places in a global order, the most frequent token's being 0, as a sketch of `words` 64-bit words.
 
     The most frequent ones have a bit each, all others share the last word. Texts differ in at least as
     many tokens as their sketches in bits.
     """
-    one, own = F.lit(1).cast("bigint"), 64 * (words - 1)
+    own = 64 * (words - 1)
+
     def word(n: int) -> Column:
-        if n < words - 1:
-            inside = F.filter(behind, lambda b: (b >= 64 * n) & (b < 64 * n + 64))
-            shifts = F.transform(inside, lambda b: (b - 64 * n).cast("int"))
-        else:
-            shifts = F.transform(F.filter(behind, lambda b: b >= own), lambda b: F.pmod(b, F.lit(64)).cast("int"))
-        return F.aggregate(shifts, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", one, b)))
+        # SQL text, as each of these is a dozen calls otherwise.
+        mine, bit = (f"b >= {64 * n} AND b < {64 * n + 64}", f"b - {64 * n}") if n < words - 1 else (f"b >= {own}", "b % 64")
+        return F.expr(f"aggregate(filter({behind}, b -> {mine}), 0L, (acc, b) -> acc | shiftleft(1L, cast({bit} AS int)))")
 
     return [word(n) for n in range(words)]
 
@@ -198,7 +196,7 @@ def with_tokens(texts: DataFrame, rule: Rule, order: Order) -> DataFrame:
     for k in range(len(rule.parts)):
         out[f"tokens_{k}"] = F.concat(_tagged(f"_kept_{k}", 2 * k), _tagged(f"_short_{k}", 2 * k + 1))
         for kind, words in (("c", CHAR_WORDS), ("p", PAIR_WORDS)):
-            out |= {f"{kind}{n}_{k}": w for n, w in enumerate(_bits(F.col(f"_behind_{kind}_{k}"), words))}
+            out |= {f"{kind}{n}_{k}": w for n, w in enumerate(_bits(f"_behind_{kind}_{k}", words))}
         if len(rule.parts) > 1:
             counts, chars = _literal(order.gram_counts[k]), _literal(sorted(order.char_counts[k]))
             out[f"cost_{k}"] = sum(F.aggregate(c, F.lit(0).cast("bigint"), _adder(n)) for c, n in (
@@ -317,11 +315,16 @@ def first_alike(left: DataFrame, right: DataFrame, rule: Rule, need: str = "firs
     root = scratch_root(left.sparkSession)
     plain = stage(right, f"{root}/right-texts")
     order = gram_ranks(plain, rule)
-    # Tokens are costly to derive and read several times, so both sides are written out.
+    return first_alike_stored(left, stage(with_tokens(spread_out(plain), rule, order), f"{root}/right"), order, rule, need)
+
+
+def first_alike_stored(left: DataFrame, right: DataFrame, order: Order, rule: Rule, need: str = "first") -> DataFrame:
+    """`first_alike` where the right side has its tokens, made in `order`, already."""
+    root = scratch_root(left.sparkSession)
+    # Tokens are costly to derive and read several times, so they are written out.
     rest = stage(with_tokens(spread_out(left), rule, order), f"{root}/left").withColumn(
         "best", F.lit(_NO_ID))
-    others = postings(stage(with_tokens(spread_out(plain), rule, order), f"{root}/right"),
-                      "id", rule, "r")
+    others = postings(right, "id", rule, "r")
     done = []
     for number, limit in enumerate(HEADS):
         path = f"{root}/round-{number}"

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from listwright.functions.text import normalize_company, normalize_title
+from listwright.functions.text import fuzzy_key, normalize_company, normalize_title
+from listwright.operators.linkage import detect_reposts, name_rule, new_names
 from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.skew import first_per_key, salted_join
 from listwright.operators.store import anti_seen_url, assign_ids, insert_listings, last_id
+from listwright.operators.token_index import TokenIndex
 from listwright.prefs import Prefs
 
 
@@ -62,14 +64,15 @@ def stored_schema(batch_schema: StructType) -> StructType:
 
 
 def ingest_run(batch: DataFrame, store: DataFrame, as_of: Column,
-               prefs: Prefs = Prefs(), dedup=None) -> DataFrame:
+               prefs: Prefs = Prefs(), dedup=None, flag=None) -> DataFrame:
     """The rows one run adds to the store: deduplicated, unseen, flagged, numbered.
 
-    `dedup` may be a fuzzy batch deduplication; by default only URLs count.
+    `dedup` may be a fuzzy batch deduplication; by default only URLs count. `flag` may flag reposts in
+    the new rows; by default equal names do.
     """
     rows = batch if dedup is None else dedup(batch)
     fresh = insert_listings(store, anti_seen_url(rows, store))
-    flagged = flag_exact_reposts(fresh, store, as_of, prefs)
+    flagged = flag(fresh) if flag else flag_exact_reposts(fresh, store, as_of, prefs)
     return assign_ids(flagged, "ord", last_id(store))
 
 
@@ -86,19 +89,34 @@ def flag_exact_reposts(batch: DataFrame, store: DataFrame, as_of: Column,
         "is_repost", F.col("original_listing_id").isNotNull())
 
 
+def with_fuzzy_key(rows: DataFrame, prefs: Prefs = Prefs()) -> DataFrame:
+    return rows.withColumn("fuzzy_key", fuzzy_key(F.col("company"), F.col("title"), F.col("location"), prefs))
+
+
 def stream_ingest(stream: DataFrame, store: str, checkpoint: str, as_of: Column | Callable = latest_event,
-                  prefs: Prefs = Prefs(), dedup=None) -> DataFrame:
+                  prefs: Prefs = Prefs(), dedup=None, names: str | None = None) -> DataFrame:
     """Every arriving batch is one run; its rows go to a folder of its own, so retries replace
     rather than repeat. Returns the final store, whether or not this call added a run.
 
     `as_of` is a fixed time or a function of the batch; by default the horizon moves with the data.
+    With a folder for `names`, reposts are found by similar names: each run asks an index of the
+    names within the horizon there and adds its own, in place of reading the stored rows' names.
     """
     spark, schema = stream.sparkSession, stored_schema(stream.schema)
 
     def run(batch, number):
         known = _runs(batch.sparkSession, store, schema, number)
-        rows = ingest_run(batch, known, as_of(batch) if callable(as_of) else as_of, prefs, dedup)
+        now = as_of(batch) if callable(as_of) else as_of
+        index = TokenIndex(batch.sparkSession, names, name_rule(prefs)) if names else None
+
+        def flag(fresh):
+            return detect_reposts(with_fuzzy_key(fresh, prefs), None, now, prefs, index, number).drop("fuzzy_key")
+
+        rows = ingest_run(batch, known, now, prefs, dedup, flag if names else None)
         rows.select(*schema.names).write.mode("overwrite").parquet(f"{store}/run={number}")
+        if index:
+            stored = batch.sparkSession.read.schema(schema).parquet(f"{store}/run={number}")
+            index.add(new_names(with_fuzzy_key(stored, prefs)), number)
 
     drain(stream, run, checkpoint)
     return _runs(spark, store, schema)

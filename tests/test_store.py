@@ -114,3 +114,20 @@ def test_scratch_needs_a_shared_folder_off_local(monkeypatch):
     assert scratch_root(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/cp/")).startswith(
         "hdfs://x/cp/listwright/")
     assert "listwright" in scratch_root(Session(spark_master="local[2]"))
+
+
+def test_published_exports_survive_retries(spark, tmp_path):
+    rows, folder = spark.range(6), str(tmp_path)
+
+    def ids(which):
+        return sorted((r["run"], r["id"]) for r in export.published(spark, folder, rows.schema, which).collect())
+
+    assert ids("all") == ids("new") == []
+    assert export.publish_export(rows.where("id < 2"), folder, 1)
+    # A run that wrote its rows and then failed is not seen, and its retry counts once.
+    rows.where("id > 2").write.parquet(f"{folder}/rows/run={2:012d}")
+    assert ids("all") == [(1, 0), (1, 1)]
+    for _ in range(2):
+        assert export.publish_export(rows.where("id = 2"), folder, 2)
+    assert not export.publish_export(rows.limit(0), folder, 3)
+    assert ids("all") == [(1, 0), (1, 1), (2, 2)] and ids("new") == [(2, 2)]
