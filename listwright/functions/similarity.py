@@ -9,6 +9,9 @@ from pyspark.sql.types import LongType
 
 _BITS = 64
 _CHUNK = 10_000
+#: Bytes that the tables of a chunk may take, and what they take per character of its longest text.
+_CHUNK_BYTES = 64 << 20
+_BYTES_PER_CHAR = 48
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -24,9 +27,15 @@ def lcs_lengths(left: pd.Series, right: pd.Series) -> pd.Series:
     short, long = np.divmod(pairs, max(len(texts), 1))
     out = np.zeros(len(pairs), dtype=np.int64)
     order = np.argsort(lengths[long], kind="stable")
-    for at in range(0, len(order), _CHUNK):
-        part = order[at:at + _CHUNK]
+    at = 0
+    while at < len(order):
+        # Pairs come by length, so a chunk's tables are as wide as its last pair: fewer pairs where that is long.
+        many = min(_CHUNK, len(order) - at)
+        while many > 1 and many * int(lengths[long[order[at + many - 1]]]) * _BYTES_PER_CHAR > _CHUNK_BYTES:
+            many = (many + 1) // 2
+        part = order[at:at + many]
         out[part] = _lcs_chunk(texts, lengths, short[part], long[part])
+        at += many
     return pd.Series(out[back])
 
 

@@ -212,3 +212,20 @@ def test_near_copies_do_not_meet_pairwise(spark, monkeypatch):
     edges = clustering.leader_edges(clustering.distinct_keys(rows), 85, 1)
     assert edges.count() == 199
     assert sum(met) < 200 * 20
+
+
+def test_a_long_text_among_many_short_ones_stays_small():
+    """One text of 100,000 characters in a batch of 10,000 pairs does not widen the tables of the others."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    short = ["".join(rnd.choice("abcde") for _ in range(30)) for _ in range(500)]
+    left, right = [short[i % 500] for i in range(10_000)], [short[(7 * i + 3) % 500] for i in range(10_000)]
+    right[17] = short[4] * 3_000 + "x" * 10_000
+    tracemalloc.start()
+    got = lcs_lengths(pd.Series(left), pd.Series(right))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+    assert [got[i] for i in (0, 16, 18, 9_999)] == [lcs(left[i], right[i]) for i in (0, 16, 18, 9_999)]
+    assert got[17] == 30
