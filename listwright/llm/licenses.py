@@ -53,11 +53,47 @@ SENTENCES = {
     "gpl3-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as "
                    "published by the Free Software Foundation, either version 3 of the License, or (at your option) "
                    "any later version"],
-    "gpl2-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-                   "published by the Free Software Foundation",
-                   "either version 2 of the License, or (at your option) any later version"],
-    "mpl-line": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-                 "This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                  "published by the Free Software Foundation"],
+    "gpl2-version": ["either version 2 of the License, or (at your option) any later version"],
+    "gpl3-version": ["either version 3 of the License, or (at your option) any later version"],
+    "gpl-classpath": ["As a special exception, the copyright holders of this library give you permission to link this "
+                      "library with independent modules to produce an executable, regardless of the license terms of "
+                      "these independent modules, and to copy and distribute the resulting executable under terms of "
+                      "your choice, provided that you also meet, for each linked independent module, the terms and "
+                      "conditions of the license of that module"],
+    "lgpl-free": ["This library is free software"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+                   "as published by the Free Software Foundation"],
+    "lgpl21-version": ["either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-whole": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                    "Lesser General Public License as published by the Free Software Foundation, either version 3 of "
+                    "the License, or (at your option) any later version"],
+    "lgpl21-line": ["Licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl3-line": ["Licensed under the GNU Lesser General Public License, version 3"],
+    "agpl3-whole": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                    "Affero General Public License as published by the Free Software Foundation, either version 3 of "
+                    "the License, or (at your option) any later version"],
+    "agpl3-line": ["Licensed under the GNU Affero General Public License, version 3"],
+    "isc-line": ["ISC License", "Licensed under the ISC License", "Released under the ISC License"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+                  "is hereby granted, provided that the above copyright notice and this permission notice appear in "
+                  "all copies",
+                  "Permission to use, copy, modify, and distribute this software for any purpose with or without fee "
+                  "is hereby granted, provided that the above copyright notice and this permission notice appear in "
+                  "all copies"],
+    "bsd0-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without "
+                   "fee is hereby granted"],
+    "zlib-warranty": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial "
+                   "applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "boost-line": ["Boost Software License - Version 1.0 - August 17th, 2003",
+                   "Distributed under the Boost Software License, Version 1.0"],
+    "unlicense-line": ["This is free and unencumbered software released into the public domain"],
+    "epl2-line": ["This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                  "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+                  "Licensed under the Eclipse Public License 2.0"],
+    "mpl-line": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
     "cc0-line": ["Licensed under CC0 1.0", "Released under CC0 1.0 Universal"],
     "cc-by-line": ["Licensed under CC BY 4.0",
                    "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -71,6 +107,14 @@ SENTENCES = {
     "spdx-mit": ["SPDX-License-Identifier: MIT"],
     "spdx-gpl3": ["SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "spdx-bsd3": ["SPDX-License-Identifier: BSD-3-Clause"],
+    "spdx-bsd2": ["SPDX-License-Identifier: BSD-2-Clause"],
+    "spdx-gpl2": ["SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "spdx-lgpl21": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later"],
+    "spdx-lgpl3": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later"],
+    "spdx-agpl3": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"],
+    "spdx-mpl": ["SPDX-License-Identifier: MPL-2.0"],
+    "spdx-isc": ["SPDX-License-Identifier: ISC"],
+    "spdx-epl2": ["SPDX-License-Identifier: EPL-2.0"],
 }
 
 # A licence applies where the identifiers of one of its rules occur in this order.
@@ -80,41 +124,72 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]), ("BSD-3-Clause", ["spdx-bsd3"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("GPL-3.0", ["gpl3-line"]), ("GPL-3.0", ["gpl3-whole"]), ("GPL-3.0", ["gpl-free", "gpl3-terms"]), ("GPL-3.0", ["spdx-gpl3"]),
-    ("GPL-2.0", ["gpl2-line"]), ("GPL-2.0", ["gpl-free", "gpl2-terms"]),
-    ("MPL-2.0", ["mpl-line"]), ("CC0-1.0", ["cc0-line"]), ("CC-BY-4.0", ["cc-by-line"]),
+    ("GPL-3.0", ["gpl-free", "gpl-terms", "gpl3-version"]),
+    ("GPL-2.0 WITH Classpath-exception-2.0", ["gpl-free", "gpl-terms", "gpl2-version", "gpl-classpath"]),
+    ("GPL-2.0", ["gpl2-line"]), ("GPL-2.0", ["gpl-free", "gpl-terms", "gpl2-version"]), ("GPL-2.0", ["spdx-gpl2"]),
+    ("LGPL-2.1", ["lgpl-free", "lgpl-terms", "lgpl21-version"]), ("LGPL-2.1", ["lgpl21-line"]),
+    ("LGPL-2.1", ["spdx-lgpl21"]), ("LGPL-3.0", ["lgpl3-whole"]), ("LGPL-3.0", ["lgpl3-line"]),
+    ("LGPL-3.0", ["lgpl-free", "lgpl-terms", "gpl3-version"]), ("LGPL-3.0", ["spdx-lgpl3"]),
+    ("AGPL-3.0", ["agpl3-whole"]), ("AGPL-3.0", ["agpl3-line"]), ("AGPL-3.0", ["spdx-agpl3"]),
+    ("ISC", ["isc-line"]), ("ISC", ["isc-grant"]), ("ISC", ["spdx-isc"]), ("0BSD", ["bsd0-grant"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant"]), ("BSL-1.0", ["boost-line"]), ("Unlicense", ["unlicense-line"]),
+    ("EPL-2.0", ["epl2-line"]), ("EPL-2.0", ["spdx-epl2"]), ("BSD-2-Clause", ["spdx-bsd2"]),
+    ("MPL-2.0", ["mpl-line"]), ("MPL-2.0", ["spdx-mpl"]), ("CC0-1.0", ["cc0-line"]), ("CC-BY-4.0", ["cc-by-line"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-line"]), ("CC-BY-NC-4.0", ["cc-by-nc-line"]), ("CC-BY-ND-4.0", ["cc-by-nd-line"]),
     ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-line"]),
 ]
 #: Licences whose rules hold another licence's: the smaller one is then left out.
-COVERS = {"BSD-3-Clause": "BSD-2-Clause"}
+COVERS = {"BSD-3-Clause": "BSD-2-Clause", "GPL-2.0 WITH Classpath-exception-2.0": "GPL-2.0"}
 
 #: What a normalised sentence lacks: all but letters and digits, in ASCII lower case.
 _NOISE = r"[^a-z0-9]+"
+#: Where a sentence ends.
+_END = r"[.!?;]+(?=\s|$)|\n+|\f"
 
 
 @dataclass(frozen=True)
 class LicenseCatalog:
+    """Each form is one sentence with at least a letter or digit of ASCII; others could never be found."""
+
     sentences: dict[str, list[str]]
     rules: list[tuple[str, list[str]]]
     covers: dict[str, str]
 
-
-DEFAULT = LicenseCatalog(SENTENCES, RULES, COVERS)
+    def __post_init__(self):
+        for form in (f for forms in self.sentences.values() for f in forms):
+            if not normalised(form) or any(normalised(rest) for rest in re.split(_END, form, flags=re.A)[1:]):
+                raise ValueError(f"not one sentence: {form!r}")
+        if unknown := {name for _, rule in self.rules for name in rule} - set(self.sentences):
+            raise ValueError(f"rules name unknown sentences: {sorted(unknown)}")
+
+    @property
+    def hints(self) -> list[str]:
+        """Few words of which every known sentence has one, long ones where there are: what a lower-case
+        text without any of them holds is no known sentence."""
+        left = {normalised(form) for forms in self.sentences.values() for form in forms}
+        chosen = []
+        while left:
+            words = {w for s in left for w in s.split() if len(w) >= min(6, max(map(len, s.split())))}
+            best = max(sorted(words), key=lambda w: (sum(w in s for s in left), len(w)))
+            chosen.append(best)
+            left = {s for s in left if best not in s}
+        return chosen
 
 
 def normalised(sentence: str) -> str:
     return re.sub(_NOISE, " ", sentence.lower()).strip()
 
 
+DEFAULT = LicenseCatalog(SENTENCES, RULES, COVERS)
+
+
 def _identifiers(text: Column, catalog: LicenseCatalog) -> Column:
-    """The identifiers of the known sentences among the sentences of `text`, in text order."""
+    """The identifiers of the known sentences among the sentences of a lower-case `text`, in text order."""
     numbers = {normalised(s): str(n) for n, (_, forms) in enumerate(catalog.sentences.items()) for s in forms}
     names = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
-    sentences = F.split(text, r"[.!?;]+(?=\s|$)|\n+|\f")
-    # Only sentences with a word that every catalog entry has one of are worth normalising.
-    hints = "eleased|licens|LICENS|Licens|permi|Permi|edistribut|copyright|endorse|program is free|version|obtain|warrant|WARRANT"
-    likely = F.filter(sentences, lambda s: s.rlike(hints))
-    clean = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), _NOISE, " ")))
+    # Only sentences with a hint are worth normalising.
+    likely = F.filter(F.split(text, _END), lambda s: s.rlike("|".join(catalog.hints)))
+    clean = F.transform(likely, lambda s: F.trim(F.regexp_replace(s, _NOISE, " ")))
     known = F.filter(clean, lambda s: s.isin(list(numbers)))
     return F.transform(known, lambda s: F.element_at(names, s))
 
@@ -137,15 +212,20 @@ def license_scan(docs: DataFrame, catalog: LicenseCatalog = DEFAULT) -> DataFram
 
     A line end separates sentences like a full stop does, unless the sentence goes on over it: lines
     and whole paragraphs are both looked up and the one with more known sentences counts. Null texts count as empty, repeated rows are scanned
-    each, an empty table gives an empty one; only doc_id and text are read.
+    each, an empty table gives an empty one; only doc_id and text are read. A catalog without sentences
+    finds nothing.
     """
-    text = whole_text()
+    if not catalog.hints:
+        return docs.where(F.lit(False)).select(
+            "doc_id", F.lit(0).cast("long").alias("n_sentences"), F.lit("").alias("sequence"), F.lit("").alias("licenses"))
     names = F.array(*[F.lit(name) for name in catalog.sentences])
-    by_line = _identifiers(text, catalog)
-    by_paragraph = _identifiers(F.regexp_replace(text, r"(?<![\n:])\n(?!\s*\n)", " "), catalog)
-    read = docs.select("doc_id", bind(F.when(
-        text.rlike("(?i)licen[sc]e|permission|redistribut|copyright|free software|released under"),
-        F.struct(by_line.alias("a"), by_paragraph.alias("b"))), lambda x: x).alias("ids"))
+
+    def read_twice(text: Column) -> Column:
+        by_line = _identifiers(text, catalog)
+        by_paragraph = _identifiers(F.regexp_replace(text, r"(?<![\n:])\n(?!\s*\n)", " "), catalog)
+        return F.when(text.rlike("|".join(catalog.hints)), F.struct(by_line.alias("a"), by_paragraph.alias("b")))
+
+    read = docs.select("doc_id", bind(F.lower(whole_text()), read_twice).alias("ids"))
     longer = F.when(F.size("ids.a") >= F.size("ids.b"), F.col("ids.a")).otherwise(F.col("ids.b"))
     known = read.where("size(ids.a) > 0 OR size(ids.b) > 0").select(
         "doc_id", longer.alias("ids"), _licenses(F.array_join("ids.a", ","), catalog).alias("a"),

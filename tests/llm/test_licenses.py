@@ -1,6 +1,6 @@
 import pytest
 
-from listwright.llm.licenses import RULES, SENTENCES, license_scan
+from listwright.llm.licenses import DEFAULT, RULES, SENTENCES, LicenseCatalog, license_scan, normalised
 
 APACHE = '''// Licensed under the Apache License, Version 2.0 (the "License");
 // you may not use this file except in compliance with the License.
@@ -49,3 +49,43 @@ def test_given_documents(given):
 def test_edges(odd, clashing):
     assert license_scan(odd).count() == 0 and license_scan(odd.limit(0)).count() == 0 and license_scan(clashing).count() == 0
     assert {name for _, rule in RULES for name in rule} <= set(SENTENCES)
+
+
+def found(docs, *catalog):
+    return {r["doc_id"]: r["licenses"] for r in license_scan(docs, *catalog).collect()}
+
+
+def test_letter_case_does_not_matter(documents):
+    rows = [(1, f"{BSD}\n{SENTENCES['bsd-names'][0]}.".upper()), (2, GPL.upper()), (3, "RELEASED UNDER CC0 1.0 UNIVERSAL")]
+    assert found(documents(rows)) == {1: "BSD-3-Clause", 2: "GPL-3.0", 3: "CC0-1.0"}
+
+
+def test_own_catalogs(documents):
+    own = LicenseCatalog({"ours": ["Use it as you like"], "short": ["Do it"]}, [("Ours", ["ours", "short"])], {})
+    assert found(documents([(1, "Before. USE it, as you like! Do it."), (2, "Use it. As you like.")]), own) == {1: "Ours"}
+    assert found(documents([(1, "Use it as you like")]), LicenseCatalog({}, [], {})) == {}
+    for sentences, rules in (({"two": ["One. Two"]}, []), ({"none": ["..."]}, []), ({"a": ["b"]}, [("X", ["c"])])):
+        with pytest.raises(ValueError):
+            LicenseCatalog(sentences, rules, {})
+
+
+def test_hints_drop_no_known_sentence():
+    forms = {normalised(f) for forms in SENTENCES.values() for f in forms}
+    assert all(any(h in f for h in DEFAULT.hints) for f in forms) and len(DEFAULT.hints) < 10
+
+
+LIBRARY = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+
+
+def test_versions_and_exceptions(documents):
+    two = LIBRARY.replace("library", "program").replace("Lesser ", "")
+    rows = [(1, LIBRARY), (2, two.replace("2.1", "2")), (3, two.replace("2.1", "3")),
+            (4, two.replace("2.1", "2") + "\n\n" + SENTENCES["gpl-classpath"][0] + "."),
+            (5, GPL.replace("GNU General", "GNU Affero General")), (6, SENTENCES["isc-grant"][0] + "."),
+            (7, SENTENCES["bsd0-grant"][0] + "."), (8, two.replace("2.1", "9"))]
+    assert found(documents(rows)) == {
+        1: "LGPL-2.1", 2: "GPL-2.0", 3: "GPL-3.0", 4: "GPL-2.0 WITH Classpath-exception-2.0", 5: "AGPL-3.0", 6: "ISC",
+        7: "0BSD", 8: ""}
