@@ -33,10 +33,28 @@ DROPPED = frozenset(
 MARKED = frozenset("nav aside footer form dialog menu".split())
 CONTAINERS = frozenset("article main".split())
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|ads?|advert\w*|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|ads?|adsbygoogle|advert\w*|"
     r"sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|pagination|pager|widgets?|"
-    r"login|search|toolbar|skip)(?:$|[\s_-])", re.I)
+    r"login|search|toolbar|skip", re.I)
+#: Words that may stand beside a furniture word in one name without changing what it names.
+BESIDE = re.compile(
+    r"site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|box|bar|wrap|wrapper|wrapped|container|"
+    r"block|section|area|region|panel|inner|outer|list|items?|links?|buttons?|icons?|form|results?|slots?|units?|text|"
+    r"image|post|posts|article|articles|stories|content|mobile|desktop|fixed|sticky|row|col|column|group|js|ui|"
+    r"to|by|us|in|the|and|user|reader|thread|policy|privacy|cta|media|this|placeholder|wp|email|follow|card|message|info|tabs?|toggle|title|"
+    r"heading|[a-z]|[0-9]+", re.I)
+#: Header names with one of these hold an article's title.
+TITLED = re.compile(r"post|posts|article|articles|content|text|section|story|entry|block", re.I)
+#: Adverts may also be inline elements; other furniture names there are marks in prose or in code.
+INLINE_ADS = re.compile(r"ads?|adsbygoogle|advert\w*|sponsor\w*|promo\w*", re.I)
+#: A section of this name is furniture if people reply in it: a scientific discussion is not.
+TALK = re.compile(r"discussions?|responses?|reactions|conversation", re.I)
+REPLY = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|avatar|commenter|username)(?:$|[\s_-])", re.I)
+REPLY_TEXT = re.compile(r"reply|(?:\d+ |reader |your |leave a )?(?:comments?|replies|responses?)(?: \(?\d+\)?)?", re.I)
+HEADER = re.compile(r"header|masthead", re.I)
+GROUPS = frozenset("div section ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Class tokens that tell about the layout around an element, as has-sidebar does.
 LAYOUT = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|not)[_-]", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -60,6 +78,19 @@ class Line:
     tag: str
 
 
+def named(token: str, words: re.Pattern) -> bool:
+    """Whether a class or id names one of the words: a part of it does, and the others fit beside it."""
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    hits = [bool(words.fullmatch(x)) for x in parts]
+    return any(hits) and all(hit or BESIDE.fullmatch(x) for hit, x in zip(hits, parts, strict=True))
+
+
+def titled(token: str, within: bool) -> bool:
+    """Whether a name with `header` in it may be that of an article's own header."""
+    parts = re.split(r"[-_]+", token)
+    return any(map(HEADER.fullmatch, parts)) and (within or any(map(TITLED.fullmatch, parts)))
+
+
 class Lines(HTMLParser):
     """Collects the lines of a page; elements form a tree of numbered nodes."""
 
@@ -73,17 +104,33 @@ class Lines(HTMLParser):
         self.open: dict[str, int] = {}
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
+        #: The open inline advert: its tag and how many elements of that name are open in it.
+        self.advert: list | None = None
+        #: Sections that are furniture once somebody replies in them, with the depth of the stack.
+        self.talks: list[tuple[int, int]] = []
+        self.spoken: set[int] = set()
+        #: Elements with a furniture word somewhere in their name: furniture if they are mostly links.
+        self.doubtful: list[int] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
+            if self.talks and REPLY_TEXT.fullmatch(text):
+                self.spoken.update(node for node, _ in self.talks)
             self.lines.append(Line(text, self.tags, self.linked, self.stack[-1][1], self.stack[-1][0]))
         self.parts.clear()
         self.tags = self.linked = 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if self.talks and any(name in ("class", "id", "rel") and value and REPLY.search(value) for name, value in attrs):
+            self.spoken.update(node for node, _ in self.talks)
         if tag not in BLOCKS and tag not in DROPPED and tag not in MARKED:
+            if self.advert:
+                self.advert[1] += tag == self.advert[0]
+            elif tag not in VOID and any(name == "class" and value and any(
+                    named(x, INLINE_ADS) for x in value.split()) for name, value in attrs):
+                self.advert = [tag, 1]
             if tag == "a":
                 self.links += 1
             elif tag in ("br", "td", "th"):
@@ -98,7 +145,17 @@ class Lines(HTMLParser):
             return
         dropped = self.stack[-1][2] or tag in DROPPED or tag not in CONTAINERS and any(n == "hidden" for n, _ in attrs)
         parent = self.stack[-1][1]
-        self.marks.append(len(self.names) if tag in MARKED or self._furniture(tag, attrs) else self.marks[parent])
+        marked = tag in MARKED or self._furniture(tag, attrs) or self.advert
+        self.marks.append(len(self.names) if marked else self.marks[parent])
+        if tag in ("section", "div", "ul", "ol") and not marked and any(
+                name in ("class", "id") and value and any(named(x, TALK) for x in value.split()) for name, value in attrs):
+            self.talks.append((len(self.names), len(self.stack)))
+        if tag in GROUPS and not marked and any(name in ("class", "id") and value and any(
+                FURNITURE.fullmatch(part) for x in value.split() if not LAYOUT.search(x) for part in re.split("[-_]+", x))
+                for name, value in attrs):
+            self.doubtful.append(len(self.names))
+        if tag in BLOCKS:
+            self.advert = None  # the block carries the mark from here on
         self.parents.append(parent)
         self.names.append(tag)
         self.stack.append((tag, len(self.names) - 1, dropped))
@@ -107,13 +164,17 @@ class Lines(HTMLParser):
     def _furniture(self, tag: str, attrs) -> bool:
         if tag in ("html", "body") or tag in CONTAINERS:
             return False
-        if tag == "header" and not any(self.open.get(c) for c in CONTAINERS):
+        within = any(self.open.get(c) for c in CONTAINERS)
+        if tag == "header" and not within:
             return True
         for name, value in attrs:
-            if value and (name in ("class", "id") and any(
-                    FURNITURE.search(x) and not LAYOUT.search(x) for x in value.split())
-                          or name == "role" and value.lower() in ROLES
-                          or name == "aria-hidden" and value.lower() == "true"):
+            if not value:
+                continue
+            # A heading's id is an anchor, and the header of an article holds its title.
+            if name == "class" or name == "id" and tag not in HEADINGS:
+                if any(named(x, FURNITURE) and not LAYOUT.search(x) and not titled(x, within) for x in value.split()):
+                    return True
+            elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
                 return True
         return False
 
@@ -121,11 +182,38 @@ class Lines(HTMLParser):
         self.flush()
         tag = self.stack.pop()[0]
         self.open[tag] -= 1
+        while self.talks and self.talks[-1][1] >= len(self.stack):
+            self.talks.pop()
+        if tag in BLOCKS:
+            self.advert = None  # an inline advert ends with its block at the latest
+
+    def finish(self) -> None:
+        """Read the rest and settle the marks that depend on what an element holds."""
+        self.close()
+        self.flush()
+        late = set(self.spoken)
+        if self.doubtful:
+            linked, chars = [0] * len(self.names), [0] * len(self.names)
+            for x in self.lines:
+                linked[x.owner] += x.linked
+                chars[x.owner] += len(x.text)
+            _sums(self, linked), _sums(self, chars)
+            late.update(n for n in self.doubtful if chars[n] and 2 * linked[n] >= chars[n])
+        if late:
+            for node in range(1, len(self.names)):
+                if node in late:
+                    self.marks[node] = node
+                elif self.marks[node] != node:
+                    self.marks[node] = self.marks[self.parents[node]]
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag == "a":
             self.links = max(0, self.links - 1)
+        if self.advert and tag == self.advert[0]:
+            self.advert[1] -= 1
+            if not self.advert[1]:
+                self.advert = None
         if not self.open.get(tag):
             if tag in BLOCKS:
                 self.flush()
@@ -140,7 +228,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
-        if not self.stack[-1][2]:
+        if not self.stack[-1][2] and not self.advert:
             self.parts.append(data)
             if self.links:
                 self.linked += len(data.strip())
@@ -247,8 +335,9 @@ def content_region(page: Lines) -> list[Line]:
     marked = [x for x in cluster if contained[x.owner]]
     whole = sum(len(x.text) for x in cluster)
     only = bool(marked) and sum(len(x.text) for x in marked) >= REGION_SHARE * whole
+    kept = {id(x) for x in _beside(page, lines, marked, cluster, contained)} if only else set()
     if only:
-        cluster = marked
+        cluster = [x for x in cluster if contained[x.owner] or id(x) in kept]
     lengths = [0] * len(names)
     for x in cluster:
         lengths[x.owner] += len(x.text)
@@ -261,15 +350,38 @@ def content_region(page: Lines) -> list[Line]:
     inside[region] = True
     for node in range(region + 1, len(names)):
         inside[node] = inside[parents[node]]
-    return [x for x in lines if inside[x.owner] and (contained[x.owner] or not only)]
+    return [x for x in lines if inside[x.owner] and (contained[x.owner] or not only or id(x) in kept)]
+
+
+def _beside(page: Lines, lines: list[Line], marked: list[Line], cluster: list[Line], contained: list[bool]) -> list[Line]:
+    """Lines outside article and main elements that go on with the article: cluster lines at least half
+    as long as the median one inside and not mostly links, with the other lines of their element where
+    they are most of it."""
+    least = 0.5 * float(np.median([len(x.text) for x in marked]))
+    prose = [x for x in cluster if not contained[x.owner] and len(x.text) >= least and 2 * x.linked < len(x.text)]
+    if not prose:
+        return []
+    parents = page.parents
+    holds = _sums(page, [int(name in CONTAINERS) for name in page.names])
+    top = list(range(len(parents)))  # the largest element around a node without an article in it
+    for node in range(1, len(parents)):
+        if not holds[node] and not holds[parents[node]]:
+            top[node] = top[parents[node]]
+    chars, all_chars = dict.fromkeys(top, 0), dict.fromkeys(top, 0)
+    for x in prose:
+        chars[top[x.owner]] += len(x.text)
+    for x in lines:
+        all_chars[top[x.owner]] += len(x.text)
+    full = {t for t in chars if t and not holds[t] and chars[t] >= REGION_SHARE * all_chars[t] > 0}
+    long = {id(x) for x in prose}
+    return [x for x in lines if not contained[x.owner] and (id(x) in long or top[x.owner] in full)]
 
 
 def main_text(html: str) -> str:
     """The article's blocks joined by line ends; empty if the page has none."""
     page = Lines()
     page.feed(html.replace("<![", "<!-["))  # marked sections end at the next ">", as in browsers
-    page.close()
-    page.flush()
+    page.finish()
     return "\n".join(x.text for x in content_region(page)) if page.lines else ""
 
 

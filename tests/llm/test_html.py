@@ -1,3 +1,4 @@
+import re
 import time
 
 from listwright.llm.html_extract import extract_main_text, main_text
@@ -98,3 +99,77 @@ def test_deep_nesting_is_linear():
 def test_given_pages_keep_their_articles(given):
     for r in extract_main_text(given("pages")).limit(50).collect():
         assert r["text"] and len(r["text"]) == r["n_chars"] and "var t" not in r["text"]
+
+
+AROUND = "<body><nav><a href='/'>Menu</a></nav>{}<footer>Imprint</footer></body>"
+
+
+def test_titles_and_headings_stay():
+    for open_, close in (("<article>", "</article>"), ("<div class='post'>", "</div>"), ("<main>", "</main>")):
+        for head in ("<header class='entry-header'><h1>Title</h1></header>", "<div class='post-header'><h1>Title</h1></div>"):
+            if "header class" in head and "div" in open_:
+                continue  # outside article and main a header element is the page's
+            got = main_text(AROUND.format(open_ + head + paragraphs(0, 5) + close))
+            assert got.startswith("Title\n") and got.count("Paragraph") == 5 and "Imprint" not in got
+        for part in ("<h2 id='search'>Heading</h2>", "<h2 id='related-work'>Heading</h2>"):
+            assert "\nHeading\n" in main_text(AROUND.format(open_ + paragraphs(0, 3) + part + paragraphs(3, 3) + close))
+
+
+def test_names_that_only_hold_a_furniture_word():
+    for part in ("<section id='side-effects'><h2>Kept</h2>{}</section>", "<p class='share-price'>Kept</p>{}",
+                 "<section class='discussion'><h2>Kept</h2>{}</section>", "<section id='notice-period'><h2>Kept</h2>{}</section>"):
+        got = main_text(AROUND.format(f"<article>{paragraphs(0, 4)}{part.format(paragraphs(4, 2))}</article>"))
+        assert "Kept" in got and got.count("Paragraph") == 6
+    links = "".join(f"<li><a href='/{i}'>Another story of the site</a></li>" for i in range(4))
+    got = main_text(AROUND.format(f"<article>{paragraphs(0, 4)}<ul class='related-reading-tips'>{links}</ul></article>"))
+    assert got.count("Paragraph") == 4 and "Another" not in got
+
+
+def test_talk_of_readers_goes():
+    said = "<p>I read this with joy, and here is what I think about it, at some length.</p>"
+    for talk in (f"<section class='discussion'><div class='comment'>{said}</div></section>",
+                 f"<section class='discussion'><h3>12 comments</h3>{said}{said}</section>",
+                 f"<section class='responses'>{said}<p><a href='/r'>Reply</a></p></section>"):
+        got = main_text(AROUND.format(f"<article>{paragraphs(0, 5)}{talk}</article>"))
+        assert got.count("\n") == 4 and "joy" not in got
+
+
+def test_inline_adverts_go():
+    part = "<p>Words before <span class='ad'>Buy <span>this</span> now</span>and after them, which belong together.</p>"
+    got = main_text(AROUND.format(f"<article>{paragraphs(0, 3)}{part}{paragraphs(3, 2)}</article>"))
+    assert "Words before and after them, which belong together." in got and got.count("Paragraph") == 5
+    unclosed = main_text(AROUND.format(f"<article>{paragraphs(0, 3)}<p>Words <span class='ad'>Buy</p>{paragraphs(3, 2)}</article>"))
+    assert unclosed.count("Paragraph") == 5 and "Buy" not in unclosed
+    code = main_text(AROUND.format(f"<article>{paragraphs(0, 3)}<pre>x = 1 <span class='comment'># one</span></pre></article>"))
+    assert code.endswith("x = 1 # one")
+
+
+def test_text_beside_the_article_stays():
+    beside = f"<body><article>{paragraphs(0, 4)}</article><div>{paragraphs(4, 2)}<p>Short.</p></div><p>Imprint</p></body>"
+    got = main_text(beside)
+    assert got.count("Paragraph") == 6 and got.endswith("Short.")
+
+
+def test_gold_pages():
+    """Token precision and recall over pages that combine the cases."""
+    heads = ["<header class='entry-header'><h1>Title words</h1></header>", "<h1 id='header'>Title words</h1>"]
+    rests = ["<section id='side-effects'><h2>Effects</h2><p>They are few and mild, and most people notice none.</p></section>",
+             "<h2 id='search'>Search</h2><p class='share-price'>The price went up by three points in a week.</p>",
+             "<table><tr><td>One cell</td><td>two cells</td></tr></table><blockquote>Said by somebody else.</blockquote>"]
+    junk = ["<div class='ad'>Purchase junk</div>", "<div class='cookie-policy-notice'>Junk cookies</div>",
+            "<div class='social-media'><a href='/s'>Junk share</a></div>", "<div id='comments-area'><p>Junk opinion of a reader.</p></div>"]
+    found = want_all = both = 0
+    for head in heads:
+        for rest in rests:
+            for j in junk:
+                for open_, close in (("<article>", "</article>"), ("<main><div>", "</div></main>")):
+                    body = head + paragraphs(0, 5) + rest
+                    got = main_text(AROUND.format(j + open_ + body + j + close + j)).split()
+                    want = re.sub("<[^>]*>", " ", body).split()
+                    left = list(got)
+                    for w in want:
+                        if w in left:
+                            left.remove(w)
+                            both += 1
+                    found, want_all = found + len(got), want_all + len(want)
+    assert both >= 0.95 * want_all and both >= 0.95 * found, (both, want_all, found)
