@@ -1,7 +1,7 @@
 """Near duplicates by b-bit MinHash: bands propose, low bits estimate, full sets confirm.
 
-A document's set is its distinct word shingles. Documents with equal sets form one class, of which
-the smallest doc_id stands for all. Representatives that agree on all minima of a band are
+A document's set is its distinct word shingles. Documents with equal sets form one class with a number
+of its own, and one of its texts stands for all. Representatives that agree on all minima of a band are
 candidates; the packed low bits of many minima give a collision-corrected estimate of similarity
 that removes hopeless ones, and the full sets of the rest are compared exactly.
 
@@ -138,13 +138,13 @@ class Packer:
 
 
 def signatures(docs: DataFrame, how: MinHash) -> DataFrame:
-    """One row per document: doc_id, n_shingles, a 128-bit digest of the set, band keys."""
+    """One row per document: doc_id, the text's hash, n_shingles, a 128-bit digest of the set, band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, hashes = Signer(how), WordHash()
         for batch in batches:
             n, d1, d2, bands = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 shingles = shingle_set(text, how.words, hashes)
                 n.append(len(shingles))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8")
@@ -152,11 +152,17 @@ def signatures(docs: DataFrame, how: MinHash) -> DataFrame:
                 d2.append(digest[1])
                 bands.append(signer(shingles) if len(shingles) else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
+                 pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(
-        sign, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.select("doc_id", _text_hash().alias("text_hash"), whole_text().alias("text")).mapInArrow(
+        sign, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, bands array<long>")
+
+
+def _text_hash() -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(whole_text())
 
 
 def _equal_fields(a: list[Column], b: list[Column], how: MinHash) -> Column:
@@ -185,7 +191,10 @@ def _may_be_alike(how: MinHash) -> Column:
 
 
 def _sketches(docs: DataFrame, members: DataFrame, how: MinHash) -> DataFrame:
-    """rep, the size and bytes of its sorted shingle hashes, and its packed low bits s0, s1, ..."""
+    """rep, the size and bytes of its sorted shingle hashes, and its packed low bits s0, s1, ...
+
+    `members` has the doc_id and text_hash of the text that stands for each rep.
+    """
     names = [f"s{i}" for i in range(how.words_packed)]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +208,16 @@ def _sketches(docs: DataFrame, members: DataFrame, how: MinHash) -> DataFrame:
                  *[pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(names))]],
                 ["rep", "size", "set", *names])
 
-    chosen = docs.select("doc_id", whole_text().alias("text")).join(
-        members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    chosen = docs.select("doc_id", _text_hash().alias("text_hash"), whole_text().alias("text")).join(
+        members, ["doc_id", "text_hash"]).select("rep", "text")
     columns = ", ".join(f"{n} long" for n in names)
     return chosen.mapInArrow(build, f"rep long, size long, set binary, {columns}").dropDuplicates(["rep"])
 
 
 #: Members of one side that are compared with those of another side in one task at most, on average.
 CELL = 256
+#: Parts in which a large group's pairs meet the sizes of its grid.
+SALTS = 32
 
 
 def _cells(pairs: DataFrame) -> DataFrame:
@@ -218,11 +229,14 @@ def _cells(pairs: DataFrame) -> DataFrame:
     around = pairs.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")).join(
         pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("n")), "a", "left").select(
         "a", F.coalesce(F.least("m", "n"), "m").alias("g"))
-    grouped = pairs.join(around, "a")
+    # Only large groups have a grid, which their pairs meet in SALTS parts; the others lie in one cell.
+    grouped = pairs.join(around, "a").withColumn("salt", F.pmod(F.xxhash64("b", "a"), F.lit(SALTS)))
     sides = grouped.groupBy("g").agg(*[
-        (1 + F.floor(F.approx_count_distinct(side) / CELL)).alias(f"n_{side}") for side in ("a", "b")])
-    return grouped.join(sides, "g").select(
-        "g", F.pmod(F.xxhash64("a"), "n_a").alias("i"), F.pmod(F.xxhash64("b"), "n_b").alias("j"), "a", "b")
+        (1 + F.floor(F.approx_count_distinct(side) / CELL)).alias(f"n_{side}") for side in ("a", "b")]).where(
+        "n_a > 1 OR n_b > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return grouped.join(sides, ["g", "salt"], "left").select(
+        "g", F.coalesce(F.pmod(F.xxhash64("a"), "n_a"), F.lit(0)).alias("i"),
+        F.coalesce(F.pmod(F.xxhash64("b"), "n_b"), F.lit(0)).alias("j"), "a", "b")
 
 
 def _confirmed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -299,14 +313,18 @@ PAIRS_PER_ROW = 1000
 
 
 def _links(docs: DataFrame, reps: DataFrame, how: MinHash) -> DataFrame:
-    """(node, root) of all representatives that are linked with another one."""
+    """(node, root) of all representatives that are linked with another one.
+
+    `reps` has rep, bands, and the doc_id and text_hash of the text that stands for it.
+    """
     posted = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     crowded = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = staged(posted.join(crowded, "key"))
     # A member that shares buckets with many others is the centre of a group.
     fame = shared.groupBy("rep").agg(F.sum("n").alias("fame"))
     buckets = staged(shared.drop("n").join(fame, "rep"))
-    sketches = staged(_sketches(docs, fame.select("rep"), how))
+    texts = reps.join(fame.select("rep"), "rep", "left_semi").select("rep", "doc_id", "text_hash")
+    sketches = staged(_sketches(docs, texts, how))
     light = sketches.drop("set")
     keys = light.join(reps.select("rep", *[F.col("bands")[i].alias(f"k{i}") for i in range(how.bands)]), "rep")
     rows = reps.count()
@@ -358,32 +376,46 @@ def _links(docs: DataFrame, reps: DataFrame, how: MinHash) -> DataFrame:
         turn += 1
 
 
+def _grouped(docs: DataFrame, how: MinHash) -> DataFrame:
+    """near_duplicates with the text_hash of each row."""
+    signed = staged(signatures(docs, how))
+    worded = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    text = F.struct("doc_id", "text_hash")
+    # Written with their numbers, so the numbers stay whatever is calculated again.
+    classes = staged(worded.groupBy("d1", "d2").agg(F.min(text).alias("text"), F.first("bands").alias("bands")).select(
+        "d1", "d2", "text.doc_id", "text.text_hash", "bands", F.monotonically_increasing_id().alias("rep")))
+    found = _links(docs, classes.select("rep", "doc_id", "text_hash", "bands"), how)
+    rooted = staged(classes.select("d1", "d2", "doc_id", "rep").join(
+        found.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "d1", "d2", "doc_id", F.coalesce("root", "rep").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    ids = rooted.join(least.drop("n"), "root", "left").select(
+        "d1", "d2", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(ids, ["d1", "d2"], "left").select(
+        "doc_id", "text_hash", "n_shingles",
+        F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over
     links) and kept (doc_id = component_id).
 
     Texts without words, null ones included, have empty sets and are linked with nothing. A null
     doc_id cannot be linked: it stays null, with a null component, and is kept. Rows that repeat a
-    doc_id get a row each, with the component of that doc_id's smallest links. An empty table gives
-    an empty one; only doc_id and text are read.
+    doc_id are documents of their own: each has the component of its own text, so no link is lost.
+    An empty table gives an empty one; only doc_id and text are read.
     """
-    signed = staged(signatures(docs, how))
-    worded = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = staged(worded.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    reps = classes.groupBy("rep").agg(F.first("bands").alias("bands"))
-    found = _links(docs, reps, how)
-    # Only documents with words have a class.
-    roots = classes.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "d1", "d2", F.coalesce("root", "rep").alias("root"))
-    return signed.select("doc_id", "n_shingles", "d1", "d2").join(roots, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _grouped(docs, how).drop("text_hash")
 
 
 def keep_one(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
-    """The documents with every group of near duplicates reduced to its smallest doc_id."""
-    name = unused(docs, "gone")
-    gone = near_duplicates(docs, how).where("NOT kept").select(F.col("doc_id").alias(name))
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    """The documents with every group of near duplicates reduced to its smallest doc_id.
+
+    Null texts and null doc_ids stay. Rows that repeat a doc_id stay or go by their own text; those that
+    repeat the text too stay or go together. Extra columns stay as they are; an empty table stays empty.
+    """
+    id_, text = unused(docs, "gone"), unused(docs, "gone_text")
+    gone = _grouped(docs, how).where("NOT kept").select(
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone[id_]) & (_text_hash() == gone[text]), "left_anti")

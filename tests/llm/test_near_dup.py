@@ -129,3 +129,30 @@ def test_estimate_counts_equal_fields(spark, bits):
                                 [f"x{i}" for i in range(n)] + [f"y{i}" for i in range(n)])
     columns = [[F.col(f"{c}{i}") for i in range(n)] for c in "xy"]
     assert row.select(near_dup._equal_fields(*columns, how)).first()[0] == int((low[0] == low[1]).sum())
+
+
+def test_rows_that_repeat_an_id_lose_no_link(documents, prose):
+    """Each row counts as a document of its own, with the links of its own text."""
+    a, b, c = (prose(seed, 80) for seed in "abc")
+    rows = [(5, a), (5, b), (9, f"{b} more"), (11, f"{a} more"), (5, a), (7, c), (3, f"{c} more"), (5, c), (None, a), (5, None)]
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_duplicates(
+        documents(rows), MinHash(words=3, percent=85)).where("doc_id IS NOT NULL").collect())
+    assert got == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (11, 5, False), (5, 5, True), (7, 3, False),
+                          (3, 3, True), (5, 3, False), (5, 5, True)])
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in keep_one(documents(rows), MinHash(words=3, percent=85)).collect())
+    assert kept == sorted([(5, a), (5, b), (5, a), (3, f"{c} more"), (0, a), (5, "")])
+
+
+def test_repeated_ids_equal_brute_force(documents, prose):
+    """Ids dealt at random over texts: components equal those over rows."""
+    rng = random.Random(8)
+    texts = [edited(prose(f"base{i % 12}", 90), rng, rng.randrange(3)) for i in range(90)]
+    ids = [rng.randrange(20) for _ in texts]
+    rows = list(zip(ids, texts, strict=True))
+    by_row = brute_force(list(enumerate(texts)), 3, 85)
+    least = {}
+    for i, (_, root) in by_row.items():
+        least[root] = min(least.get(root, ids[i]), ids[i])
+    want = sorted((ids[i], n, least[root]) for i, (n, root) in by_row.items())
+    got = near_duplicates(documents(rows), MinHash(words=3, percent=85)).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
