@@ -3,7 +3,9 @@
 The hash of a place depends on the 32 bytes before it and a cut is where it is the largest around, so
 an insertion moves cuts only around itself: equal passages are cut alike wherever they stand. Local
 maxima, unlike a fixed threshold, keep chunks of even sizes, so short passages hold some too. Chunks are compared by 128-bit digests
-of their bytes. Each distinct chunk keeps its first place (smallest doc_id, then place).
+of their bytes. Each distinct chunk keeps its first place (smallest doc_id, then place); all others are
+copies, in the same document too. Rows that repeat a doc_id, null ones included, are documents of their
+own if their texts differ.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.llm.shared import staged, unused, whole_text
@@ -31,7 +33,7 @@ class Chunking:
     min_run_bytes: int = 80
 
 
-CHUNKS = "doc_id long, start int, stop int, d1 long, d2 long"
+CHUNKS = "doc_id long, text_hash long, start int, stop int, d1 long, d2 long"
 
 
 def gear_table() -> np.ndarray:
@@ -84,13 +86,13 @@ def cuts(raw: bytes, sizes: Chunking, gear: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
-    """One row per chunk: doc_id, its bytes [start, stop) and its digest in two numbers."""
+    """One row per chunk: doc_id, its text's hash, its bytes [start, stop) and its digest in two numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gear = gear_table()
         for batch in batches:
             n, starts, stops, digests = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 raw = text.encode()
                 ends = cuts(raw, sizes, gear) if raw else []
                 begins = [0, *ends[:-1]] if ends else []
@@ -101,65 +103,93 @@ def chunks(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             rows = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
                  pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-                ["doc_id", "start", "stop", "d1", "d2"])
+                ["doc_id", "text_hash", "start", "stop", "d1", "d2"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(cut, CHUNKS)
+    return docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), whole_text().alias("text")).mapInArrow(
+        cut, CHUNKS)
 
 
 def repeated_chunks(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
-    """Chunks that occur more than once: their rows with `shared` (in several documents) and
-    `first` (the place that is kept)."""
+    """Chunks that occur at more than one place: their rows with `across` (in several documents) and
+    `first` (the place that is kept). Null texts have no chunks; an empty table gives an empty one."""
     cut = staged(chunks(docs, sizes))
-    seen = cut.groupBy("d1", "d2").agg(
-        F.min(F.struct("doc_id", "start")).alias("kept"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    twice = seen.where("n > 1").select(
-        "d1", "d2", "kept", (~F.col("last").eqNullSafe(F.col("kept.doc_id"))).alias("shared"))
+    place = F.struct("doc_id", "text_hash", "start")
+    # A row that is given twice has its chunks at the same places, which are no repeats.
+    seen = cut.groupBy("d1", "d2").agg(F.min(place).alias("kept"), F.max(place).alias("last")).where("kept <> last")
+    other = F.col("kept.text_hash") != F.col("last.text_hash")
+    twice = seen.select("d1", "d2", "kept", (other | ~F.col("kept.doc_id").eqNullSafe(F.col("last.doc_id"))).alias("across"))
     return cut.join(twice, ["d1", "d2"]).select(
-        "doc_id", "start", "stop", "shared",
-        (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start"))).alias("first"))
+        "doc_id", "text_hash", "start", "stop", "across", place.eqNullSafe(F.col("kept")).alias("first"))
+
+
+def _pieces(repeats: DataFrame) -> DataFrame:
+    """Neighbouring repeated chunks: `run` numbers those without a gap, a row is a part of one that is
+    all `across` documents or all not."""
+    shared = repeats.distinct()
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "stop")
+    gap = F.coalesce(F.lag("stop").over(order) < F.col("start"), F.lit(True))
+    turns = gap | (F.lag("across").over(order) != F.col("across"))
+    marked = shared.withColumn("gap", gap.cast("int")).withColumn("turns", turns.cast("int"))
+    runs = marked.withColumn("run", F.sum("gap").over(order)).withColumn("part", F.sum("turns").over(order))
+    return runs.groupBy("doc_id", "text_hash", "run", "part", "across").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.sum(F.when(~F.col("first"), F.col("stop") - F.col("start")).otherwise(0)).alias("copied"))
 
 
 def repeated_passages(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
-    """Runs of neighbouring chunks that occur in several documents: doc_id, bytes [start, stop),
-    and how many of these bytes stand elsewhere first.
+    """Runs of neighbouring chunks that occur in several documents: doc_id, text_hash, bytes
+    [start, stop), and how many of these bytes stand elsewhere first.
 
-    Null texts count as empty and hold no passage. Rows that repeat a doc_id, null included, count as one
-    document. An empty table gives an empty one; only doc_id and text are read.
+    Null texts count as empty and hold no passage. Rows that repeat a doc_id, null included, are documents
+    of their own where their texts differ; a row that is given twice counts once. An empty table gives an
+    empty one; only doc_id and text are read.
     """
-    shared = repeated_chunks(docs, sizes).where("shared").select("doc_id", "start", "stop", "first").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "stop")
-    begins = F.coalesce(F.lag("stop").over(order) < F.col("start"), F.lit(True)).cast("int")
-    runs = shared.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
-    return runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"),
-        F.sum(F.when(~F.col("first"), F.col("stop") - F.col("start")).otherwise(0)).alias("copied")
-    ).where(F.col("stop") - F.col("start") >= sizes.min_run_bytes).drop("run")
+    return _pieces(repeated_chunks(docs, sizes)).where("across").where(
+        F.col("stop") - F.col("start") >= sizes.min_run_bytes).drop("run", "part", "across")
+
+
+def _written(spans: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
 
 
 def passage_report(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
-    """One row per document that shares a passage with another: n_passages, shared_bytes,
-    copied_bytes (those kept elsewhere) and spans (start:stop in bytes, by start)."""
-    span = F.struct("start", "stop")
-    return repeated_passages(docs, sizes).groupBy("doc_id").agg(
-        F.count("*").alias("n_passages"), F.sum(F.col("stop") - F.col("start")).cast("long").alias("shared_bytes"),
-        F.sum("copied").cast("long").alias("copied_bytes"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(span)),
-                                 lambda s: F.concat_ws(":", s["start"], s["stop"])), ",").alias("spans"))
+    """One row per document that holds a repeated passage.
+
+    n_passages, shared_bytes, copied_bytes (those kept elsewhere) and spans (start:stop in bytes, by start)
+    tell of passages that stand in several documents; n_repeats and repeat_spans of all that stand at several
+    places, in the same document too. Edge cases are those of repeated_passages.
+    """
+    long = F.col("stop") - F.col("start") >= sizes.min_run_bytes
+    passage = F.when(F.col("across") & long, F.struct("start", "stop", "copied"))
+    runs = _pieces(repeated_chunks(docs, sizes)).groupBy("doc_id", "text_hash", "run").agg(
+        F.collect_list(passage).alias("passages"), F.min("start").alias("start"), F.max("stop").alias("stop")).where(long)
+    texts = runs.groupBy("doc_id", "text_hash").agg(
+        F.flatten(F.collect_list("passages")).alias("found"), F.collect_list(F.struct("start", "stop")).alias("repeats"))
+
+    def total(value) -> Column:
+        return F.aggregate("found", F.lit(0).cast("long"), lambda acc, s: acc + value(s))
+
+    return texts.select(
+        "doc_id", F.size("found").cast("long").alias("n_passages"), total(lambda s: s["stop"] - s["start"]).alias("shared_bytes"),
+        total(lambda s: s["copied"]).alias("copied_bytes"), _written(F.col("found")).alias("spans"),
+        F.size("repeats").cast("long").alias("n_repeats"), _written(F.col("repeats")).alias("repeat_spans"))
 
 
 def drop_repeats(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
-    """The documents with every later copy of a shared chunk inside a passage cut out of `text`.
+    """The documents with every later copy of a chunk inside a passage cut out of `text`.
 
-    Other columns stay. Rows that repeat a doc_id are all cut alike.
+    Other columns stay, null texts and ids too. A row that is given twice is cut alike both times.
     """
-    inside = repeated_passages(docs, sizes).select(
-        "doc_id", F.col("start").alias("a"), F.col("stop").alias("b"))
-    copies = repeated_chunks(docs, sizes).where("shared AND NOT first").select(
-        "doc_id", "start", "stop")
-    id_, cut = unused(docs, "id"), unused(docs, "cut")
-    spans = copies.join(inside, "doc_id").where("start >= a AND stop <= b").groupBy(F.col("doc_id").alias(id_)).agg(
+    repeats = staged(repeated_chunks(docs, sizes))
+    inside = _pieces(repeats).groupBy(F.col("doc_id").alias("in_doc"), F.col("text_hash").alias("in_text"), "run").agg(
+        F.min("start").alias("a"), F.max("stop").alias("b")).where(F.col("b") - F.col("a") >= sizes.min_run_bytes)
+    copies = repeats.where("NOT first").select("doc_id", "text_hash", "start", "stop")
+    here = F.col("doc_id").eqNullSafe(F.col("in_doc")) & (F.col("text_hash") == F.col("in_text"))
+    id_, hash_, cut = unused(docs, "id"), unused(docs, "hash"), unused(docs, "cut")
+    spans = copies.join(inside, here).where("start >= a AND stop <= b").groupBy(
+        F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(cut))
     text = F.encode(whole_text(), "UTF-8")
     pieces = F.aggregate(
@@ -169,4 +199,5 @@ def drop_repeats(docs: DataFrame, sizes: Chunking = Chunking()) -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     names = [F.col(f"`{c}`") if c != "text" else F.when(F.col(cut).isNull(), F.col("text")).otherwise(
         F.decode(pieces, "UTF-8")).alias("text") for c in docs.columns]
-    return docs.join(spans, docs["doc_id"] == spans[id_], "left").select(*names)
+    same = docs["doc_id"].eqNullSafe(spans[id_]) & (F.xxhash64(whole_text()) == spans[hash_])
+    return docs.join(spans, same, "left").select(*names)

@@ -1,4 +1,4 @@
-from listwright.llm.chunk_dedup import Chunking, chunks, drop_repeats, passage_report
+from listwright.llm.chunk_dedup import Chunking, chunks, cuts, drop_repeats, gear_table, passage_report
 
 
 def test_chunks_cover_texts(odd, given):
@@ -48,3 +48,49 @@ def test_copies_and_edges(documents, odd, clashing, prose):
     assert passage_report(odd).where("doc_id = 906").count() == 0  # rows of one doc_id are one document
     assert passage_report(odd.limit(0)).count() == 0
     assert drop_repeats(clashing).columns == clashing.columns
+
+
+def test_repeats_inside_one_document(documents, prose):
+    passage = prose("inner", 80)
+    text = " ".join([prose(1, 40), passage, prose(2, 40), passage, prose(3, 40), passage])
+    report = passage_report(documents([(1, text), (2, prose(4, 200))])).collect()
+    assert [r["doc_id"] for r in report] == [1] and report[0]["n_passages"] == 0 and report[0]["n_repeats"] == 3
+    after = {r["doc_id"]: r["text"] for r in drop_repeats(documents([(1, text)])).collect()}
+    assert len(after[1]) < len(text) - 1.2 * len(passage)
+
+
+def test_rows_without_or_with_repeated_ids_stay_apart(documents, prose):
+    a, b, passage = prose("a", 150), prose("b", 150), prose("p", 100)
+    assert passage_report(documents([(None, a), (None, b), (7, prose("c", 90)), (7, prose("d", 90))])).count() == 0
+    rows = [(None, f"{a} {passage}"), (None, f"{b} {passage}"), (7, passage), (7, prose("d", 90))]
+    report = passage_report(documents(rows)).collect()
+    assert sorted(r["doc_id"] or 0 for r in report) == [0, 0, 7]
+    assert all(r["n_passages"] for r in report)
+    for r in report:  # spans lie in the row's own text
+        assert max(int(x) for x in r["spans"].replace(",", ":").split(":")) <= max(len(t) for _, t in rows)
+    assert drop_repeats(documents(rows)).count() == 4
+
+
+def test_equals_brute_force_over_chunks(given):
+    """Passages are the runs of at least 80 bytes of chunks whose bytes stand at several places."""
+    docs = given("documents").select("doc_id", "text")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    gear, places = gear_table(), {}
+    for d, raw in texts.items():
+        ends = cuts(raw, Chunking(), gear) if raw else []
+        for start, stop in zip([0, *ends[:-1]], ends, strict=True):
+            places.setdefault(raw[start:stop], []).append((d, start, stop))
+    want = {}
+    for name, many in (("spans", lambda v: len({d for d, *_ in v}) > 1), ("repeat_spans", lambda v: len(v) > 1)):
+        runs = {}
+        for d, start, stop in sorted(x for v in places.values() if many(v) for x in v):
+            mine = runs.setdefault(d, [])
+            if mine and mine[-1][1] == start:
+                mine[-1][1] = stop
+            else:
+                mine.append([start, stop])
+        for d, found in runs.items():
+            if spans := ",".join(f"{a}:{z}" for a, z in found if z - a >= 80):
+                want.setdefault(d, {"spans": ""})[name] = spans
+    got = {r["doc_id"]: {n: r[n] for n in ("spans", "repeat_spans")} for r in passage_report(docs).collect()}
+    assert got == want
