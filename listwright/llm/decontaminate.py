@@ -6,7 +6,8 @@ stride of its beginning and of its end; documents in windows of each class at ev
 a document some pair of windows covers the same words. The fingerprints' Hamming index has
 radius + 1 blocks: two fingerprints within the radius agree on a whole block, so the index finds
 all of them. Candidates are verified exactly: the weight of the item's shingles found in the
-document's stretch of that size against the weight of all.
+document's stretch of that size against the weight of all. Items too short for a window at every
+place are looked up whole, by the hash of their words, and marked as short.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Decontamination:
 
     @property
     def min_words(self) -> int:
-        """Shorter items have no window at every place and are too short to tell from chance."""
+        """Shorter items have no window at every place: they are looked up word for word."""
         return max(self.shingle_words, 2 * self.stride - 1)
 
 
@@ -61,9 +62,22 @@ def bit_counts(hashes: np.ndarray, per: int) -> np.ndarray:
     return bits.sum(axis=1, dtype=np.uint16)
 
 
+def sum_type(size: int) -> type:
+    """Sums may wrap around, but a window's own counts must fit."""
+    return np.uint16 if size < 1 << 16 else np.uint32
+
+
+def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """One hash for every `size` words in a row."""
+    found = np.zeros(len(hashes) - size + 1, np.uint64)
+    for i in range(size):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + hashes[i:len(hashes) - size + 1 + i]
+    return found
+
+
 def fingerprints(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
     """64-bit SimHashes: bits set in more than half of a window's words."""
-    return np.packbits(counts > (words // 2).astype(np.uint16)[:, None], axis=1).view("<u8")[:, 0]
+    return np.packbits(counts > (words // 2).astype(counts.dtype)[:, None], axis=1).view("<u8")[:, 0]
 
 
 def size_classes(lengths: list[int], stride: int) -> list[int]:
@@ -111,12 +125,21 @@ class HammingIndex:
 
 
 class Benchmark:
-    """A block of items: their windows' indexes by size class, and weighted shingles."""
+    """A block of items: their windows' indexes by size class, weighted shingles, and the short items."""
 
     def __init__(self, items: list[tuple[int, str]], how: Decontamination):
         self.how, self.ids = how, [i for i, _ in items]
-        self.words = [w if len(w) >= how.min_words else [] for w in (words_of(text or "") for _, text in items)]
+        words_by_item = [words_of(text or "") for _, text in items]
+        self.words = [w if len(w) >= how.min_words else [] for w in words_by_item]
         self.hashes = WordHash(str.encode)
+        #: By number of words: the sorted hashes of all short items, and the items of each word sequence.
+        self.short: dict[int, tuple[np.ndarray, dict[tuple[str, ...], list[int]]]] = {}
+        for n, words in enumerate(words_by_item):
+            if 0 < len(words) < how.min_words:
+                self.short.setdefault(len(words), (np.zeros(0, np.uint64), {}))[1].setdefault(tuple(words), []).append(n)
+        for size, (_, known) in self.short.items():
+            runs = [run_hashes(word_hashes(list(words), self.hashes), size) for words in known]
+            self.short[size] = np.unique(np.concatenate(runs)), known
         self.indexes: list[tuple[int, HammingIndex, np.ndarray, np.ndarray]] = []
         k = how.shingle_words
         seen: dict[tuple, int] = {}
@@ -139,7 +162,8 @@ class Benchmark:
             counts, item, offset = [], [], []
             for n in members:
                 each = bit_counts(word_hashes(self.words[n], self.hashes), 1)
-                total = np.concatenate([np.zeros((1, 64), np.uint16), np.cumsum(each, 0, np.uint16)])
+                kind = sum_type(size)
+                total = np.concatenate([np.zeros((1, 64), kind), np.cumsum(each, 0, kind)])
                 last = max(0, len(self.words[n]) - size)
                 for o in sorted({*range(min(how.stride, last + 1)), *range(max(0, last - how.stride + 1), last + 1)}):
                     counts.append(total[min(o + size, len(total) - 1)] - total[o])
@@ -163,7 +187,7 @@ class Benchmark:
         how = self.how
         slab: list[tuple[int, int, list[str]]] = []
         held = 0
-        overlap = max((len(w) for w in self.words), default=0) + how.stride
+        overlap = max([len(w) for w in self.words] + [how.min_words]) + how.stride
         overlap += -overlap % how.stride
         for d, words in enumerate(documents):
             for at in range(0, max(1, len(words)), how.slab_words):
@@ -194,11 +218,16 @@ class Benchmark:
             words.append(full)
         if not total:
             return
-        sums = np.concatenate([np.zeros((1, 64), np.uint16), bit_counts(np.concatenate(flat), stride)])
+        part_of = np.repeat(np.arange(len(slab)), sizes)
+        hashes = np.concatenate(flat)
+        yield from self._short(slab, hashes, part_of, firsts)
+        if not self.indexes:
+            return
+        kind = sum_type(max(size for size, *_ in self.indexes))
+        sums = np.concatenate([np.zeros((1, 64), kind), bit_counts(hashes, stride).astype(kind)])
         # Counts wrap around, but their differences within a window do not.
-        np.cumsum(sums, axis=0, dtype=np.uint16, out=sums)
+        np.cumsum(sums, axis=0, dtype=kind, out=sums)
         n_words = np.cumsum(np.concatenate(words))
-        part_of = np.repeat(np.arange(len(slab)), sizes)
         best: dict[tuple[int, int], tuple[float, int]] = {}
         tried: set[tuple[int, int, int]] = set()
         ends = np.repeat(np.array(firsts) + np.array(sizes), sizes)
@@ -217,7 +246,7 @@ class Benchmark:
                 d, base, _ = slab[p]
                 start = base + (where - firsts[p]) * stride - int(offset[which])
                 key = (d, int(item[which]), start)
-                if key in tried:
+                if key in tried or best.get(key[:2], (0.0, 0))[0] == 1.0:
                     continue
                 tried.add(key)
                 found = self.similarity(key[1], documents[d], start)
@@ -227,15 +256,33 @@ class Benchmark:
             yield d, n, found, start
 
 
+    def _short(self, slab: list[tuple[int, int, list[str]]], hashes: np.ndarray, part_of: np.ndarray, firsts: list[int]):
+        """The first place of every short item in each part; the words themselves decide."""
+        stride = self.how.stride
+        for size, (wanted, known) in self.short.items():
+            if len(hashes) < size:
+                continue
+            met: set[tuple[int, int]] = set()
+            for where in np.flatnonzero(np.isin(run_hashes(hashes, size), wanted)).tolist():
+                p = int(part_of[where // stride])
+                d, base, part = slab[p]
+                start = where - firsts[p] * stride
+                for n in known.get(tuple(part[start:start + size]), ()):
+                    if (p, n) not in met:
+                        met.add((p, n))
+                        yield d, n, 1.0, base + start
+
+
 def contamination(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
-    """One row per document and item that occurs in it: doc_id, item_id, similarity, first_word.
+    """One row per document and item that occurs in it: doc_id, item_id, similarity, first_word, short.
 
     `items` (item_id, text) is read in blocks of how.block_items, each small enough for a task; every
     block is matched against all documents. Null and empty texts match nothing, null doc_ids stay null,
     repeated rows are matched each, empty tables give an empty one; other columns are not read.
-    Items of fewer than how.min_words words are not searched.
+    Items of fewer than how.min_words words count where all their words stand in a row (similarity 1)
+    and are marked `short`; items without words occur nowhere.
     """
-    schema = "doc_id long, item_id long, similarity double, first_word long"
+    schema = "doc_id long, item_id long, similarity double, first_word long, short boolean"
     texts = docs.select("doc_id", whole_text().alias("text"))
     found = None
     for block in _blocks(items, how.block_items):
@@ -248,12 +295,13 @@ def contamination(docs: DataFrame, items: DataFrame, how: Decontamination = Deco
                 best: dict[tuple[int, int], tuple[float, int]] = {}
                 for d, n, similarity, start in benchmark.matches(documents):
                     best[d, n] = max(best.get((d, n), (0.0, 0)), (similarity, start))
-                rows = [(ids[d], benchmark.ids[n], s, start) for (d, n), (s, start) in sorted(best.items())]
+                rows = [(ids[d], benchmark.ids[n], s, start, not benchmark.words[n])
+                        for (d, n), (s, start) in sorted(best.items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                            pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)],
-                        ["doc_id", "item_id", "similarity", "first_word"])
+                            pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)],
+                        ["doc_id", "item_id", "similarity", "first_word", "short"])
 
         part = texts.mapInArrow(match, schema)
         found = part if found is None else found.unionByName(part)
@@ -276,7 +324,10 @@ def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, how: Decontamination = Decontamination()) -> DataFrame:
-    """The documents that no item occurs in. A null doc_id cannot be named by a match and stays."""
+    """The documents that no item occurs in; short items are too common to condemn a document.
+
+    A null doc_id cannot be named by a match and stays.
+    """
     name = unused(docs, "leak")
-    leaks = contamination(docs, items, how).select(F.col("doc_id").alias(name)).distinct()
+    leaks = contamination(docs, items, how).where("NOT short").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(leaks, docs["doc_id"] == leaks[name], "left_anti")

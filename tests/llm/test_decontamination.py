@@ -77,3 +77,26 @@ def test_edges(odd, clashing, given, spark):
     assert drop_contaminated(clashing, benchmark).columns == clashing.columns
     leak = spark.createDataFrame([(1, benchmark.first()["text"], "e")], "doc_id long, text string, extra string")
     assert drop_contaminated(leak, benchmark).count() == 0
+
+
+def test_short_items_are_looked_up(documents, spark, prose):
+    """Word for word at any place and in any slab, marked as short; they condemn no document."""
+    items = [(1, "one"), (2, "Two, words"), (3, "six words in a row here"), (4, "two WORDS"), (5, "..."), (6, prose("item", 30))]
+    table = spark.createDataFrame(items, ITEMS)
+    rows = [(0, "one"), (1, f"{prose(1, 8)} six words in a row here"), (2, f"two\nwords {prose(2, 9)} one"), (3, "six words in a row"),
+            (4, "two"), (5, "words"), (6, f"{prose(3, 1234)} two words {prose(4, 1234)} one"), (7, f"{prose(5, 9)} {items[5][1]}"), (8, "")]
+    for how in (Decontamination(), Decontamination(slab_words=100, block_items=2)):
+        found = contamination(documents(rows), table, how)
+        want = {(d, n) for d, t in rows for n, item in items if words_of(item) and f" {' '.join(words_of(item))} "
+                in f" {' '.join(words_of(t))} "}
+        assert pairs(found) == want and pairs(found.where("NOT short")) == {(7, 6)}
+        assert {(r["doc_id"], r["first_word"]) for r in found.where("item_id = 2").collect()} == {(2, 0), (6, 1234)}
+        assert {r["doc_id"] for r in drop_contaminated(documents(rows), table, how).collect()} == set(range(9)) - {7}
+
+
+def test_items_above_65535_words():
+    """Sums of longer windows do not wrap: fingerprints equal those of a plain count."""
+    words = ["common", "rare"] + ["common"] * 79_998
+    benchmark = Benchmark([(1, " ".join(words))], Decontamination())
+    (_, index, _, _), = benchmark.indexes
+    assert {int(v) for v in index.stored} == {int(benchmark.hashes["common"])}
