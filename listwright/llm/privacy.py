@@ -2,7 +2,8 @@
 
 Patterns find personal data (base spans). Then terms: for a word that occurs near an entity, the
 corpus tells how strongly it reveals it, by the share of the word's documents that hold the entity
-and by pointwise mutual information. Words above the thresholds are spans of kind `term`: with
+and by pointwise mutual information. Where single entities are too rare to tell, all of a kind count
+together, at a higher share. Words above the thresholds are spans of kind `term`: with
 `Disclosure.everywhere` in every document that uses them, else in those that have them near the entity.
 """
 
@@ -38,6 +39,8 @@ class Disclosure:
     min_texts: int = 3
     #: Least share of the term's documents that have it near the entity.
     min_share: float = 0.5
+    #: Least share of the term's documents that have it near any entity of one kind.
+    min_kind_share: float = 0.8
     #: Least pointwise mutual information, in bits.
     min_bits: float = 3.0
     #: Whether a term is hidden in every document that uses it, or only where the entity is near.
@@ -149,8 +152,9 @@ def revealing_terms(docs: DataFrame, found: DataFrame, how: Disclosure = Disclos
     """
     shown = found.where("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("digest"), "text", F.explode("base").alias("span")).select(
-        "doc_id", "digest", _entity(F.col("span")).alias("entity"),
-        F.explode(_near(F.col("text"), F.col("span"), how)).alias("term"))
+        "doc_id", "digest", F.array(_entity(F.col("span")), F.col("span.kind")).alias("entities"),
+        F.explode(_near(F.col("text"), F.col("span"), how)).alias("term")).select(
+        "doc_id", "digest", "term", F.explode("entities").alias("entity"))
     shown = staged(shown.distinct())
     together = shown.groupBy("entity", "term", "digest").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(
         F.sum("docs").alias("n_both"), F.count("*").alias("texts")).where(F.col("texts") >= how.min_texts)
@@ -164,7 +168,8 @@ def revealing_terms(docs: DataFrame, found: DataFrame, how: Disclosure = Disclos
     total = found.count()
     bits = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     # Each entity that a term reveals counts, not only the one that it is found near most often.
-    hidden = together.join(used, "term").where(F.col("n_both") >= how.min_share * F.col("n_term")).join(
+    share = F.when(F.col("entity").isin(*PATTERNS), how.min_kind_share).otherwise(how.min_share)
+    hidden = together.join(used, "term").where(F.col("n_both") >= share * F.col("n_term")).join(
         entities, "entity").where(bits >= how.min_bits).select("entity", "term")
     if how.everywhere:
         salted = staged(hidden.select("term").distinct()).select(

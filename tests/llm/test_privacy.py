@@ -90,6 +90,17 @@ def test_terms_are_hidden_everywhere(documents, odd, clashing, prose):
     assert sanitised(clashing, how).columns == clashing.columns
 
 
+def test_rare_entities_count_by_kind(documents, prose):
+    """A name near many addresses, each met once, is revealing; a word half of whose uses are elsewhere is not."""
+    rows = [(i, f"{prose(i, 30)} half zorblax p{i}@corp.example {prose(-i, 30)}") for i in range(8)]
+    rows += [(100 + i, f"{prose(500 + i, 40)} half {prose(900 + i, 20)}") for i in range(8)]
+    rows += [(200 + i, prose(700 + i, 40)) for i in range(80)] + [(300, f"zorblax {prose(3, 20)}")]
+    texts = dict(rows)
+    got = {r["doc_id"]: hidden_words(r, texts[r["doc_id"]])
+           for r in personal_data(documents(rows), Disclosure(everywhere=True)).collect()}
+    assert {i for i, words in got.items() if words} == {*range(8), 300} and set().union(*got.values()) == {"zorblax"}
+
+
 def test_copies_are_no_evidence(documents, prose):
     rows = [(i, f"{prose(1, 30)} zorblax jane@corp.example") for i in range(50)] + [(90 + i, prose(i, 30)) for i in range(50)]
     assert not any("term" in r["spans"] for r in personal_data(documents(rows)).collect())
