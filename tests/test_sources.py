@@ -37,6 +37,15 @@ def test_flatten_keeps_open_tags_and_skips_scripts():
     assert out["parent"] == [-1, 0, 1, 2, 2, 1]
 
 
+def test_flatten_decodes_whole_references_only():
+    import pandas as pd
+
+    html = '<a href="?a=1&copy=2&amp;b=3">x&amp;&amp</a><p>&lt;&#39;&#x41;&middot;&unknown; R&D & &am</p>'
+    out = flatten(pd.Series([html])).iloc[0]
+    assert out["strings"] == ["x&&amp", "<'A·&unknown; R&D & &am"]
+    assert out["href"][1] == "?a=1&copy=2&b=3"
+
+
 def test_cards_path(spark):
     row = pages.listings_cards_path(page(spark, HTML), "https://b.test").collect()
     assert len(row) == 1
