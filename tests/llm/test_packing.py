@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from listwright.llm.packing import best_fit, packed_windows, pieces, read_matrix, write_windows
+from listwright.llm.queries import op7_packed_windows
 from listwright.llm.retrieval_packing import RetrievalPacking, fill, retrieval_pack
 from listwright.llm.tokens import load
 
@@ -67,6 +68,14 @@ def test_checksums_equal_windows(given):
     assert full == digest
 
 
+def test_the_query_returns_whole_windows(given, spark):
+    rows = op7_packed_windows(spark, "/root/testdata/sf0.001").collect()
+    for r, ids in zip(rows, read_matrix([r["ids"] for r in rows]), strict=True):
+        assert len(ids) * 4 == len(r["positions"]) == 2048 * 4
+        assert (r["ids_crc32"], r["positions_crc32"]) == (zlib.crc32(r["ids"]), zlib.crc32(r["positions"]))
+    assert sum(r["n_tokens"] for r in rows) == sum(len(ids) for _, ids in library_ids(given("documents")))
+
+
 def test_windows_are_full_to_a_few_percent(given):
     rows = packed_windows(given("documents")).collect()
     assert sum(r["n_tokens"] for r in rows) > 0.97 * 2048 * len(rows)
