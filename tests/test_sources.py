@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.sources import links, pages, union
-from listwright.sources.dom import flatten
+from listwright.sources.dom import CHARS_AT_ONCE, PAGES_AT_ONCE, _flat_batches, flatten, page_groups
 
 HTML = """<html><body><ul class="joblist"><li class="job"><div><a href="/company/1"><img src=x></a>
 <a href="/company/1">Acme Logo</a><h2><a href="/job/1/x">Ops &amp; Strategy Lead</a></h2>
@@ -46,6 +46,20 @@ def test_flatten_decodes_whole_references_only():
     assert out["href"][1] == "?a=1&copy=2&b=3"
 
 
+def test_pages_are_flattened_a_few_at_a_time():
+    import pandas as pd
+    import pyarrow as pa
+
+    htmls = [f"<p>{n}<a href='/{n}'>x</a>" for n in range(1_000)] + ["<i>" + "y" * CHARS_AT_ONCE, None, "<b>z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(htmls))), pa.array(htmls)], ["page_id", "html"])
+    parts = list(_flat_batches(iter([batch])))
+    assert max(part.num_rows for part in parts) == PAGES_AT_ONCE
+    rows = [row for part in parts for row in part.to_pylist()]
+    assert [row["page_id"] for row in rows] == list(range(len(htmls)))
+    assert [row["dom"] for row in rows] == flatten(pd.Series(htmls)).to_dict("records")
+    assert list(page_groups([])) == [] and list(page_groups([CHARS_AT_ONCE + 1, 1, 1])) == [(0, 1), (1, 2)]
+
+
 def test_cards_path(spark):
     row = pages.listings_cards_path(page(spark, HTML), "https://b.test").collect()
     assert len(row) == 1
