@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listwright.functions.text import blank
+from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.similarity import Rule, first_alike, first_alike_stored
 from listwright.operators.skew import salted_join
 from listwright.operators.token_index import TokenIndex
@@ -83,7 +84,7 @@ def detect_reposts(batch: DataFrame, store: DataFrame | None, as_of: Column, pre
         matches = batch.sparkSession.createDataFrame([], "l_id bigint, r_id bigint")
     else:
         start = batch.sparkSession.range(1).select(since.cast("timestamp")).first()[0]
-        matches = first_alike_stored(ours, index.tokens(start, before), order, rule)
+        matches = first_alike_stored(ours, stage(index.first_tokens(start, before), f"{scratch_root(batch.sparkSession)}/names"), order, rule)
     found = ours.join(matches.withColumnRenamed("l_id", "id"), "id").select(
         F.concat_ws("|", "company", "title").alias("_name"),
         F.col("r_id").alias("original_listing_id"))

@@ -11,8 +11,9 @@ from __future__ import annotations
 import datetime
 import json
 from dataclasses import asdict
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from listwright.operators.scratch import scratch_root, stage
 from listwright.operators.similarity import Order, Rule, gram_ranks, spread_out, with_tokens
@@ -61,7 +62,12 @@ class TokenIndex:
                       f"{scratch_root(self.spark)}/new-texts")
         if texts.isEmpty():
             return
-        tokens = with_tokens(spread_out(texts), self.rule, self._ordered_by(texts))
+        order, names = self._ordered_by(texts), self.rule.columns
+        # Many rows may share their texts (a name at several times): each text is prepared once.
+        distinct = texts.select(*names).distinct()
+        prepared = with_tokens(spread_out(distinct), self.rule, order).withColumnsRenamed({c: f"_{c}" for c in names})
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+        tokens = texts.join(prepared, same).select(*self.schema.names)
         newest = texts.agg(F.max("at")).first()[0]
         day = newest.date().isoformat() if newest else _NO_DAY
         tokens.write.mode("overwrite").parquet(f"{self.path}/until={day}/run={number}")
@@ -78,6 +84,12 @@ class TokenIndex:
         found = self.spark.read.schema(self.schema).parquet(*parts)
         return found if since is None else found.where(F.col("at") >= F.lit(since))
 
+    def first_tokens(self, since: datetime.datetime | None = None, before: int | None = None) -> DataFrame:
+        """`tokens` with one row for each different text, that of the smallest id."""
+        found = self.tokens(since, before)
+        first = found.groupBy(*self.rule.columns).agg(F.min("id").alias("id"))
+        return found.join(first.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
     def expire(self, since: datetime.datetime) -> int:
         """Remove the folders all of whose texts are older; how many there were. Texts without a time stay."""
         old = [f for f in self._glob("until=*") if _NO_DAY < f.rsplit("=", 1)[1] < since.date().isoformat()]

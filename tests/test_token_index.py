@@ -76,3 +76,21 @@ def test_old_folders_are_not_opened_and_can_go(spark, runs, tmp_path):
     assert len({f.rsplit("/", 1)[0] for f in late.inputFiles()}) == 2
     assert index.expire(DAY + datetime.timedelta(days=15)) == 1
     assert index.tokens().count() == 7 and index.expire(DAY) == 0
+
+
+def test_a_name_seen_often_is_prepared_and_met_once(spark, runs, tmp_path, monkeypatch):
+    index, prepared = TokenIndex(spark, str(tmp_path), name_rule()), []
+    plain = token_index.with_tokens
+
+    def counted(texts, *a):
+        prepared.append(texts.count())
+        return plain(texts, *a)
+
+    monkeypatch.setattr(token_index, "with_tokens", counted)
+    often = runs[0]
+    for day in (1, 2, 3):
+        often = often.unionByName(listings(spark, 100 * day, ["acme works", "zed labs", "north"], day))
+    index.add(new_names(often), 0)
+    assert prepared == [3] and index.tokens().count() == 12
+    assert sorted(r["id"] for r in index.first_tokens().collect()) == [1, 2, 3]
+    assert sorted(r["id"] for r in index.first_tokens(DAY + datetime.timedelta(days=2)).collect()) == [200, 201, 202]
