@@ -16,7 +16,11 @@ def hot_keys(df: DataFrame, key: str, fraction: float = SAMPLE, min_seen: int =
     The sample only decides how rows are spread, never which rows take part.
     """
     rows = df.select(key) if fraction >= 1 else df.select(key).sample(fraction, seed=7)
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return hot_among(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), key, min_seen)
+
+
+def hot_among(counts: DataFrame, key: str, min_seen: int = int(MIN_SEEN / SAMPLE)) -> list:
+    """`hot_keys` of rows whose number `n` for each key is known already."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     hot = counts.where((F.col("n") >= min_seen) & (F.col("n") * HOT_SHARE >= total))
     return [r[0] for r in hot.select(key).collect()]

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pandas as pd
@@ -6,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from listwright.functions.similarity import lcs_lengths
-from listwright.operators import clustering, similarity, skew
+from listwright.operators import clustering, linkage, similarity, skew
 from listwright.operators.similarity import Rule, first_alike
 
 
@@ -229,3 +230,46 @@ def test_a_long_text_among_many_short_ones_stays_small():
     assert peak < 500 << 20
     assert [got[i] for i in (0, 16, 18, 9_999)] == [lcs(left[i], right[i]) for i in (0, 16, 18, 9_999)]
     assert got[17] == 30
+
+
+def counted_rows(spark, rows, schema):
+    """The rows with a `fuzzy_key` that counts how often it is derived, and the counter."""
+    derived = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def same(key: pd.Series) -> pd.Series:
+        derived.add(len(key))
+        return key
+
+    return spark.createDataFrame(rows, schema).withColumn("fuzzy_key", same("raw")).drop("raw"), derived
+
+
+def test_linkage_derives_the_keys_of_rows_once_for_keys_and_once_for_the_result(spark):
+    rnd = random.Random(13)
+    firms, titles = ["acme works", "acme workz", "zed labs", "north"], ["ops analyst", "ops analysts", "nurse"]
+    keys = [f"{rnd.choice(firms)}|{rnd.choice(titles)}|{rnd.choice(['berlin', 'la', ''])}" for _ in range(120)]
+    keys += [None, "acme works", "zed labs|"]
+    schema = "ord bigint, raw string, id bigint, date_scraped timestamp, is_repost boolean"
+    day = datetime.datetime(2024, 1, 1)
+    made = [(i, k, i + 1, day if i % 4 else day - datetime.timedelta(days=90), True) for i, k in enumerate(keys)]
+    batch, ours = counted_rows(spark, [r for r in made if r[0] % 3], schema)
+    store, theirs = counted_rows(spark, [r for r in made if r[0] % 3 == 0], schema)
+    out = linkage.detect_reposts(batch, store, F.lit(day))
+    assert out.columns == ["ord", "id", "date_scraped", "fuzzy_key", "original_listing_id", "is_repost"]
+    got = {r["ord"]: (r["original_listing_id"], r["is_repost"]) for r in out.collect()}
+
+    def original(key):
+        name = (key or "").split("|")[:2]
+        hits = [i for _, k, i, at, _ in made if (i - 1) % 3 == 0 and at == day and k and "|" in k and len(name) == 2
+                and all(alike(a, b, t) for a, b, t in zip(name, k.split("|"), (90, 85)))]
+        return min(hits, default=None)
+
+    assert got == {i: (original(k), original(k) is not None) for i, k, *_ in made if i % 3}
+    assert any(found for _, found in got.values()) and not all(found for _, found in got.values())
+    rows = len([i for i in range(len(keys)) if i % 3])
+    assert ours.value <= 2 * rows and theirs.value <= len(keys) - rows
+    ours.value = theirs.value = 0
+    left = {r["ord"] for r in linkage.anti_seen_fuzzy(batch, store).collect()}
+    stored = [r[1] for r in made if r[0] % 3 == 0 and r[1] is not None]
+    assert left == {i for i, k, *_ in made if i % 3 and not any(alike(k or "", s, 85) for s in stored)}
+    assert ours.value <= 2 * rows and theirs.value <= len(keys) - rows
