@@ -116,8 +116,8 @@ def with_leaders(keys: DataFrame, ratio: int) -> DataFrame:
 
 def fuzzy_clusters(rows: DataFrame, ratio: int = 85) -> DataFrame:
     """(key, ord, leader_ord): each distinct key with the earliest leader it is alike to."""
-    keys = with_leaders(distinct_keys(rows), ratio)
-    return keys.select("key", F.col("id").alias("ord"), "leader_ord")
+    keys = stage(distinct_keys(rows), f"{scratch_root(rows.sparkSession)}/first-arrivals")
+    return with_leaders(keys, ratio).select("key", F.col("id").alias("ord"), "leader_ord")
 
 
 def dedup_batch(rows: DataFrame, ratio: int = 85, survivor: str = "arrival") -> DataFrame:

@@ -244,6 +244,14 @@ def counted_rows(spark, rows, schema):
     return spark.createDataFrame(rows, schema).withColumn("fuzzy_key", same("raw")).drop("raw"), derived
 
 
+def test_clusters_derive_the_keys_of_rows_once(spark):
+    keys = make_keys(12, 60) * 5
+    rows, derived = counted_rows(spark, list(enumerate(keys)), "ord bigint, raw string")
+    got = {r["key"]: r["leader_ord"] for r in clustering.fuzzy_clusters(rows).collect()}
+    assert got == leaders(keys)
+    assert derived.value == len(keys)
+
+
 def test_linkage_derives_the_keys_of_rows_once_for_keys_and_once_for_the_result(spark):
     rnd = random.Random(13)
     firms, titles = ["acme works", "acme workz", "zed labs", "north"], ["ops analyst", "ops analysts", "nurse"]
